@@ -40,3 +40,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import held_out, identified, learned
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identified(docs.select("doc_id", "text"), learned(docs, ~held_out()))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import as_hex, grouped
+
+    out = grouped(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", as_hex("fingerprint").alias("fingerprint"), "component_id")
