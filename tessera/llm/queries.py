@@ -57,3 +57,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = grouped(table(spark, sf_dir, "documents"))
     return out.select("doc_id", as_hex("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html import extracted
+
+    out = extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
