@@ -65,3 +65,13 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import read, written
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    out = read(written(pages))
+    return out.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
