@@ -75,3 +75,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     out = read(written(pages))
     return out.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.repair import read, written
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read(written(docs, vocabulary("word_bpe_49k.json"))).select("doc_id", "start", "n_tokens", "ids_crc32")
