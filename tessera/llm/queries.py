@@ -90,3 +90,18 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read(written(docs, vocabulary("word_bpe_49k.json"))).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def ids_digest(spark_column: str = "ids"):
+    """Hex SHA-256 of the ids, comma-joined."""
+    return F.sha2(F.array_join(F.col(spark_column).cast("array<string>"), ","), 256)
+
+
+@query
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pieces import decoded, encoded
+
+    path = vocabulary("piece_bpe_32k.model")
+    out = decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    same = F.col("decoded") == F.translate("text", "▁", " ")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), ids_digest().alias("ids_sha256"), same.alias("round_trip"))
