@@ -105,3 +105,12 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
     same = F.col("decoded") == F.translate("text", "▁", " ")
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), ids_digest().alias("ids_sha256"), same.alias("round_trip"))
+
+
+@query
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spotsigs import edited, fingerprint, likeness, signatures
+
+    out = edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures("text").alias("sigs"), signatures("edited").alias("edited_sigs"), "next_sigs")
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint("sigs").alias("fingerprint"), fingerprint("edited_sigs").alias("edited_fingerprint"), likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"))
