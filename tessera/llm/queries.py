@@ -114,3 +114,27 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures("text").alias("sigs"), signatures("edited").alias("edited_sigs"), "next_sigs")
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint("sigs").alias("fingerprint"), fingerprint("edited_sigs").alias("edited_fingerprint"), likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"))
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    from tessera.llm.tokencounts import counted
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = counted(docs, vocabulary("byte_bpe_50k.tiktoken"), PATTERN).select("doc_id", F.posexplode("sections").alias("section", "s"))
+    return out.select("doc_id", F.col("section").cast("bigint"), F.col("s.start"), F.col("s.end"), F.col("s.n_tokens").cast("bigint").alias("n_tokens"))
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.shared import scratch
+    from tessera.llm.sharding import compacted
+
+    docs = table(spark, sf_dir, "documents")
+    store = compacted(docs, scratch(spark, "store"), F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    return store.read().select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
+SQL["op6_sharding"] = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, lang, source, n_chars FROM documents"

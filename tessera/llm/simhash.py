@@ -172,15 +172,33 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def rooted(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """(fingerprint, root) of each distinct value of column fingerprint: equal roots are one component."""
+    nodes = staged(prints.select("fingerprint").distinct(), "nodes")
+    roots = components(linked(nodes, radius)).withColumnRenamed("node", "fingerprint")
+    return nodes.join(roots, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def grouped(docs: DataFrame, radius: int = 4, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint long, component_id) for every row of docs (doc_id, text)."""
     prints = staged(fingerprinted(docs.select("doc_id", "text"), size=size).select("doc_id", "fingerprint"), "fingerprints")
-    nodes = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(linked(nodes.select("fingerprint"), radius))
-    placed = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    placed = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).join(rooted(prints, radius), "fingerprint")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(placed.join(ids, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def deduplicated(docs: DataFrame, radius: int = 4, size: int = SHINGLE) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (null last), then the smallest hash of its text."""
+    key = "__text_hash"
+    prints = fingerprinted(docs.select("doc_id", "text", F.xxhash64("text").alias(key)), size=size)
+    prints = staged(prints.select("doc_id", key, "fingerprint"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first")
+    kept = prints.groupBy("fingerprint").agg(first).join(rooted(prints, radius), "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col(f"first.{key}").alias("kept_hash")).distinct()
+    hashed = docs.withColumn(key, F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(kept["kept_id"]) & (hashed[key] == kept["kept_hash"])
+    # rows that repeat an id and a text are one
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def brute_force(texts: list[tuple], radius: int = 4) -> dict[int, int]:
