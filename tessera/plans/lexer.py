@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from tessera.functions.types import EngineError
 
+#: The dialect's keywords and the forms of its tokens.
 KEYWORDS = frozenset("SELECT FROM WHERE GROUP BY AS AND NOT ON OR SUM AVG CREATE TABLE BPLUSTREE INT DOUBLE STRING BOOL".split())
 KINDS = (
     ("INTEGER", re.compile(r"[0-9]+")),

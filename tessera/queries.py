@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,8 @@ from tessera.operators import relational as R
 from tessera.plans.checker import check
 from tessera.plans.parser import parse_sql
 from tessera.plans.translate import translated
-from tessera.sources.tables import as_lines, clustered, read_text
+from tessera.sources.catalog import CLUSTERED, HEAP, Table
+from tessera.sources.tables import Stored, as_lines, clustered, read_text, shared_folder, write_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -313,9 +313,7 @@ def scan_partition_range(spark, sf_dir):
 def text_roundtrip(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     schema = [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")]
-    from tessera.sources.tables import write_text
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()) + "/tessera-text"
+    folder = shared_folder(spark, "text")
     write_text(n, folder)
     return read_text(spark, folder, schema)
 
@@ -325,6 +323,55 @@ def text_lines(spark, sf_dir):
     return as_lines(table(spark, sf_dir, "supplier"))
 
 
+SUPPLIER = [("s_suppkey", "int"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")]
+
+
+@query("SELECT CAST(s_suppkey AS INT) AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey < 10 UNION ALL SELECT CAST(s_suppkey AS INT), s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey > 4")
+def stored_heap_append(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    stored = Stored(spark, Table("supplier", SUPPLIER, shared_folder(spark, "heap"), HEAP))
+    stored.append(s.where("s_nationkey < 10"))
+    stored.append(s.where("s_nationkey > 4"))
+    return stored.read()
+
+
+@query("SELECT CAST(s_suppkey AS INT) AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal BETWEEN 0 AND 5000")
+def stored_clustered_append(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    stored = Stored(spark, Table("supplier", SUPPLIER, shared_folder(spark, "tree"), CLUSTERED, "s_acctbal"))
+    for part in range(3):
+        stored.append(s.where(f"s_suppkey % 3 = {part}"))
+    stored.recluster()
+    return R.key_range(stored.read(), "s_acctbal", 0, 5000)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier")
+def stored_layout(spark, sf_dir):
+    stored = Stored(spark, Table("supplier", SUPPLIER, shared_folder(spark, "tree"), CLUSTERED, "s_acctbal"))
+    stored.append(table(spark, sf_dir, "supplier"))
+    return stored.layout().agg(F.sum("n_rows").alias("n_rows"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+@query("SELECT n_regionkey AS x_n_regionkey, CAST(sum(n_nationkey) AS BIGINT) AS sum_x_n_nationkey FROM nation WHERE n_name <> 'x' GROUP BY 1")
+def sql_create_load_select(spark, sf_dir):
+    folder = shared_folder(spark, "engine")
+    write_text(table(spark, sf_dir, "nation"), f"{folder}/nation.tbl")
+    engine = Engine(spark, f"{folder}/db")
+    engine.sql("CREATE TABLE nation (n_nationkey INT, n_name STRING, n_regionkey INT) AS BPLUSTREE ON n_name")
+    engine.load("nation", f"{folder}/nation.tbl")
+    return engine.sql('SELECT x.n_regionkey, SUM(x.n_nationkey) FROM nation AS x WHERE x.n_name <> "x" GROUP BY x.n_regionkey')
+
+
+@query("SELECT * FROM (VALUES ('h', 'heap', NULL, 2), ('t', 'bplustree', 'k', 1)) v(name, file_type, sort_att, n_columns)")
+def catalog_tables(spark, sf_dir):
+    root = shared_folder(spark, "engine")
+    engine = Engine(spark, root)
+    engine.sql("CREATE TABLE h (a INT, b BOOL)")
+    engine.sql("CREATE TABLE t (k STRING) AS BPLUSTREE ON k")
+    found = Engine(spark, root).catalog.tables().values()
+    return spark.createDataFrame([(t.name, t.file_type, t.sort_att, len(t.schema)) for t in found], "name string, file_type string, sort_att string, n_columns int")
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, count(*) AS n_rows FROM {t}" for t, c in (("nation", "n_nationkey"), ("nation", "n_name"), ("nation", "n_regionkey"), ("region", "r_regionkey"), ("region", "r_name"), ("supplier", "s_suppkey"), ("supplier", "s_name"), ("supplier", "s_nationkey"), ("supplier", "s_acctbal"))))
 def stats_distinct_counts(spark, sf_dir):
     return R.pages(*[R.statistics(table(spark, sf_dir, t), exact=True).select(F.lit(t).alias("table_name"), "column_name", "n_distinct", "n_rows") for t in ("nation", "region", "supplier")])

@@ -6,11 +6,10 @@ The file is rewritten beside the old one and renamed over it, so a reader sees o
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import uuid
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import types as T
 
 from tessera.functions.types import SPARK, EngineError, Schema, struct
@@ -51,16 +50,21 @@ class Table:
 
 
 class Catalog:
-    def __init__(self, path: str | Path) -> None:
-        self.path = Path(path)
-        self._held: dict[str, object] = json.loads(self.path.read_text()) if self.path.exists() else {}
+    """path: a local path or a URI."""
+
+    def __init__(self, path: str) -> None:
+        self._fs, self.path = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        self._held: dict[str, object] = {}
+        if self._fs.get_file_info(self.path).type == fs.FileType.File:
+            with self._fs.open_input_stream(self.path) as file:
+                self._held = json.loads(file.read())
 
     def flush(self) -> None:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        handle, aside = tempfile.mkstemp(dir=self.path.parent, prefix=f".{self.path.name}-")
-        with os.fdopen(handle, "w") as file:
-            json.dump(self._held, file, indent=1, sort_keys=True)
-        os.replace(aside, self.path)
+        self._fs.create_dir(self.path.rpartition("/")[0] or ".", recursive=True)
+        aside = f"{self.path}-{uuid.uuid4().hex}"
+        with self._fs.open_output_stream(aside) as file:
+            file.write(json.dumps(self._held, indent=1, sort_keys=True).encode())
+        self._fs.move(aside, self.path)
 
     def get_string(self, key: str) -> str | None:
         found = self._held.get(key)

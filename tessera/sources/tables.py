@@ -7,6 +7,7 @@ Loading text replaces the table's rows and records row and distinct counts.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,12 @@ from tessera.sources.catalog import CLUSTERED, Table
 NUMBER = {INT: r"^\s*([+-]?\d+)", DOUBLE: r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"}
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that the driver and all executors reach: in spark.checkpoint.dir, or a temporary one where that's unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{found}/{name}-{uuid.uuid4().hex}"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
@@ -104,6 +111,11 @@ class Stored:
         if not fs.rename(new, old):
             raise EngineError(f"{aside} can't be moved to {self.table.path}")
 
+    def layout(self) -> DataFrame:
+        """(file, low, high, n_rows): what each file holds of the key, or of the first column of a heap."""
+        key = F.col(f"`{self.table.sort_att or self.table.schema[0][0]}`")
+        return self.read().groupBy(F.input_file_name().alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n_rows"))
+
     def load(self, path: str) -> Table:
         """Replace the rows by those of a text file and record their counts."""
         self.overwrite(read_text(self.spark, path, self.table.schema))
