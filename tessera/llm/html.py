@@ -3,7 +3,8 @@
 Every node of the page's tree has its characters and tags, and those within links; its density is characters per tag,
 lowered as links take a larger part. A node's density sum adds up its children's densities. The node with the largest sum
 is the article; the smallest density on its path to the body is the threshold, and each node that reaches the threshold
-adds the subtree with the largest sum below it. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
+adds the subtree with the largest sum below it. If the article stands in an article element, or else in a main element,
+that element is taken whole, and beside an article element only other article elements are added. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are cut out before counting: by element, by role, and by words of class and id.
 
 Defined cases: a null or empty page, or one without text outside these parts, gives an empty text. White space inside a
@@ -74,6 +75,13 @@ def boilerplate(tag: str, source: str, inside: bool) -> bool:
     return False
 
 
+def below(parent: list[int], node: int, top: int) -> bool:
+    """Whether node stands below top."""
+    while node > top:
+        node = parent[node]
+    return node == top
+
+
 class Page:
     """The tree of a page. Nodes are numbered in page order; 0 is the root."""
 
@@ -196,6 +204,16 @@ class Page:
         if not chars[body]:
             return chosen
         at = best[body]
+        up = at  # an article that is marked as one is taken whole, or else the main element
+        while up > body:
+            if self.tag[up] == "article" or self.tag[up] == "main" and self.tag[at] != "article":
+                at = up
+            up = self.parent[up]
+        if self.tag[at] != "article":  # or the one that holds most of it
+            within = [i for i in range(at + 1, n) if self.tag[i] in ("article", "main") and not self.cut[i] and 2 * chars[i] > chars[at] and below(self.parent, i, at)]
+            at = max(within, key=lambda i: (self.tag[i] == "article", chars[i]), default=at)
+        chosen[at] = total[at] > 0
+        taken = at
         threshold = density[at]
         while at > body:
             threshold = min(threshold, density[at])
@@ -204,7 +222,7 @@ class Page:
         if total[best[body]] == 0:
             chosen[body] = True
         for i in range(body, n):
-            if not self.cut[i] and density[i] >= threshold and rank[best[i]] > 0:
+            if not self.cut[i] and density[i] >= threshold and rank[best[i]] > 0 and (self.tag[taken] != "article" or self.tag[best[i]] == "article"):
                 chosen[best[i]] = True
         for i in range(body + 1, n):
             chosen[i] = (chosen[i] or chosen[self.parent[i]]) and not self.cut[i]
