@@ -3,7 +3,7 @@
 Words are runs of letters and digits, lower-cased. A common word is an anchor; its signature hashes the anchor and the
 ``CHAIN`` content words that follow it, other common words skipped. The text's start is an anchor too. In a text without
 common words, or with nothing else, each word is an anchor of the words after it; a text without words that isn't empty
-has its own hash as its signature. The fingerprint is the whole sorted set of 64-bit hashes as hex digits, so equal texts
+has its own hash as its signature. The fingerprint is the whole sorted set of hashes, 16 hex digits each, so equal texts
 have equal fingerprints, and the likeness of two is the Jaccard coefficient of their sets (1 if both are empty).
 
 ``near_pairs`` compares documents with each other: equal sets are one class; sets go to partitions by their length, so
@@ -40,26 +40,31 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def mark(*parts: str) -> str:
+    """SQL for the hash of some words; those that are null are left out."""
+    return f"left(md5(concat_ws(' ', {', '.join(parts)})), 16)"
+
+
 def signatures(text: str, chain: int = CHAIN) -> Column:
-    """Sorted distinct signatures of a text column; never null."""
+    """Sorted distinct signatures of a text column, as 16 hex digits each; never null."""
     common = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
-    following = "".join(f", get(w, get(c, j + {k}))" for k in range(chain))
-    after = "".join(f", get(w, i + {k})" for k in range(1, chain + 1))
-    first = "".join(f", get(w, get(c, {k}))" for k in range(chain))
-    start = "".join(f", get(w, {k})" for k in range(chain))
-    spots = f"""concat(array(xxhash64(''{first})), flatten(transform(
+    following = [f"get(w, get(c, j + {k}))" for k in range(chain)]
+    after = [f"get(w, i + {k})" for k in range(chain + 1)]
+    start = mark("''", *[f"get(w, {k})" for k in range(chain)])
+    first = mark("''", *[f"get(w, get(c, {k}))" for k in range(chain)])
+    spots = f"""concat(array({first}), flatten(transform(
         filter(sequence(0, size(c) - 1), j -> c[j] > if(j = 0, 0, c[j - 1] + 1)),
-        j -> {let("if(j = 0, -1, c[j - 1])", "p", f"transform(slice(w, p + 2, c[j] - p - 1), a -> xxhash64(a{following}))")})))"""
-    plain = f"concat(array(xxhash64(''{start})), transform(sequence(0, size(w) - 1), i -> xxhash64(w[i]{after})))"
+        j -> {let("if(j = 0, -1, c[j - 1])", "p", f"transform(slice(w, p + 2, c[j] - p - 1), a -> {mark('a', *following)})")})))"""
+    plain = f"concat(array({start}), transform(sequence(0, size(w) - 1), i -> {mark(*after)}))"
     own = let("filter(sequence(0, size(w) - 1), i -> not (w[i] in (" + common + ")))", "c", f"if(size(c) = 0 or size(c) = size(w), {plain}, {spots})")
     words = f"regexp_extract_all(lower({text}), '[\\\\p{{L}}\\\\p{{N}}]+', 0)"
-    whole = f"if({text} is null or {text} = '', cast(array() as array<bigint>), array(xxhash64({text})))"
-    return F.expr(let(f"if({text} is null, cast(array() as array<string>), {words})", "w", f"if(size(w) = 0, {whole}, sort_array(array_distinct({own})))"))
+    none = "cast(array() as array<string>)"
+    whole = f"if({text} is null or {text} = '', {none}, array({mark(text)}))"
+    return F.expr(let(f"if({text} is null, {none}, {words})", "w", f"if(size(w) = 0, {whole}, sort_array(array_distinct({own})))"))
 
 
 def fingerprint(sigs: Column | str) -> Column:
-    sigs = F.col(sigs) if isinstance(sigs, str) else sigs
-    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    return F.array_join(sigs, "")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -93,7 +98,7 @@ def edited(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = keyed.repartition("k")
     order = neighbours(keyed)
-    one = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("text"), "text"))).where("nth = 1")
+    one = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(F.md5("text"), "text"))).where("nth = 1")
     starts = one.join(order, "k").select(F.col("previous").alias("k"), F.expr("substring(text, 1, half)").alias("start"), signatures("text").alias("next_sigs"))
     n = F.char_length("text")
     kept = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)")

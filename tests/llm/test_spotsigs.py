@@ -24,11 +24,11 @@ def test_signatures_against_sets_of_words(spark):
 
 
 def expected(rows):
-    """edited text and next text by id; a repeated id's place is held by its text with the smallest hash, given first."""
+    """edited text and next text by id; a repeated id's place is held by its text with the smallest hash."""
     order = sorted({i for i, _ in rows}, key=lambda i: (i is not None, i or 0))
     first = {}
     for i, t in rows:
-        first.setdefault(i, t or "")
+        first[i] = min(first.get(i, t or ""), t or "", key=lambda x: hashlib.md5(x.encode()).digest())
     out = []
     for i, t in rows:
         t, nxt = t or "", first[order[(order.index(i) + 1) % len(order)]]
@@ -81,5 +81,7 @@ def test_pairs_lose_none(spark):
 
 
 def test_fingerprint_text(spark):
-    row = spark.createDataFrame([([-1, 5],), ([],)], "s array<long>").select(fingerprint("s").alias("f"), F.size("s").alias("n")).orderBy("n").collect()
-    assert [r.f for r in row] == ["", "ffffffffffffffff0000000000000005"]
+    row = spark.createDataFrame([(["ab", "cd"],), ([],)], "s array<string>").select(fingerprint("s").alias("f"), F.size("s").alias("n")).orderBy("n").collect()
+    assert [r.f for r in row] == ["", "abcd"]
+    sig = spark.createDataFrame([("The Quick fox",)], "t string").select(signatures("t").alias("s")).first().s
+    assert sig == sorted(hashlib.md5(x).hexdigest()[:16] for x in (b" quick fox", b"the quick fox"))
