@@ -5,8 +5,8 @@ each and are replaced from left to right; rounds go on until no pair is frequent
 a document. The file holds the rules, the length that each symbol expands to, the compressed symbols, and for each
 document its first symbol and first id, so a document or a range of ids decodes without the rest.
 
-Texts are encoded word by word, split at ASCII white space, which the tokenizer's own splitting never crosses; known
-words come from a table of bounded size. Documents are in ascending doc_id order across and within shards (a null id
+Texts are encoded some megabytes at a time, by distinct words, split at ASCII white space, which the tokenizer's own
+splitting never crosses. Words of plain letters and signs go to the tokenizer's model directly, others to the whole of it. Documents are in ascending doc_id order across and within shards (a null id
 first; equal ids by their text).
 
 Defined cases: a null or empty text is the end id alone; repeated rows are kept; an empty table makes no shard.
@@ -16,6 +16,7 @@ A shard is written under a fresh name by each attempt of a task and counts only
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,76 +24,132 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import file_system, scratch, staged
+from tessera.llm.shared import file_system, scratch, small_batches, staged
 
 END = 2
 MAGIC = b"RPAIR1\r\n"
 #: Ids of a shard, rounds, pairs replaced in a round, and the least count of a pair.
-SHARD, ROUNDS, PAIRS, LEAST = 1 << 21, 4, 8000, 16
-#: Words that a task keeps encoded.
-WORDS = 800_000
-#: Characters after a word's letters that the tokenizer splits off as one piece.
+SHARD, ROUNDS, PAIRS, LEAST = 1 << 20, 3, 8000, 16
+#: Bytes of text that are encoded at once.
+TEXT = 8 << 20
+#: Words of letters whose lower case and composition are the same everywhere, and signs that the tokenizer splits off as one piece.
 TAIL = ".,!?;:%&$#*"
+#: Words after which a task forgets those it has met.
+WORDS = 1 << 20
+LETTERS = "a-zß-öø-ÿÀ-ÖØ-Þ"
+PLAIN, SIGNS = f"^[{LETTERS}]*[{TAIL}]*$", f"^([{LETTERS}]+)([{TAIL}]+)$"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts. Each distinct word of an array of texts is encoded once."""
 
-    def __init__(self, model: str, words: int = WORDS) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, model: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would cost memory and time
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.words, self.known = Tokenizer.from_str(model), words, {}
+        self.tokenizer = Tokenizer.from_str(model)
         vocabulary = self.tokenizer.get_vocab()
         #: Whether an id ends a piece that the tokenizer's splitting makes.
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-
-    def learn(self, new: list[bytes]) -> None:
-        """Encode words. Plain ones, of which it's known how many pieces they make, go many to a call."""
-        plain, other = [], []
-        for w in new:
-            x = w.decode()
-            core = x if x.isalpha() else x.rstrip(TAIL)
-            (plain if core.isalpha() or not core else other).append((w, x, 1 if len(core) == len(x) or not core else 2))
-        groups = [plain[k : k + 128] for k in range(0, len(plain), 128)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join([x for _, x, _ in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            pieces, ends = np.cumsum([n for _, _, n in group]), np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != pieces[-1]:
-                other += group
-                continue
-            data, at = ids.tobytes(), 0
-            for (w, _, _), end in zip(group, (4 * ends[pieces - 1]).tolist(), strict=True):
-                self.known[w] = data[at:end]
-                at = end
-        for k in range(0, len(other), 10_000):
-            part = other[k : k + 10_000]
-            for (w, _, _), found in zip(part, self.tokenizer.encode_batch_fast([x for _, x, _ in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(x or "").encode().split() for x in texts]
-        if len(self.known) > self.words:
-            self.known.clear()
-        known = self.known
-        if new := list({w for own in split for w in own if w not in known}):
+        #: The same model for pieces that are normalised, split and spelt in the byte alphabet already.
+        self.bare = Tokenizer.from_str(model)
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        alphabet = {b: chr(b) for b in range(256)} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        #: The letters of PLAIN that aren't ASCII, in lower case, in the byte alphabet; none of its signs is such a letter.
+        self.spelling = [(chr(c), "".join(alphabet[b] for b in chr(c).encode())) for c in range(0xDF, 0x100) if c != 0xF7]
+        self.forget()
+
+    def forget(self) -> None:
+        """Words met so far, the first id of each in a list of ids, and how many it has."""
+        self.known, self.flat = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each word has, of words that PLAIN describes: letters, and signs that are split from them."""
+        spelt = pc.utf8_lower(pc.replace_substring_regex(words, SIGNS, "\\1 \\2"))
+        pieces = np.cumsum(np.sign(lengths_of(words)) + (lengths_of(spelt) > lengths_of(words)))
+        at = np.append(np.arange(0, len(words), 512), len(words))
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), spelt), " ").to_pylist()
+        for k, group in enumerate(groups):
+            if not group.isascii():
+                for letter, spelling in self.spelling:
+                    group = group.replace(letter, spelling)
+                groups[k] = group
+        found = [np.array(x.ids, "<u4") for x in self.bare.encode_batch_fast(groups, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.zeros(0, "<u4")
+        ends = np.append(0, np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) - 1 != (pieces[-1] if len(pieces) else 0):
+            raise ValueError("the model's pieces don't end where its words do")
+        return ids, np.diff(ends[np.append(0, pieces)])
+
+    def learn(self, words: pa.Array) -> None:
+        plain = pc.match_substring_regex(words, PLAIN)
+        other = words.filter(pc.invert(plain))
+        words = pa.concat_arrays([words.filter(plain), other])
+        ids, sizes = self.plain(words[: len(words) - len(other)])
+        rest = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(other.to_pylist(), add_special_tokens=False)]
+        sizes = np.append(sizes, [len(x) for x in rest]).astype(np.int64)
+        self.known = pa.concat_arrays([self.known, words])
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes, self.flat = np.append(self.sizes, sizes), np.concatenate([self.flat, ids, *rest])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of texts, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        lower = pc.ascii_lower(texts)  # the tokenizer does so too; only its special tokens, which hold "<|", are told by case
+        special = pc.match_substring(texts, "<|")
+        if pc.any(special).as_py():
+            lower = pc.if_else(special, texts, lower)
+        cut = pc.ascii_split_whitespace(lower)
+        coded = cut.flatten().dictionary_encode()
+        words, index = coded.dictionary, coded.indices.to_numpy()
+        if len(self.known) > WORDS:
+            self.forget()
+        if len(new := words.filter(pc.is_null(pc.index_in(words, value_set=self.known)))):
             self.learn(new)
-        return [b"".join([known[w] for w in own]) for own in split]
+        place = pc.index_in(words, value_set=self.known).to_numpy()[index]
+        own = self.sizes[place]
+        after = np.cumsum(own)
+        ids = self.flat[np.repeat(self.starts[place] - (after - own), own) + np.arange(int(after[-1]) if len(after) else 0)]
+        return ids, np.diff(np.append(0, after)[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
 
 
-@lru_cache(2)
+@lru_cache(1)
 def encoder(model: str) -> Encoder:
     return Encoder(model)
 
 
+def lengths_of(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text; null has none."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+
+
+def slices(part: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts (second column) are about so many bytes together, at least one."""
+    after = np.cumsum(lengths_of(part.column(1)), dtype=np.int64)
+    at = 0
+    while at < len(part):
+        before = int(after[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(after, before + size, "right")))
+        yield part.slice(at, stop - at)
+        at = stop
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends, rules). ends marks the last symbol of each document; rule k is symbol first + k, first = 1 + the largest id."""
     first = int(ids.max()) + 1 if len(ids) else 1
     symbols, rules = ids.astype(np.int64), []
-    made = 0
+    made, table = 0, np.zeros(1 << 18, np.int32)
+
+    def slot(pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int32)
+
     for _ in range(rounds):
         if len(symbols) < 2:
             break
@@ -106,7 +163,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, pairs: int
             break
         often = often[np.lexsort((ordered[at[often]], -counts[often]))][:pairs]
         chosen = np.sort(ordered[at[often]])
-        place = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
+        # a pair's place is looked up by its hash; of pairs that share one, the others wait for the next round
+        table[slot(chosen)] = np.arange(len(chosen))
+        place = table[slot(keys)]
         hit = chosen[place] == keys
         # of overlapping pairs, every second one from the left
         where = np.flatnonzero(hit)
@@ -118,6 +177,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, pairs: int
         keep[where + 1] = False
         ends[where] = ends[where + 1]
         symbols, ends = symbols[keep], ends[keep]
+        table[:] = 0
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1))
         made += len(chosen)
     return symbols, ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
@@ -144,10 +204,8 @@ def expand(symbols: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
     return symbols
 
 
-def shard_bytes(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
-    """A shard file of documents that are each given as ids with the end id."""
-    sizes = np.array([len(x) // 4 for x in docs], np.int64)
-    ids = np.frombuffer(b"".join(docs), "<u4")
+def shard_bytes(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> bytes:
+    """A shard file of documents that are given by all their ids, end ids included, and their sizes."""
     ends = np.zeros(len(ids), bool)
     ends[np.cumsum(sizes) - 1] = True
     first = int(ids.max()) + 1
@@ -176,6 +234,9 @@ class Shard:
             setattr(self, name, np.frombuffer(data, kind, n, at))
             at += n * np.dtype(kind).itemsize
         self.rules = self.rules.reshape(-1, 2).astype(np.int64)
+        #: What every rule expands to, one after the other.
+        self.flat = expand(np.arange(self.first, self.first + len(self.rules)), self.first, self.rules).astype("<u4")
+        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
 
     def __len__(self) -> int:
         return len(self.doc_ids)
@@ -184,17 +245,34 @@ class Shard:
         stop = self.first_symbol[k + 1] if k + 1 < len(self) else len(self.symbols)
         return self.symbols[self.first_symbol[k] : stop].astype(np.int64)
 
+    def sizes_of(self, symbols: np.ndarray) -> np.ndarray:
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.first
+        out[rule] = self.lengths[symbols[rule] - self.first]
+        return out
+
+    def expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of symbols, each rule's copied whole."""
+        sizes = self.sizes_of(symbols)
+        after = np.cumsum(sizes)
+        rule = symbols >= self.first
+        # single ids stand behind what the rules expand to
+        pool = np.concatenate([self.flat, symbols[~rule].astype("<u4")])
+        start = np.empty(len(symbols), np.int64)
+        start[rule] = self.starts[symbols[rule] - self.first]
+        start[~rule] = len(self.flat) + np.arange(len(pool) - len(self.flat))
+        return pool[np.repeat(start - (after - sizes), sizes) + np.arange(int(after[-1]) if len(after) else 0)]
+
     def document(self, k: int) -> np.ndarray:
-        return expand(self.symbols_of(k), self.first, self.rules).astype("<u4")
+        return self.expanded(self.symbols_of(k))
 
     def ids(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of document k, from the symbols that hold them alone."""
         own = self.symbols_of(k)
-        size = np.where(own >= self.first, self.lengths[np.maximum(own - self.first, 0)] if len(self.lengths) else 1, 1).astype(np.int64)
-        after = np.cumsum(size)
+        after = np.cumsum(self.sizes_of(own))
         a, b = int(np.searchsorted(after, start, "right")), int(np.searchsorted(after, stop, "left")) + 1
         before = int(after[a - 1]) if a else 0
-        return expand(own[a:b], self.first, self.rules)[start - before : stop - before].astype("<u4")
+        return self.expanded(own[a:b])[start - before : stop - before]
 
     def all(self, part: int = 1 << 18) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, ids before it in the shard, ids) of each document, some symbols expanded at a time."""
@@ -202,7 +280,7 @@ class Shard:
         while k < len(self):
             stop = max(k + 1, int(np.searchsorted(self.first_symbol, self.first_symbol[k] + part)))
             end = self.first_symbol[stop] if stop < len(self) else len(self.symbols)
-            ids = expand(self.symbols[self.first_symbol[k] : end].astype(np.int64), self.first, self.rules).astype("<u4")
+            ids = self.expanded(self.symbols[self.first_symbol[k] : end].astype(np.int64))
             for j in range(k, stop):
                 a = int(self.first_id[j] - self.first_id[k])
                 b = int(self.first_id[j + 1] - self.first_id[k]) if j + 1 < len(self) else self.n_ids - int(self.first_id[k])
@@ -219,7 +297,6 @@ def written(docs: DataFrame, model_path: str, uri: str | None = None, end: int =
     folder = uri or scratch(spark, "shards")
     with open(model_path, encoding="utf-8") as file:
         model = spark.sparkContext.broadcast(file.read())
-    mark = end.to_bytes(4, "little")
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chars = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-chars // (text_mb << 20)))
@@ -230,31 +307,38 @@ def written(docs: DataFrame, model_path: str, uri: str | None = None, end: int =
 
         fs, path = file_system(folder)
         fs.create_dir(path, recursive=True)
-        made, ids, texts, held = [], [], [], 0
+        made = []
+        doc_ids, ids, sizes, held = [], [], [], 0
 
         def close() -> None:
-            name, data = f"{uuid.uuid4().hex}.rp", shard_bytes(ids, texts)
+            name, data = f"{uuid.uuid4().hex}.rp", shard_bytes(doc_ids, np.concatenate(ids), np.concatenate(sizes))
             with fs.open_output_stream(f"{path}/{name}") as out:
                 out.write(data)
-            made.append({"uri": folder, "shard": name, "part": TaskContext.get().partitionId(), "number": len(made), "n_docs": len(ids), "n_ids": held // 4, "bytes": len(data)})
+            made.append({"uri": folder, "shard": name, "part": TaskContext.get().partitionId(), "number": len(made), "n_docs": len(doc_ids), "n_ids": held, "bytes": len(data)})
 
         for part in parts:
-            own_ids = part.column(0).to_pylist()
-            for k in range(0, len(own_ids), 512):
-                found = encoder(model.value).encode(part.column(1).slice(k, 512).to_pylist())
-                for i, x in zip(own_ids[k : k + 512], found, strict=True):
-                    ids.append(i)
-                    texts.append(x + mark)
-                    held += len(x) + 4
-                    if held >= 4 * shard:
+            for own in slices(part, TEXT):
+                found, n = encoder(model.value).encode(own.column(1))
+                found = np.insert(found, np.cumsum(n), end)
+                n = n + 1
+                names, after, at, before = own.column(0).to_pylist(), np.cumsum(n), 0, 0
+                while at < len(n):  # up to the document that fills the shard
+                    stop = min(len(n), int(np.searchsorted(after, before + shard - held)) + 1)
+                    doc_ids += names[at:stop]
+                    ids.append(found[before : after[stop - 1]])
+                    sizes.append(n[at:stop])
+                    held += int(after[stop - 1]) - before
+                    at, before = stop, int(after[stop - 1])
+                    if held >= shard:
                         close()
-                        ids, texts, held = [], [], 0
-        if ids:
+                        doc_ids, ids, sizes, held = [], [], [], 0
+        if doc_ids:
             close()
         kinds = {"uri": pa.string(), "shard": pa.string(), "part": pa.int32(), "number": pa.int32(), "n_docs": pa.int64(), "n_ids": pa.int64(), "bytes": pa.int64()}
         yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in kinds.items()], list(kinds))
 
-    return staged(ordered.mapInArrow(write, "uri string, shard string, part int, number int, n_docs bigint, n_ids bigint, bytes bigint"), "shards-manifest")
+    with small_batches(spark):
+        return staged(ordered.mapInArrow(write, "uri string, shard string, part int, number int, n_docs bigint, n_ids bigint, bytes bigint"), "shards-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -275,7 +359,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 fs, path = file_system(uri)
                 with fs.open_input_stream(f"{path}/{name}") as file:
                     held = Shard(file.read())
-                rows = [(i, base + at, len(x), zlib.crc32(x.tobytes())) for i, at, x in held.all()]
+                rows = [(i, base + at, len(x), zlib.crc32(x)) for i, at, x in held.all()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
