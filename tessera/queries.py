@@ -387,7 +387,7 @@ def stats_approximate(spark, sf_dir):
 NAMES = "customer orders lineitem supplier nation region part".split()
 
 
-def sql(spark: SparkSession, sf_dir: str, text: str, root: str = "file:///unused") -> DataFrame:
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return translated(parse_sql(text), {n: table(spark, sf_dir, n) for n in NAMES if f" {n} " in " ".join(text.split()) + " "})
 
 
