@@ -93,16 +93,16 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """(doc_id, text, edited, next_sigs) of docs (doc_id bigint, text): the last half replaced by the next one's start.
 
-    Texts are shuffled once by id, and their needed starts once to the document before.
+    Texts are shuffled once by id, and their needed starts once to the document before, with signatures as bytes.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = keyed.repartition("k")
     order = neighbours(keyed)
     one = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(F.md5("text"), "text"))).where("nth = 1")
-    starts = one.join(order, "k").select(F.col("previous").alias("k"), F.expr("substring(text, 1, half)").alias("start"), signatures("text").alias("next_sigs"))
+    starts = one.join(order, "k").select(F.col("previous").alias("k"), F.expr("substring(text, 1, half)").alias("start"), F.unhex(fingerprint(signatures("text"))).alias("packed"))
     n = F.char_length("text")
     kept = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)")
-    return dealt.join(starts, "k").select(F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), "text", F.concat(kept, F.expr("substring(start, 1, char_length(text) div 2)")).alias("edited"), "next_sigs", n.cast("bigint").alias("n_chars"))
+    return dealt.join(starts, "k").select(F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), "text", F.concat(kept, F.expr("substring(start, 1, char_length(text) div 2)")).alias("edited"), F.expr("regexp_extract_all(lower(hex(packed)), '.{16}', 0)").alias("next_sigs"), n.cast("bigint").alias("n_chars"))
 
 
 def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
