@@ -9,7 +9,7 @@ ranked, then leftmost, edge that joins two neighbours, which is what the library
 pieces, so that fold is used only for unigram tables. Characters without a piece become byte pieces.
 
 Units are distinct within an input split (file and block), so each split has a table of its own units, as large as its
-text at most. It's written to the shared folder and read by the tasks of the split, and no text is shuffled. A table that
+text at most. It's written to the shared folder and read by the task of the split, and no text is shuffled. A table that
 is no plain scan of files is written to the shared folder first. Units of over ``LONG`` characters are folded by the same
 rule with a heap in Python, as their lattice would grow with the square of their length.
 
@@ -21,18 +21,22 @@ from __future__ import annotations
 
 import heapq
 import unicodedata
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import file_system, scratch, staged
+from tessera.llm.shared import few_rows, file_system, release, scratch, staged
 
 MARK = "▁"
 LONG = 40
+#: Words that a task gathers before it cuts them, and bytes of text that it takes at once.
+WORDS, TEXT = 1 << 20, 4 << 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNITS = rf"{MARK}*[\p{{L}}\p{{M}}]+|{MARK}*[^\p{{L}}\p{{M}}{MARK}]+|{MARK}+"
 
@@ -86,15 +90,17 @@ class Model:
         self.bytes = [bytes_[b] for b in range(256)]
         self.table = {p: (score, i) for i, (p, score, kind) in enumerate(self.pieces) if kind == NORMAL}
         self.longest = max(map(len, self.table))
+        self.single = {p: i for p, (_, i) in self.table.items() if len(p) == 1}
         for p in self.table:
             kinds = {unicodedata.category(c)[0] in "LM" for c in p.lstrip(MARK)}
             if MARK in p.lstrip(MARK) or len(kinds) > 1:
                 raise ValueError(f"the piece {p!r} joins what units split")
+        self._pool = None
         self.text = [b"" if kind in (UNKNOWN, CONTROL) else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(piece, score, id) of the pieces that texts are cut into; as many rows as the vocabulary has."""
-        rows = [(p, float(score), i) for p, (score, i) in self.table.items()]
+        """(piece, score, id) of the pieces of several characters; as many rows as the vocabulary has."""
+        rows = [(p, float(score), i) for p, (score, i) in self.table.items() if len(p) > 1]
         return spark.createDataFrame(rows, "piece string, score double, id int")
 
     def merge(self, unit: str) -> list[int]:
@@ -121,8 +127,25 @@ class Model:
             offer(i, right[i])
         return [x for p in parts if p is not None for x in ([self.table[p][1]] if p in self.table else [self.bytes[b] for b in p.encode()])]
 
+    def bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """What the ids stand for, one after the other, and the bytes of each."""
+        if self._pool is None:
+            sizes = np.array([len(t) for t in self.text], np.int64)
+            self._pool = np.frombuffer(b"".join(self.text), np.uint8), np.cumsum(sizes) - sizes, sizes
+        pool, starts, sizes = self._pool
+        return pool[spread(starts[ids], sizes[ids])].tobytes(), sizes[ids]
+
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join([self.text[i] for i in ids.tolist()]).decode(errors="replace").removeprefix(" ")
+        return self.bytes_of(ids)[0].decode(errors="replace").removeprefix(" ")
+
+    def comes_back(self, ids: np.ndarray, sizes: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether the ids of each text decode to it, with spaces for word marks."""
+        data, own = self.bytes_of(ids)
+        ends = np.append(0, np.cumsum(own))[np.cumsum(sizes)].tolist()
+        want = [(" " + t.replace(MARK, " ")).encode() if t else b"" for t in texts]
+        if data == b"".join(want):
+            return [a + len(w) == b for a, b, w in zip([0, *ends[:-1]], ends, want, strict=True)]
+        return [data[a:b] == w for a, b, w in zip([0, *ends[:-1]], ends, want, strict=True)]
 
 
 @lru_cache(4)
@@ -131,50 +154,58 @@ def loaded(path: str) -> Model:
         return Model(file.read())
 
 
-def marked(text: Column) -> Column:
-    """The text as the model sees it."""
-    return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.translate(text, " ", MARK))).otherwise(F.lit(""))
-
-
-def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges): pieces found in each unit (column unit, distinct), as (score, start, end, id), best score first."""
-    n = F.char_length("unit")
-    cut = units.select("unit", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    cut = cut.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("start")))).alias("size"))
-    cut = cut.select("unit", "start", (F.col("start") + F.col("size")).alias("end"), F.expr("substring(unit, start + 1, size)").alias("piece"))
+def edges(units: DataFrame, pieces: DataFrame, longest: int, least: int = 2) -> DataFrame:
+    """(unit, edges): pieces of at least so many characters in each unit (column unit, distinct), as (cost, start, end, id), best first."""
+    n = F.coalesce(F.char_length("unit"), F.lit(0))
+    # units that are too short go at the end: a filter on them would part this plan from others that read the same exchange
+    cut = units.select("unit", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(n - least, F.lit(0)))).alias("start"))
+    cut = cut.select("unit", "n", "start", F.explode(F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.lit(longest), F.col("n") - F.col("start"))))).alias("size"))
+    cut = cut.where("start + size <= n").select("unit", "start", (F.col("start") + F.col("size")).alias("end"), F.expr("substring(unit, start + 1, size)").alias("piece"))
+    # the piece table is as large as the vocabulary, which the model fixes
     found = cut.join(F.broadcast(pieces), "piece").select("unit", F.struct((-F.col("score")).alias("cost"), "start", "end", "id").alias("edge"))
     return found.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-#: Bounds after all merges: each step drops the bound inside the first edge, in order of score and place, that spans two parts.
-MERGED = """if(n < 2, sequence(0, n), aggregate(sequence(1, n - 1), sequence(0, n), (b, k) ->
-    transform(array(filter(edges, x -> array_position(b, x.start) > 0 and array_position(b, x.end) - array_position(b, x.start) = 2)),
-        f -> if(size(f) = 0, b, array_remove(b, element_at(b, cast(array_position(b, f[0].start) as int) + 1))))[0]))"""
+#: Bounds are a bit set; an edge joins two parts if its ends are bounds and one bound is between. Each step drops the bound
+#: inside the first such edge, in order of score and place.
+MERGED = """if(n < 2 or size(joins) = 0, shiftleft(1L, n + 1) - 1, aggregate(sequence(1, n - 1), shiftleft(1L, n + 1) - 1, (b, k) ->
+    transform(array(get(filter(joins, x -> (b & x.ends) = x.ends and bit_count(b & x.inner) = 1), 0)), f -> if(f is null, b, b & ~f.inner))[0]))"""
 #: Bounds of the path with the least cost; a character without a piece costs 1e9.
-VITERBI = """transform(array(aggregate(sequence(1, n), array(struct(0D as cost, array(0) as bounds)), (best, k) -> concat(best, array(
+VITERBI = """transform(array(aggregate(sequence(1, n), array(struct(0D as cost, 1L as bounds)), (best, k) -> concat(best, array(
     array_min(concat(
-        array(struct(best[k - 1].cost + 1e9D as cost, concat(best[k - 1].bounds, array(k)) as bounds)),
-        transform(filter(edges, x -> x.end = k), x -> struct(best[x.start].cost + x.cost as cost, concat(best[x.start].bounds, array(k)) as bounds))))))))
+        array(struct(best[k - 1].cost + 1e9D as cost, best[k - 1].bounds | shiftleft(1L, k) as bounds)),
+        transform(filter(edges, x -> x.end = k), x -> struct(best[x.start].cost + x.cost as cost, best[x.start].bounds | shiftleft(1L, k) as bounds))))))))
     , z -> z[n].bounds)[0]"""
 
 
-def folded(lattice: DataFrame, byte_ids: list[int], viterbi: bool = False) -> DataFrame:
-    """(unit, ids) from (unit, edges); edges may be null where a unit has no piece at all."""
-    own = lattice.select("unit", F.char_length("unit").alias("n"), F.coalesce("edges", F.expr("cast(array() as array<struct<cost:double,start:int,end:int,id:int>>)")).alias("edges"))
-    own = own.withColumn("bounds", F.expr(VITERBI if viterbi else MERGED))
+def folded(lattice: DataFrame, single: dict[str, int], byte_ids: list[int], viterbi: bool = False) -> DataFrame:
+    """lattice (unit, edges, more) with ids for edges, which may be null. Units have 62 characters at most.
+
+    single: ids of pieces of one character; other characters that are left alone become bytes. They are kept in a table by
+    code point, three bytes each, as long as the last of them asks for.
+    """
+    none = "cast(array() as array<struct<cost:double,start:int,end:int,id:int>>)"
+    codes = np.full(max(map(ord, single), default=0) + 1, 0xFFFFFF, ">u4")
+    codes[[ord(c) for c in single]] = list(single.values())
+    packed = codes.view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+    own = lattice.withColumn("n", F.char_length("unit")).withColumn("edges", F.coalesce("edges", F.expr(none))).withColumn("single", F.lit(bytearray(packed)))
+    joins = "transform(filter(edges, x -> x.end - x.start > 1), x -> struct(shiftleft(1L, x.start) | shiftleft(1L, x.end) as ends, shiftleft(1L, x.end) - shiftleft(2L, x.start) as inner))"
+    merged = f"transform(array({joins}), joins -> {MERGED})[0]"
+    # bound names keep Catalyst from moving the fold into the lambda that reads it
+    bounds = f"transform(array({VITERBI if viterbi else merged}), s -> filter(sequence(0, n), k -> bit_get(s, k) = 1))[0]"
     table = f"array({', '.join(map(str, byte_ids))})"
-    raw = f"transform(regexp_extract_all(hex(encode(substring(unit, bounds[k - 1] + 1, bounds[k] - bounds[k - 1]), 'utf-8')), '..', 0), h -> {table}[cast(conv(h, 16, 10) as int)])"
-    ids = f"""flatten(transform(sequence(1, size(bounds) - 1), k -> transform(array(filter(edges, x -> x.start = bounds[k - 1] and x.end = bounds[k])),
-        f -> if(size(f) > 0, array(f[0].id), {raw}))[0]))"""
-    return own.select("unit", F.expr(ids).alias("ids"))
+    raw = f"transform(regexp_extract_all(hex(encode(c, 'utf-8')), '..', 0), h -> {table}[cast(conv(h, 16, 10) as int)])"
+    code = "cast(conv(hex(substring(single, 3 * ascii(c) + 1, 3)), 16, 10) as int)"
+    alone = f"transform(array(substring(unit, a + 1, 1)), c -> transform(array(if(ascii(c) < {len(codes)}, {code}, {0xFFFFFF})), i -> if(i = {0xFFFFFF}, {raw}, array(i)))[0])[0]"
+    one = f"if(b = a + 1, {alone}, array(filter(edges, x -> x.start = a and x.end = b)[0].id))"
+    ids = f"transform(array({bounds}), w -> flatten(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> {one})))[0]"
+    return own.withColumn("ids", F.expr(ids)).drop("n", "edges", "single")
 
 
-def encoded_units(units: DataFrame, model: Model, long: int = LONG) -> DataFrame:
-    """(unit, ids) of distinct units."""
-    short = units.where(F.char_length("unit") <= long)
-    lattice = edges(short, model.frame(units.sparkSession), model.longest)
-    # a unit without any piece has no edge; it is byte pieces only
-    return folded(short.join(lattice, "unit", "left"), model.bytes)
+def encoded_units(units: DataFrame, model: Model) -> DataFrame:
+    """units (unit, distinct, and more) with ids. A unit without any edge is single pieces and bytes only."""
+    lattice = edges(units, model.frame(units.sparkSession), model.longest)
+    return folded(units.join(lattice, "unit", "left"), model.single, model.bytes)
 
 
 def _scanned(docs: DataFrame) -> bool:
@@ -185,69 +216,219 @@ def _scanned(docs: DataFrame) -> bool:
     return plan.nodeName().startswith(("LogicalRelation", "Relation"))
 
 
-def encoded(docs: DataFrame, path: str, name: str = "ids", long: int = LONG) -> DataFrame:
-    """docs with the ids of column text."""
+@lru_cache(1)
+def _cutter():
+    import regex
+
+    return regex.compile(UNITS).findall
+
+
+def units_of(text: str) -> list[str]:
+    return _cutter()(MARK + text.replace(" ", MARK)) if text else []
+
+
+def plain(texts: pa.Array) -> pa.Array:
+    """Whether cutting at spaces cuts between units."""
+    odd = [pc.match_substring(texts, "  "), pc.match_substring(texts, MARK), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, "")]
+    return pc.invert(reduce(pc.or_, odd))
+
+
+def runs(splits: pa.Array) -> Iterator[tuple[int, int, int]]:
+    """(split, first row, row after the last) of rows that follow each other."""
+    own = splits.to_numpy()
+    at = np.append(0, np.flatnonzero(np.diff(own)) + 1) if len(own) else []
+    return zip(own[at].tolist(), at, [*at[1:], len(own)], strict=True) if len(own) else iter(())
+
+
+def stretches(size: int, texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about so many bytes of text, at least one row each."""
+    after = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + size, "right")))
+        yield texts[at:stop]
+        at = stop
+
+
+def _pairs(docs: DataFrame, split: Column, long: int) -> DataFrame:
+    """(split, unit): the distinct units of each split; all rows of a split are read by one task, one after the other."""
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words, units = None, [], set()
+
+        def cut_words() -> None:
+            if words:  # of plain texts: cutting many at once cuts each alike
+                own = pa.concat_arrays(words).unique()
+                words.clear()
+                for k in range(0, len(own), 20_000):
+                    units.update(units_of(" ".join(own[k : k + 20_000].to_pylist())))
+
+        def found() -> Iterator[pa.RecordBatch]:
+            cut_words()
+            own = [u for u in units if len(u) <= long]
+            for k in range(0, len(own), 50_000):
+                part = own[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], ["split", "unit"])
+
+        for part in parts:
+            for where, first, stop in runs(part.column(0)):
+                if where != at:
+                    yield from found()
+                    at, words, units = where, [], set()
+                texts = pc.fill_null(part.column(1)[first:stop], "")
+                for own in stretches(TEXT, texts):
+                    easy = plain(own)
+                    words.append(pc.split_pattern(own.filter(easy), " ").flatten().unique())
+                    for text in own.filter(pc.invert(easy)).to_pylist():
+                        units.update(units_of(text))
+                if sum(map(len, words)) > WORDS:
+                    cut_words()
+        yield from found()
+        units.clear()
+        release()
+
+    return docs.select(split.alias("split"), "text").mapInArrow(cut, "split bigint, unit string")
+
+
+def _units(docs: DataFrame, split: Column, long: int = LONG) -> DataFrame:
+    """(unit, splits): distinct units and the splits that have them.
+
+    Where this is joined with what comes of it, both sides read one exchange by unit: the filters keep their columns and
+    conditions the same.
+    """
+    pairs = _pairs(docs, split, long).where("unit is not null").repartition("unit")
+    return pairs.groupBy("unit").agg(F.collect_list("split").alias("splits")).where(F.size("splits") > 0)
+
+
+def encoded(docs: DataFrame, path: str, name: str = "pieces", ids: bool = True, checks: bool = False, long: int = LONG) -> DataFrame:
+    """docs with a struct of n_pieces, and on demand ids, their crc32 (as little-endian 32-bit integers) and round_trip.
+
+    round_trip: whether the ids decode to the text, where a word mark in the text itself comes back as a space. The session
+    is set to hand texts to Python in smaller batches (``few_rows``).
+    """
     from pyspark.sql.functions import arrow_udf
 
     docs = docs if _scanned(docs) else staged(docs, "texts")
     spark = docs.sparkSession
     model = loaded(path)
-    split = F.hex(F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-    words = docs.select(split.alias("split"), F.explode(F.array_distinct(F.regexp_extract_all(marked(F.col("text")), F.lit(UNITS), F.lit(0)))).alias("unit"))
-    words = words.where(F.char_length("unit") <= long)
-    words = words.groupBy("unit").agg(F.collect_set("split").alias("splits"))
-    ids = encoded_units(words.select("unit"), model, long)
+    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
     tables = scratch(spark, "units")
-    words.join(ids, "unit").select("unit", "ids", F.explode("splits").alias("split")).repartition(F.col("split")).write.partitionBy("split").parquet(tables)
+    found = encoded_units(_units(docs, split, long), model).select("unit", "ids", F.explode("splits").alias("split"))
+    few_rows(spark)
+    found.repartition(F.col("split")).write.partitionBy("split").parquet(tables)
     held = spark.sparkContext.broadcast(model)
+    kinds = {"n_pieces": ("bigint", pa.int64())} | ({"ids": ("array<int>", pa.list_(pa.int32()))} if ids else {}) | ({"crc32": ("bigint", pa.int64()), "round_trip": ("boolean", pa.bool_())} if checks else {})
 
-    @arrow_udf("array<int>")
+    @arrow_udf(f"struct<{','.join(f'{k}:{v}' for k, (v, _) in kinds.items())}>")
     def made(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        import regex
-
-        units, known, at = regex.compile(UNITS), {}, None
+        at, lookup = None, None
         for texts, splits in parts:
-            out: list[np.ndarray | None] = []
-            for text, where in zip(texts.to_pylist(), splits.to_pylist(), strict=True):
-                if text is None:
-                    out.append(None)
-                    continue
+            out: dict[str, list] = {k: [] for k in kinds}
+            for where, first, stop in runs(splits):
                 if where != at:
-                    known, at = table_of(tables, where), where
-                try:
-                    own = [known[u] for u in units.findall(MARK + text.replace(" ", MARK))] if text else []
-                except KeyError:
-                    own = []
-                    for u in units.findall(MARK + text.replace(" ", MARK)):
-                        if u not in known:  # too long for the lattice
-                            known[u] = np.array(held.value.merge(u), "<i4").tobytes()
-                        own.append(known[u])
-                out.append(np.frombuffer(b"".join(own), "<i4"))
-            sizes = np.cumsum([0, *(0 if x is None else len(x) for x in out)])
-            values = np.concatenate([np.zeros(0, "<i4"), *(x for x in out if x is not None)])
-            yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32()), mask=pa.array([x is None for x in out]))
+                    at, lookup = where, Lookup(held.value, tables, where)
+                for own in stretches(TEXT, texts[first:stop]):
+                    found, sizes = lookup.encode(pc.fill_null(own, ""))
+                    out["n_pieces"].append(sizes)
+                    if ids:
+                        out["ids"].append(found)
+                    if checks:
+                        after = np.cumsum(sizes)
+                        out["crc32"] += [zlib.crc32(found[a:b]) for a, b in zip((after - sizes).tolist(), after.tolist(), strict=True)]
+                        out["round_trip"] += held.value.comes_back(found, sizes, pc.fill_null(own, "").to_pylist())
+            sizes = np.concatenate([np.zeros(0, np.int64), *out["n_pieces"]])
+            none = pc.is_null(texts)
+            gaps = none.to_numpy(zero_copy_only=False)
+            arrays = [pa.array(sizes, pa.int64(), mask=gaps)]
+            if ids:
+                values = np.concatenate([np.zeros(0, "<i4"), *out["ids"]])
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, pa.int32()), mask=none))
+            if checks:
+                arrays += [pa.array(np.array(out["crc32"], np.int64), mask=gaps), pa.array(np.array(out["round_trip"], bool), mask=gaps)]
+            yield pa.StructArray.from_arrays(arrays, list(kinds))
 
     return docs.withColumn(name, made(F.col("text"), split))
 
 
-def table_of(tables: str, split: str) -> dict[str, bytes]:
-    """Units of one split and their ids' bytes."""
+class Lookup:
+    """Ids of the units of one split, and of the words met in it."""
+
+    def __init__(self, model: Model, tables: str, split: int) -> None:
+        self.model = model
+        self.units, self.ids, self.sizes = table_of(tables, split)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def places(self, units: pa.Array) -> np.ndarray:
+        """Rows of units in the table; those that are too long for the lattice are merged now and added."""
+        place = pc.index_in(units, value_set=self.units)
+        if place.null_count:
+            new = units.filter(pc.is_null(place)).unique()
+            own = [np.array(self.model.merge(u), "<i4") for u in new.to_pylist()]
+            sizes = np.array([len(x) for x in own], np.int64)
+            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.sizes, self.ids = np.append(self.sizes, sizes), np.concatenate([self.ids, *own])
+            self.units = pa.concat_arrays([self.units, new])
+            place = pc.index_in(units, value_set=self.units)
+        return place.to_numpy()
+
+    def of_units(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some rows of the table, and how many each has."""
+        sizes = self.sizes[place]
+        return self.ids[spread(self.starts[place], sizes)], sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and how many each has."""
+        easy = plain(texts)
+        coded = pc.split_pattern(texts.filter(easy), " ")
+        words = coded.flatten().dictionary_encode()
+        # a word is one unit with the mark before it, or it's cut
+        whole = pc.binary_join_element_wise(MARK, words.dictionary, "")
+        known = pc.is_valid(pc.index_in(whole, value_set=self.units)).to_numpy(zero_copy_only=False)
+        cut = _cutter()("".join(whole.filter(pa.array(~known)).to_pylist()))
+        units = pa.concat_arrays([whole.filter(pa.array(known)), pa.array(cut, pa.string())])
+        ids, sizes = self.of_units(self.places(units))
+        n = int(known.sum())
+        heads = np.append(np.arange(n), n + np.flatnonzero(pc.starts_with(units[n:], MARK).to_numpy(zero_copy_only=False)))
+        word_sizes = np.add.reduceat(sizes, heads) if len(heads) else np.zeros(0, np.int64)
+        order = np.empty(len(known), np.int64)
+        order[known], order[~known] = np.arange(n), np.arange(n, len(known))
+        index = order[words.indices.to_numpy()]
+        own = word_sizes[index]
+        easy_ids = ids[spread((np.cumsum(word_sizes) - word_sizes)[index], own)]
+        after = np.append(0, np.cumsum(own))
+        easy_sizes = np.diff(after[coded.offsets.to_numpy() - coded.offsets[0].as_py()])
+        if len(easy_sizes) == len(texts):
+            return easy_ids, easy_sizes
+        hard = [self.of_units(self.places(pa.array(units_of(t), pa.string())))[0] for t in texts.filter(pc.invert(easy)).to_pylist()]
+        is_easy = easy.to_numpy(zero_copy_only=False)
+        sizes = np.empty(len(texts), np.int64)
+        sizes[is_easy], sizes[~is_easy] = easy_sizes, [len(x) for x in hard]
+        starts = np.empty(len(texts), np.int64)
+        starts[is_easy] = np.cumsum(easy_sizes) - easy_sizes
+        starts[~is_easy] = len(easy_ids) + np.cumsum(sizes[~is_easy]) - sizes[~is_easy]
+        return np.concatenate([easy_ids, *hard])[spread(starts, sizes)], sizes
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the parts that begin at starts, one after the other."""
+    after = np.cumsum(sizes)
+    return np.repeat(starts - (after - sizes), sizes) + np.arange(int(after[-1]) if len(after) else 0)
+
+
+def table_of(tables: str, split: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Units of one split, all their ids, and how many each has."""
     import pyarrow.parquet as pq
     from pyarrow import fs as kinds
 
     fs, folder = file_system(tables)
-    known: dict[str, bytes] = {}
-    found = fs.get_file_info(kinds.FileSelector(f"{folder}/split={split}", allow_not_found=True))
-    for info in found:
-        if not info.path.endswith(".parquet"):
-            continue
-        with fs.open_input_file(info.path) as file:
-            for batch in pq.ParquetFile(file).iter_batches(batch_size=50_000, columns=["unit", "ids"]):
-                ids = batch.column(1)
-                data = np.ascontiguousarray(ids.values.to_numpy(), "<i4").tobytes()
-                at = (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
-                known.update(zip(batch.column(0).to_pylist(), (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
-    return known
+    parts = [pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})]
+    for info in fs.get_file_info(kinds.FileSelector(f"{folder}/split={split}", allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as file:
+                parts.append(pq.ParquetFile(file).read(["unit", "ids"]).cast(parts[0].schema))
+    whole = pa.concat_tables(parts).combine_chunks()
+    units, ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in whole.columns)
+    return units, ids.flatten().to_numpy(zero_copy_only=False).astype("<i4"), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

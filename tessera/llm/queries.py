@@ -92,19 +92,13 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(written(docs, vocabulary("word_bpe_49k.json"))).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def ids_digest(spark_column: str = "ids"):
-    """Hex SHA-256 of the ids, comma-joined."""
-    return F.sha2(F.array_join(F.col(spark_column).cast("array<string>"), ","), 256)
-
-
 @query
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.pieces import decoded, encoded
+    from tessera.llm.pieces import encoded
 
-    path = vocabulary("piece_bpe_32k.model")
-    out = decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
-    same = F.col("decoded") == F.translate("text", "▁", " ")
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), ids_digest().alias("ids_sha256"), same.alias("round_trip"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encoded(docs, vocabulary("piece_bpe_32k.model"), ids=False, checks=True)
+    return out.select("doc_id", "pieces.n_pieces", F.col("pieces.crc32").alias("ids_crc32"), "pieces.round_trip")
 
 
 @query
@@ -138,3 +132,40 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op6_sharding"] = "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, lang, source, n_chars FROM documents"
+
+
+def _spots_sql(source: str) -> str:
+    """(k, t, s): keys, texts and signature lists of a query that gives k and t."""
+    from tessera.llm.spotsigs import COMMON
+
+    stop = "[" + ", ".join(f"'{w}'" for w in sorted(set(COMMON))) + "]"
+    mark = lambda *parts: f"substr(md5(concat_ws(' ', {', '.join(parts)})), 1, 16)"
+    return f"""SELECT k, t, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN CASE WHEN t = '' THEN [] ELSE [{mark("t")}] END
+        WHEN len(c) = 0 OR len(c) = len(w) THEN list_concat([{mark("''", "w[1]", "w[2]")}], list_transform(range(1, len(w) + 1), lambda i: {mark("w[i]", "w[i + 1]", "w[i + 2]")}))
+        ELSE list_concat([{mark("''", "w[c[1]]", "w[c[2]]")}], flatten(list_transform(range(1, len(c) + 1),
+            lambda j: list_transform(range(coalesce(c[j - 1], 0) + 1, c[j]), lambda p: {mark("w[p]", "w[c[j]]", "w[c[j + 1]]")})))) END)) AS s
+        FROM (SELECT *, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains({stop}, w[i])) AS c
+        FROM (SELECT k, t, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({source})))"""
+
+
+SQL["op10_spotsigs"] = f"""
+WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents),
+n AS (SELECT k, t, coalesce(lead(k) OVER (ORDER BY k), min(k) OVER ()) AS nk, coalesce(lead(t) OVER (ORDER BY k), first_value(t) OVER (ORDER BY k)) AS nt FROM d),
+e AS (SELECT k, substr(t, 1, length(t) - length(t) // 2) || substr(nt, 1, length(t) // 2) AS t FROM n),
+ds AS ({_spots_sql("FROM d")}),
+es AS ({_spots_sql("FROM e")}),
+a AS (SELECT n.k, length(n.t) AS n_chars, es.t AS edited, ds.s AS x, es.s AS y, ns.s AS z FROM n JOIN ds ON ds.k = n.k JOIN es ON es.k = n.k JOIN ds ns ON ns.k = n.nk),
+j AS (SELECT *, len(list_intersect(x, y)) AS xy, len(list_intersect(x, z)) AS xz FROM a)
+SELECT k AS doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(x, '') AS fingerprint, array_to_string(y, '') AS edited_fingerprint,
+CASE WHEN len(x) + len(y) = 0 THEN 1.0::DOUBLE ELSE xy / (len(x) + len(y) - xy) END AS near_edited, CASE WHEN len(x) + len(z) = 0 THEN 1.0::DOUBLE ELSE xz / (len(x) + len(z) - xz) END AS near_next FROM j
+"""
+
+SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(x, i, 1)) - 1) + 1, 4)), '') AS bits FROM h),
+g AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
++ 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) + 1 AS INT), 1)), '') AS payload_digest FROM b)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to FROM g WINDOW w AS (PARTITION BY x, n)
+"""

@@ -7,6 +7,7 @@ its own folder is set only where the session names none (tests on one machine).
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,16 +65,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def few_rows(spark: SparkSession, rows: int = 2000) -> str:
+    """From now on, tasks of this session get whole texts in batches of fewer rows: their Python workers need less memory.
+
+    Results are the same for any number. Returns the number before.
+    """
+    old = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(rows, int(old)) if int(old) > 0 else rows))
+    return old
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """While this holds, tasks that run get whole texts in batches of fewer rows, so their Python workers need less memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    """``few_rows`` for the tasks that run while this holds."""
+    old = few_rows(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        spark.conf.set(BATCH, old)
+
+
+def release() -> None:
+    """Give memory that a Python task has freed back to the system: its worker stays for other tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
