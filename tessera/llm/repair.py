@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import file_system, scratch, small_batches, staged
+from tessera.llm.shared import file_system, release, scratch, small_batches, staged
 
 END = 2
 MAGIC = b"RPAIR1\r\n"
@@ -334,6 +334,8 @@ def written(docs: DataFrame, model_path: str, uri: str | None = None, end: int =
                         doc_ids, ids, sizes, held = [], [], [], 0
         if doc_ids:
             close()
+        doc_ids, ids, sizes = [], [], []
+        release()
         kinds = {"uri": pa.string(), "shard": pa.string(), "part": pa.int32(), "number": pa.int32(), "n_docs": pa.int64(), "n_ids": pa.int64(), "bytes": pa.int64()}
         yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in kinds.items()], list(kinds))
 
