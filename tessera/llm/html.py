@@ -15,6 +15,7 @@ Unclosed elements end where their parent ends; a truncated page is read as far a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -23,7 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--(?:.*?(?:-->|\Z)|)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+#: A comment, a tag with its attributes (quoted values may hold any sign; where quotes don't pair, up to the next sign), or a declaration.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
+#: What begins a tag or comment that the page's end cuts off; it's no text.
+UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Fixed values, elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,12 +42,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 HINTS = frozenset("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner banners sidebar
 sidenav sidebars aside rail nav navbar navigation menu menus submenu breadcrumb breadcrumbs toolbar footer footers masthead topbar cookie cookies consent gdpr
 notice notices notification notifications alert alerts popup popover modal overlay newsletter subscribe subscription signup signin login search share sharing shares
+side secondary sidepanel rightcol leftcol privacy announcement announcements toast snackbar interstitial legal imprint colophon
+adbox adslot adunit adsbygoogle outbrain taboola leaderboard skyscraper responses feedback reviews guestbook talkback
 social related recommended recommendations comment comments commentlist disqus discussion reply replies respond widget widgets pagination pager paywall disclaimer
 copyright skiplink tags""".split())
 KEEPS = frozenset("content article main body post entry story text".split())
 ALWAYS = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments disqus sidebar cookie consent newsletter".split())
 CONTAINERS = frozenset("html body main article".split())
 #: Elements that an article can be; inline elements and paragraphs raise their parents' sums only.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOXES = frozenset("#root html body main article section div td center form blockquote details".split())
 
 
@@ -70,18 +77,11 @@ def boilerplate(tag: str, source: str, inside: bool) -> bool:
             if w in HINTS and tag in CONTAINERS:
                 if len(words) == 1 and w in ALWAYS:
                     return True
-            elif w in HINTS and (w in ALWAYS or not KEEPS & set(words)) or w == "header" and not inside and len(words) <= 2:
+            elif w in HINTS and (w in ALWAYS or not KEEPS & set(words)) or w == "header" and not inside and not KEEPS - {"main"} & set(words):
                 return True
     return False
 
 
-def below(parent: list[int], node: int, top: int) -> bool:
-    """Whether node stands below top."""
-    while node > top:
-        node = parent[node]
-    return node == top
-
-
 class Page:
     """The tree of a page. Nodes are numbered in page order; 0 is the root."""
 
@@ -92,9 +92,13 @@ class Page:
         self.flow: list[tuple[int, str | None]] = []
         self.body = 0
         open_ = [0]
-        at, n = 0, len(source)
+        #: How many elements of each kind are open.
+        self.open = Counter()
+        at, n, closed = 0, len(source), source.rfind(">")
         while at < n:
-            m = TOKEN.search(source, at)
+            m = TOKEN.search(source, at) if at <= closed else None
+            if at > closed and (cut := UNFINISHED.search(source, at)):
+                n = cut.start()
             if (end := m.start() if m else n) > at:
                 self.flow.append((open_[-1], source[at:end]))
             if not m:
@@ -132,22 +136,31 @@ class Page:
             self.body = len(self.tag) - 1
         if tag not in VOID and not source.endswith("/"):
             open_.append(len(self.tag) - 1)
+            self.open[tag] += 1
+
+    def _shut(self, k: int, open_: list[int]) -> None:
+        self.open.subtract(self.tag[i] for i in open_[k:])
+        del open_[k:]
 
     def _end(self, tag: str, open_: list[int], boundary: tuple[str, ...]) -> None:
+        if not self.open[tag]:
+            return
         for k in range(len(open_) - 1, 0, -1):
             if (own := self.tag[open_[k]]) == tag:
                 self.flow.append((open_[k], None))
-                del open_[k:]
+                self._shut(k, open_)
                 return
             if own in boundary:
                 return
 
     def _close(self, tag: str, open_: list[int]) -> None:
+        if not self.open[tag]:
+            return
         for k in range(len(open_) - 1, 0, -1):
             if self.tag[open_[k]] == tag:
                 if tag in BLOCK:
                     self.flow.append((open_[k], None))
-                del open_[k:]
+                self._shut(k, open_)
                 return
             if tag not in BLOCK and self.tag[open_[k]] in BLOCK:
                 return
@@ -177,12 +190,16 @@ class Page:
     def article(self) -> list[bool]:
         """Which nodes are the article's."""
         n = len(self.tag)
+        last = list(range(n))  # of the nodes below each, which follow it
+        for i in range(n - 1, 0, -1):
+            last[self.parent[i]] = max(last[self.parent[i]], last[i])
         chars, tags, link_chars, link_tags = self.counted()
         for i in range(1, n):  # menus without a name: lists and boxes that are mostly several links
             if not self.cut[i]:
                 self.cut[i] = self.cut[self.parent[i]] or self.tag[i] in ("ul", "ol", "div", "section", "table") and link_tags[i] > 2 and 2 * link_chars[i] > chars[i]
-            if self.tag[i] == "form" and not self.cut[i]:
-                self.cut[i] = 2 * chars[i] < chars[self.body] or not chars[i]
+            if self.tag[i] == "form" and not self.cut[i]:  # but for pages that stand in a form as a whole
+                inner = sum(t in ("article", "main", "p") for t in self.tag[i + 1 : last[i] + 1])
+                self.cut[i] = 2 * chars[i] <= chars[self.body] or inner < 2
         chars, tags, link_chars, link_tags = self.counted()
         body = self.body
         share = link_chars[body] / max(1, chars[body])
@@ -209,8 +226,13 @@ class Page:
             if self.tag[up] == "article" or self.tag[up] == "main" and self.tag[at] != "article":
                 at = up
             up = self.parent[up]
+        while (up := self.parent[at]) > body and self.tag[up] in BOXES:
+            beside = [*range(up + 1, at), *range(last[at] + 1, last[up] + 1)]
+            if chars[up] > chars[at] + sum(chars[i] for i in beside if self.tag[i] in HEADINGS and not self.cut[i]):
+                break
+            at = up  # what has headings only besides the article belongs to it
         if self.tag[at] != "article":  # or the one that holds most of it
-            within = [i for i in range(at + 1, n) if self.tag[i] in ("article", "main") and not self.cut[i] and 2 * chars[i] > chars[at] and below(self.parent, i, at)]
+            within = [i for i in range(at + 1, last[at] + 1) if self.tag[i] in ("article", "main") and not self.cut[i] and 2 * chars[i] > chars[at]]
             at = max(within, key=lambda i: (self.tag[i] == "article", chars[i]), default=at)
         chosen[at] = total[at] > 0
         taken = at

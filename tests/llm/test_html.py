@@ -41,6 +41,14 @@ def test_a_marked_article_is_taken_alone():
     assert main_text(page(inside=f"<main><article><p>{P}</p></article></main>", after="<p>x</p>")) == P
 
 
+def test_a_heading_beside_the_text_stays():
+    assert main_text(page(before="<div class=site-header><p>The name of the site</p></div>", inside=f"<div class=post><h1>Head</h1><div class=body><p>{P}</p><p>{P}</p><p>{P}</p></div></div>")) == f"Head {BODY}"
+
+
+def test_a_page_in_a_form():
+    assert main_text(page(inside=f"<form><div><p>{P}</p><p>{P}</p><p>{P}</p></div><input></form>")) == BODY
+
+
 def test_references_and_white_space():
     assert main_text("<p>a &lt;b&gt; &amp;amp; &#233;&#x20AC;&nbsp;x\n\t y</p><p>z<b>z</b>z<br>w</p>") == "a <b> &amp; é€ x y zzz w"
 
@@ -56,12 +64,16 @@ def test_broken_pages():
     assert main_text(f"<p>{P}<p>{P}<p>{P}") == BODY
     assert main_text(f"<article><h1>T</h1><p><b>{P}<br><p>{P}</article>") == f"T {P} {P}"
     assert main_text(f"</div></p><div><p>{P}</span></div></div>") == P
+    assert main_text("x <!-- y") == main_text("x <a href='") == main_text("x </") == "x" and main_text("x < y <3") == "x < y <3"
+    assert main_text("<p>x</p><a href='un>closed <b>z</b>") == "x closed z"
     assert main_text(f"<article><p>{P}</p><p>cut of") == f"{P} cut of"
     assert main_text("<ul><li>one<li>two</ul><table><tr><td>x<td>y<tr><td>z</table>") == "one two x y z"
 
 
 def test_depth_and_length():
-    assert main_text("<div>" * 5000 + f"<p>{P}</p>") == P
+    assert main_text("<div>" * 20_000 + f"<p>{P}</p>") == P
+    for hostile in ("<p " * 50_000, "<a href='>" * 20_001, "<!--" * 50_000, "<ul>" + "<li><a>x</a>" * 20_000):
+        assert main_text(hostile) == ""
     long = "word " * 200_000
     assert main_text(f"<article><p>{long}</p><p>{P}</p></article>") == f"{long.strip()} {P}"
 
