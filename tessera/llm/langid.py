@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import release
+
 DIMS = 1 << 13
 LETTER = re.compile(r"[^\W\d_]")
 ASCII = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
@@ -76,7 +78,7 @@ def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 300) ->
 
 
 class Model:
-    """Machines for families (one against the rest) and for the pairs of languages of each family."""
+    """Machines for families (one against the rest) and for the pairs of languages of each family. Rows are used up."""
 
     def __init__(self, rows: list[np.ndarray], labels: list[str]) -> None:
         self.langs = sorted(set(labels))
@@ -85,8 +87,9 @@ class Model:
         own = np.array(labels)
         kin = np.array([family(x) for x in labels])
         x = np.zeros((len(labels), DIMS), np.float32)
-        for i, (at, values) in enumerate(rows):
-            x[i, at] = values
+        while rows:  # they are not kept beside the matrix
+            at, values = rows.pop()
+            x[len(rows), at] = values
         weights = []
         if len(self.families) == 2:
             weights.append(machine(x, np.where(kin == self.families[0], 1, -1).astype(np.float32)))
@@ -149,7 +152,12 @@ def learned(docs: DataFrame, where: Column, per_label: int = 400) -> Model:
 
     got = sample.select("lang", sparse("text").alias("f")).where("f.at is not null").select("lang", "f.*").collect()
     got.sort(key=lambda r: (r["lang"], r["at"], r["value"]))
-    return Model([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in got], [r["lang"] for r in got])
+    labels = [r["lang"] for r in got]
+    rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in got]
+    del got
+    model = Model(rows, labels)
+    release()
+    return model
 
 
 def identified(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:

@@ -36,7 +36,7 @@ from tessera.llm.shared import few_rows, file_system, release, scratch, staged
 MARK = "▁"
 LONG = 40
 #: Words that a task gathers before it cuts them, and bytes of text that it takes at once.
-WORDS, TEXT = 1 << 20, 4 << 20
+WORDS, TEXT = 1 << 18, 2 << 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNITS = rf"{MARK}*[\p{{L}}\p{{M}}]+|{MARK}*[^\p{{L}}\p{{M}}{MARK}]+|{MARK}+"
 
@@ -188,7 +188,9 @@ def folded(lattice: DataFrame, single: dict[str, int], byte_ids: list[int], vite
     codes = np.full(max(map(ord, single), default=0) + 1, 0xFFFFFF, ">u4")
     codes[[ord(c) for c in single]] = list(single.values())
     packed = codes.view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
-    own = lattice.withColumn("n", F.char_length("unit")).withColumn("edges", F.coalesce("edges", F.expr(none))).withColumn("single", F.lit(bytearray(packed)))
+    own = lattice.withColumn("n", F.char_length("unit")).withColumn("edges", F.coalesce("edges", F.expr(none)))
+    # a subquery's value, not a literal: plans and their descriptions stay small
+    own = own.withColumn("single", lattice.sparkSession.createDataFrame([(bytearray(packed),)], "codes binary").scalar())
     joins = "transform(filter(edges, x -> x.end - x.start > 1), x -> struct(shiftleft(1L, x.start) | shiftleft(1L, x.end) as ends, shiftleft(1L, x.end) - shiftleft(2L, x.start) as inner))"
     merged = f"transform(array({joins}), joins -> {MERGED})[0]"
     # bound names keep Catalyst from moving the fold into the lambda that reads it
@@ -254,37 +256,39 @@ def _pairs(docs: DataFrame, split: Column, long: int) -> DataFrame:
     """(split, unit): the distinct units of each split; all rows of a split are read by one task, one after the other."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, words, units = None, [], set()
+        at: int | None = None
+        words: list[pa.Array] = []
+        units: list[pa.Array] = []
 
         def cut_words() -> None:
-            if words:  # of plain texts: cutting many at once cuts each alike
-                own = pa.concat_arrays(words).unique()
-                words.clear()
-                for k in range(0, len(own), 20_000):
-                    units.update(units_of(" ".join(own[k : k + 20_000].to_pylist())))
+            own = pa.concat_arrays(words).unique() if words else []
+            words.clear()
+            for k in range(0, len(own), 20_000):  # words of plain texts: cutting many at once cuts each alike
+                units.append(pa.array(units_of(" ".join(own[k : k + 20_000].to_pylist())), pa.string()).unique())
+            if sum(map(len, units)) > WORDS:
+                units[:] = [pa.concat_arrays(units).unique()]
 
         def found() -> Iterator[pa.RecordBatch]:
             cut_words()
-            own = [u for u in units if len(u) <= long]
+            own = pa.concat_arrays(units).unique() if units else pa.array([], pa.string())
+            units.clear()
+            own = own.filter(pc.less_equal(pc.utf8_length(own), long))
             for k in range(0, len(own), 50_000):
                 part = own[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], ["split", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), part], ["split", "unit"])
 
         for part in parts:
             for where, first, stop in runs(part.column(0)):
                 if where != at:
                     yield from found()
-                    at, words, units = where, [], set()
-                texts = pc.fill_null(part.column(1)[first:stop], "")
-                for own in stretches(TEXT, texts):
+                    at = where
+                for own in stretches(TEXT, pc.fill_null(part.column(1)[first:stop], "")):
                     easy = plain(own)
                     words.append(pc.split_pattern(own.filter(easy), " ").flatten().unique())
-                    for text in own.filter(pc.invert(easy)).to_pylist():
-                        units.update(units_of(text))
-                if sum(map(len, words)) > WORDS:
-                    cut_words()
+                    units += [pa.array(units_of(t), pa.string()).unique() for t in own.filter(pc.invert(easy)).to_pylist()]
+                    if sum(map(len, words)) + sum(map(len, units[1:])) > WORDS:
+                        cut_words()
         yield from found()
-        units.clear()
         release()
 
     return docs.select(split.alias("split"), "text").mapInArrow(cut, "split bigint, unit string")
@@ -345,6 +349,8 @@ def encoded(docs: DataFrame, path: str, name: str = "pieces", ids: bool = True,
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, pa.int32()), mask=none))
             if checks:
                 arrays += [pa.array(np.array(out["crc32"], np.int64), mask=gaps), pa.array(np.array(out["round_trip"], bool), mask=gaps)]
+            out.clear()
+            release()
             yield pa.StructArray.from_arrays(arrays, list(kinds))
 
     return docs.withColumn(name, made(F.col("text"), split))
