@@ -35,6 +35,8 @@ from tessera.llm.shared import few_rows, file_system, release, scratch, staged
 
 MARK = "▁"
 LONG = 40
+#: Code points whose pieces are found by their number, and what stands for no piece.
+CODES, NONE = 0x500, 0xFFFFFF
 #: Words that a task gathers before it cuts them, and bytes of text that it takes at once.
 WORDS, TEXT = 1 << 18, 2 << 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -181,27 +183,29 @@ VITERBI = """transform(array(aggregate(sequence(1, n), array(struct(0D as cost,
 def folded(lattice: DataFrame, single: dict[str, int], byte_ids: list[int], viterbi: bool = False) -> DataFrame:
     """lattice (unit, edges, more) with ids for edges, which may be null. Units have 62 characters at most.
 
-    single: ids of pieces of one character; other characters that are left alone become bytes. They are kept in a table by
-    code point, three bytes each, as long as the last of them asks for.
+    single: ids of pieces of one character; other characters that are left alone become bytes. The first CODES code points
+    have a table of three bytes each, others are looked for in a list; both are small literals.
     """
     none = "cast(array() as array<struct<cost:double,start:int,end:int,id:int>>)"
-    codes = np.full(max(map(ord, single), default=0) + 1, 0xFFFFFF, ">u4")
-    codes[[ord(c) for c in single]] = list(single.values())
-    packed = codes.view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+    few, many = [(c, i) for c, i in single.items() if ord(c) < CODES], sorted((c, i) for c, i in single.items() if ord(c) >= CODES)
+    codes = np.full(CODES, NONE, ">u4")
+    codes[[ord(c) for c, _ in few]] = [i for _, i in few]
+    three = lambda ids: bytearray(np.array(ids, ">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes())
     own = lattice.withColumn("n", F.char_length("unit")).withColumn("edges", F.coalesce("edges", F.expr(none)))
-    # a subquery's value, not a literal: plans and their descriptions stay small
-    own = own.withColumn("single", lattice.sparkSession.createDataFrame([(bytearray(packed),)], "codes binary").scalar())
+    own = own.withColumn("few", F.lit(three(codes))).withColumn("chars", F.lit("".join(c for c, _ in many))).withColumn("many", F.lit(three([i for _, i in many])))
     joins = "transform(filter(edges, x -> x.end - x.start > 1), x -> struct(shiftleft(1L, x.start) | shiftleft(1L, x.end) as ends, shiftleft(1L, x.end) - shiftleft(2L, x.start) as inner))"
     merged = f"transform(array({joins}), joins -> {MERGED})[0]"
     # bound names keep Catalyst from moving the fold into the lambda that reads it
     bounds = f"transform(array({VITERBI if viterbi else merged}), s -> filter(sequence(0, n), k -> bit_get(s, k) = 1))[0]"
     table = f"array({', '.join(map(str, byte_ids))})"
     raw = f"transform(regexp_extract_all(hex(encode(c, 'utf-8')), '..', 0), h -> {table}[cast(conv(h, 16, 10) as int)])"
-    code = "cast(conv(hex(substring(single, 3 * ascii(c) + 1, 3)), 16, 10) as int)"
-    alone = f"transform(array(substring(unit, a + 1, 1)), c -> transform(array(if(ascii(c) < {len(codes)}, {code}, {0xFFFFFF})), i -> if(i = {0xFFFFFF}, {raw}, array(i)))[0])[0]"
+    code = lambda table, at: f"cast(conv(hex(substring({table}, 3 * ({at}) + 1, 3)), 16, 10) as int)"
+    far = f"transform(array(instr(chars, c)), p -> if(p = 0, {NONE}, {code('many', 'p - 1')}))[0]"
+    found = f"if(ascii(c) < {CODES}, {code('few', 'ascii(c)')}, {far})"
+    alone = f"transform(array(substring(unit, a + 1, 1)), c -> transform(array({found}), i -> if(i = {NONE}, {raw}, array(i)))[0])[0]"
     one = f"if(b = a + 1, {alone}, array(filter(edges, x -> x.start = a and x.end = b)[0].id))"
     ids = f"transform(array({bounds}), w -> flatten(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> {one})))[0]"
-    return own.withColumn("ids", F.expr(ids)).drop("n", "edges", "single")
+    return own.withColumn("ids", F.expr(ids)).drop("n", "edges", "few", "chars", "many")
 
 
 def encoded_units(units: DataFrame, model: Model) -> DataFrame:
