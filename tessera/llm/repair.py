@@ -1,9 +1,11 @@
 """Token ids in shards that are compressed by a pair grammar (Re-Pair) and decode at random access.
 
-Each shard's ids are compressed on their own: in every round the frequent pairs of neighbouring symbols get a nonterminal
-each and are replaced from left to right; rounds go on until no pair is frequent enough. A pair never crosses the end of
-a document. The file holds the rules, the length that each symbol expands to, the compressed symbols, and for each
-document its first symbol and first id, so a document or a range of ids decodes without the rest.
+Each shard's ids are compressed on their own, until no pair of neighbouring symbols occurs twice without overlap. A round
+takes all pairs that occur at least twice and at least 1/512 as often as the most frequent one; where two of them overlap,
+the more frequent is replaced, and of one pair's own overlaps every second from the left. Each pair that is replaced twice
+or more becomes a nonterminal. The most frequent pair always does, so each round gets on. A pair never crosses the end of a
+document. The file holds the rules, the length that each expands to, the compressed symbols, both at as many bits as the
+largest needs, and for each document its first symbol and first id, so a document or a range of ids decodes without the rest.
 
 Texts are encoded some megabytes at a time, by distinct words, split at ASCII white space, which the tokenizer's own
 splitting never crosses. Words of plain letters and signs go to the tokenizer's model directly, others to the whole of it. Documents are in ascending doc_id order across and within shards (a null id
@@ -32,8 +34,10 @@ from tessera.llm.shared import file_system, release, scratch, small_batches, sta
 
 END = 2
 MAGIC = b"RPAIR1\r\n"
-#: Ids of a shard, rounds, pairs replaced in a round, and the least count of a pair.
-SHARD, ROUNDS, PAIRS, LEAST = 1 << 20, 3, 8000, 16
+#: Ids of a shard, and what part of the greatest count a pair's must be to be replaced in the same round.
+SHARD, SHARE = 1 << 21, 512
+#: Rules of up to so many ids are held expanded by a reader.
+LONG = 64
 #: Bytes of text that are encoded at once.
 TEXT = 8 << 20
 #: Words of letters whose lower case and composition are the same everywhere, and signs that the tokenizer splits off as one piece.
@@ -141,81 +145,110 @@ def slices(part: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         at = stop
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends, rules). ends marks the last symbol of each document; rule k is symbol first + k, first = 1 + the largest id."""
     first = int(ids.max()) + 1 if len(ids) else 1
-    symbols, rules = ids.astype(np.int64), []
-    made, table = 0, np.zeros(1 << 18, np.int32)
-
-    def slot(pairs: np.ndarray) -> np.ndarray:
-        return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int32)
-
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        keys = symbols[:-1] << 32 | symbols[1:]
-        keys[ends[:-1]] = -1
-        ordered = np.sort(keys[keys >= 0])
-        at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(at, len(ordered)))
-        often = np.flatnonzero(counts >= least)
+    symbols, rules, made = ids.astype(np.int64), [], 0
+    # pairs that may occur twice, by their left symbol; a pair that doesn't never will, unless one of its symbols is new
+    live = np.ones(len(ids), bool)
+    while len(symbols) > 1:
+        live &= ~ends
+        live[-1] = False
+        at = np.flatnonzero(live)
+        keys = symbols[at] << 32 | symbols[at + 1]
+        ordered = keys
+        # of a run of one symbol, every second pair counts
+        if len(twin := np.flatnonzero(symbols[at] == symbols[at + 1])):
+            run = np.concatenate(([True], np.diff(at[twin]) > 1))
+            start = at[twin[run]][np.cumsum(run) - 1]
+            ordered = np.delete(keys, twin[(at[twin] - start) % 2 == 1])
+        ordered = np.sort(ordered)
+        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else at
+        counts = np.diff(np.append(edge, len(ordered)))
+        often = np.flatnonzero(counts >= 2)
         if not len(often):
             break
-        often = often[np.lexsort((ordered[at[often]], -counts[often]))][:pairs]
-        chosen = np.sort(ordered[at[often]])
-        # a pair's place is looked up by its hash; of pairs that share one, the others wait for the next round
-        table[slot(chosen)] = np.arange(len(chosen))
-        place = table[slot(keys)]
-        hit = chosen[place] == keys
-        # of overlapping pairs, every second one from the left
-        where = np.flatnonzero(hit)
-        run = np.concatenate(([True], np.diff(where) > 1))
-        start = where[np.flatnonzero(run)][np.cumsum(run) - 1]
-        where = where[(where - start) % 2 == 0]
-        symbols[where] = first + made + place[where]
+        often = often[np.argsort(counts[often], kind="stable")]
+        pairs, counts = ordered[edge[often]], counts[often]
+        # a pair's place, which is its rank, is looked up by its hash; of pairs that share one, all but the last wait
+        bits = np.uint64(64 - max(16, len(pairs).bit_length() + 2))
+        slots, own = ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> bits).astype(np.int32) for x in (keys, pairs))
+        table = np.zeros(1 << 64 - int(bits), np.int32)
+        table[own] = np.arange(len(pairs))
+        place = table[slots]
+        hit = pairs[place] == keys
+        wait = np.zeros(len(table), bool)
+        wait[own[table[own] != np.arange(len(pairs))]] = True
+        live[at] = hit | wait[slots]
+        hit &= counts[place] * share >= counts[-1]
+        # by rank along overlapping pairs: every second one down both sides of each peak; where two sides meet, if both have it
+        where, rank = at[hit], place[hit]
+        k = np.arange(len(where))
+        beside = np.diff(where) == 1
+        up = beside & (rank[1:] > rank[:-1])
+        left = k - np.maximum.accumulate(np.where(np.concatenate(([True], ~beside | up)), k, 0))
+        right = np.minimum.accumulate(np.where(np.concatenate((~up, [True])), k, len(k))[::-1])[::-1] - k
+        take = (left | right) & 1 == 0
+        good = np.bincount(rank[take], minlength=len(pairs)) > 1
+        take &= good[rank]
+        where, rank = where[take], rank[take]
+        symbols[where] = first + made + (np.cumsum(good) - 1)[rank]
+        ends[where] = ends[where + 1]
+        live[where] = live[where - 1] = True
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
-        ends[where] = ends[where + 1]
-        symbols, ends = symbols[keep], ends[keep]
-        table[:] = 0
-        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1))
-        made += len(chosen)
+        symbols, ends, live = symbols[keep], ends[keep], live[keep]
+        rules.append(np.stack([pairs[good] >> 32, pairs[good] & 0xFFFFFFFF], 1))
+        made += len(rules[-1])
     return symbols, ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
 def lengths(first: int, rules: np.ndarray) -> np.ndarray:
     """Ids that each rule expands to; a rule uses only those before it."""
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1)
+    sizes, at, todo = np.append(1, np.zeros(len(rules), np.int64)), np.maximum(rules - first + 1, 0), np.arange(len(rules))
+    while len(todo):
+        parts = sizes[at[todo]]
+        known = parts.all(1)
+        sizes[todo[known] + 1] = parts[known].sum(1)
+        todo = todo[~known]
+    return sizes[1:]
+
+
+def split(symbols: np.ndarray, at: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
+    """symbols with the two of its rule instead of each one at some places."""
+    times = np.ones(len(symbols), np.int64)
+    times[at] = 2
+    out = np.repeat(symbols, times)
+    left = np.cumsum(times)[at] - 2
+    out[left], out[left + 1] = rules[symbols[at] - first].T
     return out
 
 
 def expand(symbols: np.ndarray, first: int, rules: np.ndarray) -> np.ndarray:
     """The ids of some symbols."""
     while len(at := np.flatnonzero(symbols >= first)):
-        times = np.ones(len(symbols), np.int64)
-        times[at] = 2
-        out = np.repeat(symbols, times)
-        left = np.cumsum(times)[at] - 2
-        pair = rules[symbols[at] - first]
-        out[left], out[left + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
+        symbols = split(symbols, at, first, rules)
     return symbols
 
 
-def shard_bytes(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> bytes:
-    """A shard file of documents that are given by all their ids, end ids included, and their sizes."""
+def packed(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Parts of a file: the low 16 bits of values, then each further bit that the largest needs."""
+    high = max(0, int(values.max()).bit_length() - 16) if len(values) else 0
+    return {name: (values & 0xFFFF).astype("<u2")} | {f"{name}_{k}": np.packbits((values >> 16 + k & 1).astype(bool), bitorder="little") for k in range(high)}
+
+
+def shard_bytes(doc_ids: list[int | None], ids: np.ndarray, own: np.ndarray) -> bytes:
+    """A shard file of documents that are given by all their ids, end ids included, and how many each has."""
     ends = np.zeros(len(ids), bool)
-    ends[np.cumsum(sizes) - 1] = True
+    ends[np.cumsum(own) - 1] = True
     first = int(ids.max()) + 1
     symbols, ends, rules = compress(ids, ends)
     starts = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
-    parts = {
-        "rules": rules.astype("<u4"), "lengths": lengths(first, rules).astype("<u4"),
-        "symbols": symbols.astype("<u2" if len(rules) + first <= 1 << 16 else "<u4"),
+    sizes = lengths(first, rules)
+    parts = packed("rules", rules.ravel()) | packed("symbols", symbols) | {
+        "lengths": sizes.astype(np.min_scalar_type(sizes.max(initial=0)).newbyteorder("<")),
         "doc_ids": np.array([x or 0 for x in doc_ids], "<i8"), "nulls": np.array([x is None for x in doc_ids], np.uint8),
-        "first_symbol": starts.astype("<u4"), "first_id": (np.cumsum(sizes) - sizes).astype("<u8"),
+        "first_symbol": starts.astype("<u4"), "first_id": (np.cumsum(own) - own).astype("<u8"),
     }
     head = json.dumps({"first": first, "n_ids": len(ids), "parts": [[k, v.dtype.str, v.size] for k, v in parts.items()]}).encode()
     return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(v.tobytes() for v in parts.values())
@@ -230,20 +263,35 @@ class Shard:
         at = 12 + int.from_bytes(data[8:12], "little")
         head = json.loads(data[12:at])
         self.first, self.n_ids = head["first"], head["n_ids"]
+        self.parts = {}
         for name, kind, n in head["parts"]:
-            setattr(self, name, np.frombuffer(data, kind, n, at))
+            self.parts[name] = np.frombuffer(data, kind, n, at)
             at += n * np.dtype(kind).itemsize
-        self.rules = self.rules.reshape(-1, 2).astype(np.int64)
-        #: What every rule expands to, one after the other.
-        self.flat = expand(np.arange(self.first, self.first + len(self.rules)), self.first, self.rules).astype("<u4")
-        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        for name in ("lengths", "doc_ids", "nulls", "first_symbol", "first_id"):
+            setattr(self, name, self.parts[name])
+        self.symbols = self.parts["symbols"]
+        self.rules = self.unpacked("rules", 0, len(self.parts["rules"])).reshape(-1, 2)
+        #: What every rule of up to LONG ids expands to, one after the other.
+        short = self.lengths <= LONG
+        self.flat = expand(self.first + np.flatnonzero(short), self.first, self.rules).astype("<u4")
+        own = np.where(short, self.lengths, 0)
+        self.starts = np.cumsum(own, dtype=np.int64) - own
+
+    def unpacked(self, name: str, start: int, stop: int) -> np.ndarray:
+        """Some values of a packed part."""
+        out, k = self.parts[name][start:stop].astype(np.int64), 0
+        while (plane := self.parts.get(f"{name}_{k}")) is not None:
+            own = np.unpackbits(plane[start // 8 : -(-stop // 8)], bitorder="little")[start % 8 :][: len(out)]
+            out |= own.astype(np.int64) << 16 + k
+            k += 1
+        return out
 
     def __len__(self) -> int:
         return len(self.doc_ids)
 
     def symbols_of(self, k: int) -> np.ndarray:
         stop = self.first_symbol[k + 1] if k + 1 < len(self) else len(self.symbols)
-        return self.symbols[self.first_symbol[k] : stop].astype(np.int64)
+        return self.unpacked("symbols", int(self.first_symbol[k]), int(stop))
 
     def sizes_of(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -251,8 +299,14 @@ class Shard:
         out[rule] = self.lengths[symbols[rule] - self.first]
         return out
 
+    def long(self, symbols: np.ndarray) -> np.ndarray:
+        """Places of the symbols that aren't held expanded."""
+        return np.flatnonzero(self.sizes_of(symbols) > LONG)
+
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of symbols, each rule's copied whole."""
+        """The ids of symbols: long ones are split, then each rule's are copied whole."""
+        while len(at := self.long(symbols)):
+            symbols = split(symbols, at, self.first, self.rules)
         sizes = self.sizes_of(symbols)
         after = np.cumsum(sizes)
         rule = symbols >= self.first
@@ -267,20 +321,23 @@ class Shard:
         return self.expanded(self.symbols_of(k))
 
     def ids(self, k: int, start: int, stop: int) -> np.ndarray:
-        """Ids start to stop of document k, from the symbols that hold them alone."""
-        own = self.symbols_of(k)
-        after = np.cumsum(self.sizes_of(own))
-        a, b = int(np.searchsorted(after, start, "right")), int(np.searchsorted(after, stop, "left")) + 1
-        before = int(after[a - 1]) if a else 0
-        return self.expanded(own[a:b])[start - before : stop - before]
+        """Ids start to stop of document k, from the symbols that hold them alone; long ones are split where they do."""
+        own, before = self.symbols_of(k), 0
+        while True:
+            after = before + np.cumsum(self.sizes_of(own))
+            a, b = int(np.searchsorted(after, start, "right")), int(np.searchsorted(after, stop, "left")) + 1
+            own, before = own[a:b], int(after[a - 1]) if a else before
+            if not len(at := self.long(own)):
+                return self.expanded(own)[start - before : stop - before]
+            own = split(own, at, self.first, self.rules)
 
     def all(self, part: int = 1 << 18) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, ids before it in the shard, ids) of each document, some symbols expanded at a time."""
+        """(doc_id, ids before it in the shard, ids) of each document, about so many ids expanded at a time."""
         k = 0
         while k < len(self):
-            stop = max(k + 1, int(np.searchsorted(self.first_symbol, self.first_symbol[k] + part)))
+            stop = max(k + 1, int(np.searchsorted(self.first_id, int(self.first_id[k]) + part)))
             end = self.first_symbol[stop] if stop < len(self) else len(self.symbols)
-            ids = self.expanded(self.symbols[self.first_symbol[k] : end].astype(np.int64))
+            ids = self.expanded(self.unpacked("symbols", int(self.first_symbol[k]), int(end)))
             for j in range(k, stop):
                 a = int(self.first_id[j] - self.first_id[k])
                 b = int(self.first_id[j + 1] - self.first_id[k]) if j + 1 < len(self) else self.n_ids - int(self.first_id[k])

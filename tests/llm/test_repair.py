@@ -77,6 +77,38 @@ def test_rules_stay_within_documents_and_lengths_are_right():
     assert len(same) < 200
 
 
+def repeated_pairs(symbols, ends):
+    """Pairs that occur twice without overlap."""
+    seen, last = {}, {}
+    for k in np.flatnonzero(~ends[:-1]).tolist():
+        pair = int(symbols[k]), int(symbols[k + 1])
+        if last.get(pair) != k - 1 or pair[0] != pair[1]:
+            seen[pair], last[pair] = seen.get(pair, 0) + 1, k
+    return [p for p, n in seen.items() if n > 1]
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 5, 50, 3000])
+def test_no_pair_is_left_twice(kinds):
+    docs = grammar(700, kinds, kinds)
+    ids = np.concatenate(docs)
+    marks = np.zeros(len(ids), bool)
+    marks[np.cumsum([len(d) for d in docs]) - 1] = True
+    symbols, ends, rules = compress(ids, marks)
+    assert not repeated_pairs(symbols, ends)
+    assert expand(symbols, int(ids.max()) + 1, rules).tolist() == ids.tolist() and ends.sum() == 40
+
+
+def test_a_repeated_passage_becomes_one_symbol():
+    passage = np.random.default_rng(1).integers(3, 40_000, 1000)
+    own = [np.append(passage, 2).astype("<u4")] * 300
+    data = shard_bytes(list(range(300)), np.concatenate(own), np.full(300, 1001))
+    held = Shard(data)
+    assert len(held.symbols) == 300 and held.lengths.max() == 1001 and len(data) < 20_000
+    assert all(x.tolist() == own[0].tolist() for _, _, x in held.all(5000))
+    for a, b in ((0, 1001), (0, 1), (400, 400), (437, 612), (1000, 1001)):
+        assert held.ids(7, a, b).tolist() == own[0][a:b].tolist()
+
+
 def test_defined_cases(spark, whole):
     rows = [(3, ""), (1, None), (None, "x y"), (3, "It's a <|endoftext|> été 42"), (2, "a " * 50_000), (2, "a " * 50_000)]
     df = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, start string")
