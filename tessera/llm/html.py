@@ -8,7 +8,9 @@ that element is taken whole, and beside an article element only other article el
 styles and reader comments are cut out before counting: by element, by role, and by words of class and id.
 
 Defined cases: a null or empty page, or one without text outside these parts, gives an empty text. White space inside a
-block becomes one space; blocks are joined in page order by one space. Nothing else is dropped, whatever the length.
+block becomes one space; blocks are joined in page order by one space. Outside article and main elements, and outside the
+box that is chosen as the article (the body as a whole isn't), a list, table, div or section with over two links that make
+over half its text is a menu and goes, but for a div or section with over half of the page's text. Nothing else is dropped, whatever the length.
 Unclosed elements end where their parent ends; a truncated page is read as far as it goes.
 """
 
@@ -194,9 +196,12 @@ class Page:
         for i in range(n - 1, 0, -1):
             last[self.parent[i]] = max(last[self.parent[i]], last[i])
         chars, tags, link_chars, link_tags = self.counted()
+        menu = [False] * n
         for i in range(1, n):  # menus without a name: lists and boxes that are mostly several links
             if not self.cut[i]:
-                self.cut[i] = self.cut[self.parent[i]] or self.tag[i] in ("ul", "ol", "div", "section", "table") and link_tags[i] > 2 and 2 * link_chars[i] > chars[i]
+                menu[i] = self.tag[i] in ("ul", "ol", "div", "section", "table") and link_tags[i] > 2 and 2 * link_chars[i] > chars[i] and not self.inside[i] and (self.tag[i] not in ("div", "section") or 2 * chars[i] <= chars[self.body])
+                menu[i] |= menu[self.parent[i]]
+                self.cut[i] = self.cut[self.parent[i]] or menu[i]
             if self.tag[i] == "form" and not self.cut[i]:  # but for pages that stand in a form as a whole
                 inner = sum(t in ("article", "main", "p") for t in self.tag[i + 1 : last[i] + 1])
                 self.cut[i] = 2 * chars[i] <= chars[self.body] or inner < 2
@@ -236,6 +241,9 @@ class Page:
             at = max(within, key=lambda i: (self.tag[i] == "article", chars[i]), default=at)
         chosen[at] = total[at] > 0
         taken = at
+        for i in range(at + 1, last[at] + 1 if at > body else 0):  # what looked like menus is text of the article
+            if menu[i]:
+                self.cut[i] = self.cut[self.parent[i]]
         threshold = density[at]
         while at > body:
             threshold = min(threshold, density[at])

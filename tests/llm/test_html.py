@@ -30,6 +30,23 @@ def test_other_parts_go(other):
         assert main_text(page(after=other, inside=wrap.format(text))) == BODY
 
 
+LINKS = "".join(f"<li><a href={k}>The source of number {k}</a></li>" for k in range(5))
+LINKED = " ".join(f"The source of number {k}" for k in range(5))
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>"])
+def test_lists_of_links_in_the_article_stay(wrap):
+    text = "".join(f"<p>{P}</p>" for _ in range(3))
+    menu = "<ul>" + "<li><a href=/>Go</a></li>" * 4 + "</ul>"
+    for box in ("<ul>{}</ul>", "<section><ol>{}</ol></section>", "<table><tr><td>{}</table>"):
+        assert main_text(page(before=menu, inside=wrap.format(text + box.format(LINKS)))) == f"{BODY} {LINKED}"
+
+
+def test_a_page_of_links_is_not_empty():
+    assert main_text(page(inside=f"<div><p>Terms</p><ul>{LINKS}</ul></div>")) == f"Terms {LINKED}"
+    assert main_text(page(inside=f"<main><ul>{LINKS}</ul></main>")) == LINKED
+
+
 def test_sections_and_headings_stay():
     html = page(inside=f"<main><header><h1>Head</h1></header><section><h2>One</h2><p>{P}</p></section><section><h2>Two</h2><p>{P}</p><ul><li>first item</li><li>second</li></ul><blockquote>said</blockquote></section></main>", before="<nav><a>x</a></nav>")
     assert main_text(html) == f"Head One {P} Two {P} first item second said"
