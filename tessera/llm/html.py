@@ -5,7 +5,9 @@ lowered as links take a larger part. A node's density sum adds up its children's
 is the article; the smallest density on its path to the body is the threshold, and each node that reaches the threshold
 adds the subtree with the largest sum below it. If the article stands in an article element, or else in a main element,
 that element is taken whole, and beside an article element only other article elements are added. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are cut out before counting: by element, by role, and by words of class and id.
+styles and reader comments are cut out before counting: by element, by role, and by words of class and id. In an article or
+main element, and of headings, paragraphs and sections, one such word isn't enough unless it can hardly mean anything else
+(ALWAYS); an id of several words on a heading or paragraph doesn't count, as it repeats what they say.
 
 Defined cases: a null or empty page, or one without text outside these parts, gives an empty text. White space inside a
 block becomes one space; blocks are joined in page order by one space. Outside article and main elements, and outside the
@@ -34,7 +36,7 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)
 #: Fixed values, elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-CUT = RAW | frozenset("head nav footer aside button select option datalist template svg canvas object audio video map dialog menu math input label fieldset legend".split())
+CUT = RAW | frozenset("head nav footer aside button select option datalist template svg canvas object audio video map dialog menu input annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: An element that starts closes these, up to the boundary elements.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -51,6 +53,8 @@ copyright skiplink tags""".split())
 KEEPS = frozenset("content article main body post entry story text".split())
 ALWAYS = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments disqus sidebar cookie consent newsletter".split())
 CONTAINERS = frozenset("html body main article".split())
+#: Elements whose id often is a slug of what they say.
+SLUGS = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 #: Elements that an article can be; inline elements and paragraphs raise their parents' sums only.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOXES = frozenset("#root html body main article section div td center form blockquote details".split())
@@ -71,17 +75,27 @@ def boilerplate(tag: str, source: str, inside: bool) -> bool:
     own = attributes(source)
     if tag not in CONTAINERS and ("hidden" in own or own.get("aria-hidden") == "true" or own.get("role", "").lower() in ROLES or "display:none" in own.get("style", "").replace(" ", "").lower()):
         return True
-    for name in (*own.get("class", "").split(), own.get("id", "")):
+    # where text of the article is likely, one word that may be its subject doesn't tell
+    doubtful, found = inside or tag in SLUGS, set()
+    for k, name in enumerate((own.get("id", ""), *own.get("class", "").split())):
         words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name)]
-        for k, w in enumerate(words):
-            if k and words[k - 1] in ("no", "has", "with", "without", "non"):
+        slug = not k and tag in SLUGS - {"section"}
+        for j, w in enumerate(words):
+            if j and words[j - 1] in ("no", "has", "with", "without", "non"):
                 continue
             if w in HINTS and tag in CONTAINERS:
                 if len(words) == 1 and w in ALWAYS:
                     return True
-            elif w in HINTS and (w in ALWAYS or not KEEPS & set(words)) or w == "header" and not inside and not KEEPS - {"main"} & set(words):
+            elif w in ALWAYS and not (slug and len(words) > 1):
                 return True
-    return False
+            elif w in HINTS and not KEEPS & set(words):
+                if not doubtful:
+                    return True
+                if not slug:
+                    found.add(w)
+            elif w == "header" and not doubtful and not KEEPS - {"main"} & set(words):
+                return True
+    return len(found) > 1
 
 
 class Page:

@@ -42,6 +42,32 @@ def test_lists_of_links_in_the_article_stay(wrap):
         assert main_text(page(before=menu, inside=wrap.format(text + box.format(LINKS)))) == f"{BODY} {LINKED}"
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<h2 id=related-work>{}</h2>", "<h2 id=privacy>{}</h2>", "<h3 class=section-header>{}</h3>", "<section id=search-algorithms><p>{}</p></section>", "<section id=legal-history>{}</section>",
+        "<p class=notice>{}</p>", "<h2 id=the-sidebar-design>{}</h2>", "<p><math><mi>{}</mi><annotation>x</annotation></math></p>", "<fieldset><legend>{}</legend></fieldset>", "<p><label>{}</label></p>",
+    ],
+)
+def test_parts_whose_names_may_be_subjects_stay(part):
+    text = "".join(f"<p>{P}</p>" for _ in range(3))
+    for wrap in ("<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>"):
+        assert main_text(page(inside=wrap.format(text + part.format("Words of it")))) == f"{BODY} Words of it"
+
+
+def test_sections_named_for_what_is_no_article_go():
+    for name in ("user-comments", "related-recommendations", "newsletter"):
+        assert main_text(page(after=f"<section id={name}><p>{P}</p></section>")) == BODY
+
+
+def test_names_within_an_article():
+    text = "".join(f"<p>{P}</p>" for _ in range(3))
+    inside = lambda part: main_text(page(inside=f"<article>{text}{part}</article>"))
+    assert inside("<div class=reviews>What they said</div>") == f"{BODY} What they said"
+    for gone in ("<div class=sidebar>x</div>", "<div class='share-widget'>x</div>", "<div class='related social'>x</div>", "<h2 id=comments>x</h2>", "<p role=alert>x</p>", "<nav>x</nav>"):
+        assert inside(gone) == BODY
+
+
 def test_a_page_of_links_is_not_empty():
     assert main_text(page(inside=f"<div><p>Terms</p><ul>{LINKS}</ul></div>")) == f"Terms {LINKED}"
     assert main_text(page(inside=f"<main><ul>{LINKS}</ul></main>")) == LINKED
