@@ -84,6 +84,12 @@ def test_a_marked_article_is_taken_alone():
     assert main_text(page(inside=f"<main><article><p>{P}</p></article></main>", after="<p>x</p>")) == P
 
 
+def test_a_section_beside_the_article_in_the_chosen_box_stays():
+    article, section = (f"<p>{' '.join([P] * n)}</p>" for n in (6, 5))
+    for box in ("main", "div"):
+        assert main_text(page(inside=f"<{box}><article>{article}</article><section>{section}</section></{box}>", before="<p>x</p>")) == " ".join([P] * 11)
+
+
 def test_a_heading_beside_the_text_stays():
     assert main_text(page(before="<div class=site-header><p>The name of the site</p></div>", inside=f"<div class=post><h1>Head</h1><div class=body><p>{P}</p><p>{P}</p><p>{P}</p></div></div>")) == f"Head {BODY}"
 
