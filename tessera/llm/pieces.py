@@ -6,7 +6,8 @@ units' substrings of at most the longest piece's length are exploded and equi-jo
 are grouped by unit and folded with the higher-order ``aggregate``. A unigram model folds Viterbi, the path of the best
 total score. A BPE model is not scored by paths: its fold starts from single characters and each step takes the best
 ranked, then leftmost, edge that joins two neighbours, which is what the library does; Viterbi over BPE ranks gives other
-pieces, so that fold is used only for unigram tables. Characters without a piece become byte pieces.
+pieces, so that fold is used only for unigram tables. Only BPE models can be encoded: ``Model`` refuses all others, and the
+Viterbi fold is reached by hand-made tables alone. Characters without a piece become byte pieces.
 
 Units are distinct within an input split (file and block), so each split has a table of its own units, as large as its
 text at most. It's written to the shared folder and read by the task of the split, and no text is shuffled. A table that
