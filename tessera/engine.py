@@ -70,15 +70,15 @@ def prompt(engine: Engine, lines: Iterable[str], out=sys.stdout, limit: int = 10
         try:
             if len(words) == 1 and words[0].lower() in ("exit", "quit"):
                 engine.catalog.flush()
-                print("OK, goodbye.", file=out)
+                print("Catalog saved.", file=out)
                 return
             if len(words) == 4 and words[0].lower() == "load" and words[2].lower() == "from":
                 table = engine.load(words[1], words[3])
-                print(f"OK, {table.tuple_count} rows in {table.name}.", file=out)
+                print(f"{table.name}: {table.tuple_count} rows loaded", file=out)
                 continue
             found = engine.sql(text)
             if isinstance(found, Table):
-                print(f"Added table {found.name}", file=out)
+                print(f"{found.name}: {len(found.schema)} columns", file=out)
             else:
                 print("|".join(found.columns), file=out)
                 for row in found.take(limit):

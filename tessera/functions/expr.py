@@ -2,11 +2,14 @@
 
 ``+ (a, b)``, ``um (a)``, ``[att]``, ``int[1]``, ``double[1.5]``, ``bool[true]``, ``string[x]``. Characters that begin
 nothing are skipped, so white space and stray brackets are legal. Types are checked before Spark sees anything, and every
-comparison gets operands of one type: ints, else doubles, else texts.
+comparison gets operands of one type: ints, else doubles, else texts. A column of dates or times is its days' text
+(``yyyy-MM-dd``); compared with a day of four-digit year, it's compared as a date, which gives the same and can be pushed
+down to the scan.
 """
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Mapping
 from typing import NamedTuple
@@ -14,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.types import BOOL, DOUBLE, INT, STRING, EngineError, TypeMismatch, to_double, to_text
+from tessera.functions.types import BOOL, DATED, DOUBLE, INT, STRING, EngineError, TypeMismatch, day, to_double, to_text
 
 BINARY = ("!=", "==", "||", "&&", "+", "-", "*", "/", ">", "<")
 LEX = re.compile(r"(?P<literal>int|double|bool|string)?\[(?P<value>[^\]]*)\]|(?P<aggregate>sum|avg|cnt)\s*\(|(?P<op>!=|==|\|\||&&|um|[-+*/><!])", re.S)
@@ -110,7 +113,10 @@ def _column(e: Expr, schema: Mapping[str, str], inner: Mapping[Expr, Column]) ->
     if e in inner:
         return inner[e]
     if e.op == "att":
-        return F.col(f"`{e.value}`")
+        own = F.col(f"`{e.value}`")
+        return day(own) if e.value in _dated(schema) else own
+    if (found := _by_day(e, schema, inner)) is not None:
+        return found
     if e.op in (INT, DOUBLE, BOOL, STRING):
         if e.op == INT:
             return F.lit(e.value).cast("int" if -(1 << 31) <= e.value < 1 << 31 else "bigint")
@@ -137,6 +143,45 @@ def _column(e: Expr, schema: Mapping[str, str], inner: Mapping[Expr, Column]) ->
     return {"+": a.__add__, "-": a.__sub__, "*": a.__mul__, "/": a.__truediv__, ">": a.__gt__, "<": a.__lt__, "==": a.__eq__, "!=": a.__ne__}[e.op](b)
 
 
+def _dated(schema: Mapping[str, str]) -> frozenset[str]:
+    return getattr(schema, "dated", frozenset())
+
+
+def day_of(text: str) -> datetime.date | None:
+    """The day that a text names as the engine would print it."""
+    try:
+        found = datetime.date.fromisoformat(text)
+    except ValueError:
+        return None
+    return found if found.isoformat() == text and found < datetime.date.max else None
+
+
+def compared(column: Column, sign: str, value: datetime.date) -> Column:
+    """A comparison of the text of a date or time with a day, as one of dates."""
+    first, next_ = F.lit(value), F.lit(value + datetime.timedelta(days=1))
+    if sign in ("==", "!="):
+        same = (column >= first) & (column < next_)
+        return same if sign == "==" else ~same
+    return column >= next_ if sign == ">" else column < first
+
+
+def _by_day(e: Expr, schema: Mapping[str, str], inner: Mapping[Expr, Column]) -> Column | None:
+    """A comparison of dated columns with each other or with a day; None for all else."""
+    if e.op not in (">", "<", "==", "!="):
+        return None
+    dated = [a.op == "att" and a.value in _dated(schema) and a not in inner for a in e.args]
+    a, b = e.args
+    if all(dated):
+        x, y = (F.col(f"`{i.value}`").cast("date") for i in e.args)
+        return {">": x > y, "<": x < y, "==": x == y, "!=": x != y}[e.op]
+    sign = e.op
+    if dated[1]:
+        a, b, sign = b, a, {">": "<", "<": ">"}.get(e.op, e.op)
+    if any(dated) and b.op == STRING and (value := day_of(b.value)):
+        return compared(F.col(f"`{a.value}`"), sign, value)
+    return None
+
+
 def _wider(e: Expr, schema: Mapping[str, str]) -> str:
     """Integer division stays 32 bits wide unless a column may be wider; ``schema`` may map names to 'int' only."""
     wide = getattr(schema, "wide", frozenset())
@@ -144,13 +189,17 @@ def _wider(e: Expr, schema: Mapping[str, str]) -> str:
 
 
 class Columns(dict):
-    """Types of a table's columns, and which of the ints are 64 bits wide."""
+    """Types of a table's columns, which of the ints are 64 bits wide, and which of the strings are dates or times."""
 
-    def __init__(self, df) -> None:
+    def __init__(self, *tables) -> None:
         from tessera.functions.types import schema_of
 
-        super().__init__(schema_of(df))
-        self.wide = frozenset(f.name for f in df.schema.fields if f.dataType.typeName() == "long")
+        super().__init__()
+        fields = [f for df in tables for f in df.schema.fields]
+        for df in tables:
+            self.update(schema_of(df))
+        self.wide = frozenset(f.name for f in fields if f.dataType.typeName() == "long")
+        self.dated = frozenset(f.name for f in fields if isinstance(f.dataType, DATED))
 
 
 def compiled(text: str | Expr, schema: Mapping[str, str]) -> tuple[Column, str]:

@@ -1,4 +1,9 @@
-"""The four scalar types, their promotion, their text form, and coercion to declared output types."""
+"""The four scalar types, their promotion, their text form, and coercion to declared output types.
+
+Expressions know ints, doubles, strings and bools. A column can also be declared ``long``: an int of 64 bits, for counts and
+sums of large tables. Dates and times are strings to expressions (``yyyy-MM-dd``), but stay dates in the tables, so that
+comparisons with days reach the scan.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INT, DOUBLE, STRING, BOOL = "int", "double", "string", "bool"
-SPARK = {INT: T.IntegerType(), DOUBLE: T.DoubleType(), STRING: T.StringType(), BOOL: T.BooleanType()}
+LONG = "long"
+DATED = (T.DateType, T.TimestampType, T.TimestampNTZType)
+SPARK = {INT: T.IntegerType(), LONG: T.LongType(), DOUBLE: T.DoubleType(), STRING: T.StringType(), BOOL: T.BooleanType()}
 Schema = list[tuple[str, str]]
 
 
@@ -20,12 +27,12 @@ class TypeMismatch(EngineError):
 
 
 def kind_of(spark_type: T.DataType) -> str:
-    """The scalar type of a Spark type. Wide integers are ints; dates come as text (see ``plain``)."""
+    """The scalar type of a Spark type. Wide integers are ints, dates and times are strings."""
     if isinstance(spark_type, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
         return INT
     if isinstance(spark_type, (T.DoubleType, T.FloatType)):
         return DOUBLE
-    if isinstance(spark_type, T.StringType):
+    if isinstance(spark_type, (T.StringType, *DATED)):
         return STRING
     if isinstance(spark_type, T.BooleanType):
         return BOOL
@@ -33,16 +40,18 @@ def kind_of(spark_type: T.DataType) -> str:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """The table with dates and times as ``yyyy-MM-dd`` text and decimals as doubles; other columns stay."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd").alias(f.name)
-        elif isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double").alias(f.name)
-        out.append(c)
-    return df.select(*out)
+    """The table with decimals as doubles; other columns stay, dates and times too."""
+    return df.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def day(column: Column) -> Column:
+    """A date or time as the engine prints it."""
+    return F.date_format(column, "yyyy-MM-dd")
+
+
+def printed(df: DataFrame) -> DataFrame:
+    """The table with dates and times as text: what the engine gives out."""
+    return plain(df).select(*[day(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, DATED) else F.col(f"`{f.name}`") for f in plain(df).schema.fields])
 
 
 def to_text(column: Column, kind: str) -> Column:

@@ -13,12 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import Columns, Expr, column, compiled, kind, parse, predicate
-from tessera.functions.types import INT, EngineError, Schema, TypeMismatch, coerce, kind_of
+from tessera.functions.expr import Columns, Expr, column, compared, compiled, day_of, kind, parse, predicate
+from tessera.functions.types import INT, EngineError, Schema, TypeMismatch, coerce, kind_of, printed
 
 TRUE = "bool[true]"
-#: Bytes of a side for each shuffle partition, up to which a hash table of it is asked for.
-HASH_BYTES = 64 << 20
 
 
 def _where(df: DataFrame, text: str) -> DataFrame:
@@ -43,9 +41,21 @@ def selection(df: DataFrame, where: str, projections: Sequence[str], schema: Sch
 
 
 def key_range(df: DataFrame, key: str, low: object, high: object, ordered: bool = False) -> DataFrame:
-    """Rows with low <= key <= high. On a clustered table whole files and row groups are skipped by their statistics."""
-    out = df.where(F.col(f"`{key}`").between(F.lit(low), F.lit(high)))
-    return out.orderBy(F.col(f"`{key}`")) if ordered else out
+    """Rows with low <= key <= high. On a clustered table whole files and row groups are skipped by their statistics.
+
+    Bounds of a key of dates or times are days, each included as a whole.
+    """
+    own = F.col(f"`{key}`")
+    if key in Columns(df).dated:
+        first, last = day_of(str(low)), day_of(str(high))
+        if first is None or last is None:
+            raise EngineError(f"{key}: {low} to {high} are no days")
+        return _ordered(df.where(~compared(own, "<", first) & ~compared(own, ">", last)), own, ordered)
+    return _ordered(df.where(own.between(F.lit(low), F.lit(high))), own, ordered)
+
+
+def _ordered(df: DataFrame, by: Column, ordered: bool) -> DataFrame:
+    return df.orderBy(by) if ordered else df
 
 
 def point(df: DataFrame, key: str, value: object) -> DataFrame:
@@ -65,26 +75,13 @@ def pages(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def partition_range(df: DataFrame, low: int, high: int) -> DataFrame:
-    """Rows of the scan's partitions low to high, both included."""
-    return df.where(F.spark_partition_id().between(low, high))
-
-
 # joins
 
 
-def _bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _condition(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> tuple[Column | None, Columns]:
     if clash := sorted(set(left.columns) & set(right.columns)):
         raise EngineError(f"both sides have {', '.join(clash)}")
-    both = Columns(left)
-    other = Columns(right)
-    both.update(other)
-    both.wide |= other.wide
+    both = Columns(left, right)
     parts = []
     for a, b in keys:
         x, y = parse(a), parse(b)
@@ -97,8 +94,9 @@ def _condition(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]
 def hash_join(left: DataFrame, right: DataFrame, final: str, projections: Sequence[str], schema: Schema, keys: Sequence[tuple[str, str]] = (), left_where: str = TRUE, right_where: str = TRUE) -> DataFrame:
     """Inner join on any number of key pairs, each side filtered first, pairs kept if ``final`` holds.
 
-    The side that Catalyst estimates smaller is hashed, if its share of a shuffle partition is of a bounded size; else
-    Catalyst and adaptive execution choose. No pairs of keys: a join by ``final`` alone.
+    Catalyst and adaptive execution choose how: a side under the session's broadcast threshold is broadcast, others are
+    shuffled, sorted where their hash tables might not fit, and split where a key is hot. No pairs of keys: a join by
+    ``final`` alone.
     """
     left, right = _where(left, left_where), _where(right, right_where)
     on, both = _condition(left, right, keys)
@@ -106,13 +104,6 @@ def hash_join(left: DataFrame, right: DataFrame, final: str, projections: Sequen
     if on is None:
         joined = left.crossJoin(right) if rest is None else left.join(right, rest, "inner")
     else:
-        small = _bytes(left), _bytes(right)
-        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if min(small) <= HASH_BYTES * n:
-            if small[0] < small[1]:
-                left = left.hint("shuffle_hash")
-            else:
-                right = right.hint("shuffle_hash")
         joined = left.join(right, on if rest is None else on & rest, "inner")
     return _projected(joined, projections, schema)
 
@@ -181,11 +172,15 @@ def merge(inputs: Sequence[DataFrame], by: str) -> DataFrame:
 # statistics
 
 
-def statistics(df: DataFrame, exact: bool = False) -> DataFrame:
-    """(column_name, n_distinct, n_rows) in one pass; distinct counts are estimates unless ``exact``."""
-    count = F.count_distinct if exact else F.approx_count_distinct
+def statistics(df: DataFrame, exact: bool = False, error: float = 0.02) -> DataFrame:
+    """(column_name, n_distinct, n_rows) in one pass; distinct counts are estimates of this standard error unless ``exact``.
+
+    Exact counts expand each row to one for every column: that is for small tables.
+    """
+    count = F.count_distinct if exact else lambda c: F.approx_count_distinct(c, error)
     for f in df.schema.fields:
         kind_of(f.dataType)
+    df = printed(df)
     one = df.agg(F.count(F.lit(1)).alias("__n"), *[count(F.col(f"`{c}`")).alias(f"__{i}") for i, c in enumerate(df.columns)])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"__{i}").alias("n_distinct")) for i, c in enumerate(df.columns)])
     return one.select(F.explode(rows).alias("r"), F.col("__n").alias("n_rows")).select("r.column_name", "r.n_distinct", "n_rows")

@@ -1,6 +1,6 @@
 """A checked SELECT as a DataFrame.
 
-Each table's columns are renamed to alias_column. Conjuncts over one table become filters below the joins; the joins
+Each table's columns are renamed to alias.column; in the output the dot is an underscore. Conjuncts over one table become filters below the joins; the joins
 form a connected chain with every conjunct at the first place that has its columns, so a cross join is made only where
 the statement connects two tables by nothing. Catalyst reorders and picks algorithms from there.
 """
@@ -22,9 +22,9 @@ from tessera.plans.parser import Select
 def named(e: Expr, k: int) -> str:
     """Output name: the column's, sum_ or avg_ and the column's, else value_k."""
     if e.op == "att":
-        return e.value
+        return e.value.replace(".", "_")
     if e.op in ("sum", "avg") and e.args[0].op == "att":
-        return f"{e.op}_{e.args[0].value}"
+        return f"{e.op}_{named(e.args[0], k)}"
     return f"value_{k}"
 
 
@@ -36,7 +36,7 @@ def translated(query: Select, tables: Mapping[str, DataFrame]) -> DataFrame:
     parts = []
     for table, alias in query.tables:
         df = tables[table]
-        parts.append(df.select(*[F.col(f"`{c}`").alias(f"{alias}_{c}") for c in df.columns]))
+        parts.append(df.select(*[F.col(f"`{c}`").alias(f"{alias}.{c}") for c in df.columns]))
     left = list(query.where)
 
     def filtered(df: DataFrame) -> DataFrame:
@@ -72,9 +72,7 @@ def _all(parts: list[Expr], df: DataFrame) -> Column:
 
 
 def _condition(parts: list[Expr], a: DataFrame, b: DataFrame) -> Column:
-    types = Columns(a)
-    types.update(Columns(b))
-    types.wide |= Columns(b).wide
+    types = Columns(a, b)
     return reduce(Column.__and__, [column(e, types) for e in parts])
 
 

@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.functions.types import Schema
-from tessera.sources.tables import Stored, parsed
+from tessera.sources.tables import Stored, from_lines
 
 
 def lines(stored: Stored, folder: str) -> DataFrame:
     """A stream of the table's rows from the folder's text files."""
-    schema: Schema = stored.table.schema
-    split = stored.spark.readStream.text(folder).where(F.length("value") > 0).select(F.split("value", "[|]", -1).alias("f"))
-    return split.select(*[parsed(F.element_at("f", i + 1), k, n).alias(n) for i, (n, k) in enumerate(schema)])
+    return from_lines(stored.spark.readStream.text(folder), stored.table.schema)
 
 
 def ingest(stored: Stored, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append what has arrived (or goes on arriving). Each batch is one folder of the table, so a repeat replaces it."""
+    """Append what has arrived (or goes on arriving).
+
+    Each batch is one run of the table, written as any append is (in ranges of the key for a clustered table). The version
+    that adds it also records the stream's id and the batch's number, so a batch that is repeated after a failure is not
+    added again.
+    """
 
     def store(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{stored.table.path}/batch={epoch}")
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        stored.append(batch, (stream, epoch))
 
     writer = lines(stored, folder).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

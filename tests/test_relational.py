@@ -34,15 +34,53 @@ def test_joins_agree_and_use_their_algorithms(s, c):
     theta = R.hash_join(s, c, "&& (== ([s_nationkey], [c_nationkey]), > ([c_acctbal], [s_acctbal]))", *NAMES, (), "< ([s_nationkey], int[9])", "> ([c_acctbal], int[0])")
     expected = sorted((a.s_name, b.c_name) for a in s.collect() for b in c.collect() if a.s_nationkey == b.c_nationkey < 9 and b.c_acctbal > 0 and b.c_acctbal > a.s_acctbal)
     assert rows(hashed) == rows(merged) == rows(theta) == expected
-    assert "ShuffledHashJoin" in plan(hashed) and "SortMergeJoin" in plan(merged)
+    assert "BroadcastHashJoin" in plan(hashed) and "SortMergeJoin" in plan(merged)
     assert "BroadcastNestedLoopJoin" in plan(R.hash_join(s, c, "< ([s_acctbal], [c_acctbal])", *NAMES)) or "CartesianProduct" in plan(R.hash_join(s, c, "< ([s_acctbal], [c_acctbal])", *NAMES))
 
 
-def test_the_smaller_side_is_hashed(s, c):
+def test_small_sides_are_broadcast(s, c):
     assert "BuildLeft" in plan(R.hash_join(s, c, TRUE, *NAMES, [("[s_nationkey]", "[c_nationkey]")]))
     assert "BuildRight" in plan(R.hash_join(c, s, TRUE, *NAMES, [("[c_nationkey]", "[s_nationkey]")]))
 
 
+def test_small_tables_of_many_are_broadcast(spark, sf_dir):
+    from tessera.queries import join_nway_q5
+
+    text = plan(join_nway_q5(spark, sf_dir))
+    assert text.count("BroadcastHashJoin") >= 4 and "ShuffledHashJoin" not in text
+
+
+def test_a_large_side_is_shuffled(spark, s, c):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = R.hash_join(s, c, TRUE, *NAMES, [("[s_nationkey]", "[c_nationkey]")])
+        assert "SortMergeJoin" in plan(out) and out.count() == sum(a.s_nationkey == b.c_nationkey for a in s.collect() for b in c.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_days_reach_the_scan(spark, sf_dir):
+    from tessera.queries import QUERIES, sql
+
+    days = sql(spark, sf_dir, 'SELECT o.o_orderkey FROM orders AS o WHERE o.o_orderdate > "1996-01-01" AND o.o_orderdate < "1997-01-01"')
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-02" in plan(days) and "LessThan(o_orderdate,1" in plan(days)
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-01" in plan(QUERIES["range_clustered"](spark, sf_dir))
+
+
+def test_days_compare_as_their_text(spark):
+    times = ["1999-12-31 23:59:59", "2000-01-01 00:00:00", "2000-01-01 12:30:00", "2000-01-02 00:00:00", None]
+    for kind in ("date", "timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame([(t,) for t in times], "t string").selectExpr(f"cast(t as {kind}) as d", "substring(t, 1, 10) as e")
+        for sign, value in ((x, v) for x in (">", "<", "==", "!=") for v in ("2000-01-01", "2000-1-1", "x", "1999-12-31", "2000-02-30")):
+            for a, b in (("[{}]", f"string[{value}]"), (f"string[{value}]", "[{}]")):
+                one, other = (R.selection(df, f"{sign} ({a.format(x)}, {b.format(x)})", ["[e]"], [("e", "string")]) for x in "de")
+                assert rows(one) == rows(other), (kind, sign, a, b)
+        assert R.selection(df, "== ([d], [e])", ["[d]"], [("d", "string")]).where("d is not null").count() == 4
+        assert R.hash_join(prefixed(df, "l_"), prefixed(df, "r_"), TRUE, ["[l_e]"], [("e", "string")], [("[l_d]", "[r_d]")]).count() == 6
+        assert R.key_range(df, "d", "2000-01-01", "2000-01-01").count() == 2
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     out = R.selection(spark.read.parquet(f"{sf_dir}/part.parquet"), "> ([p_size], int[40])", ["[p_name]"], [("n", "string")])
     text = plan(out)
