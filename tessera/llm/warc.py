@@ -8,10 +8,12 @@ with few large reads. Files are reached through their URI's file system, so any
 Records of equal payloads: the one with the smallest page_id holds the payload (response), the others point to it
 (revisit, without a payload). Digests are bare base32 SHA-1. Payloads under ``least`` bytes are always responses.
 
-Defined cases: null html is an empty payload; a null page_id sorts after all others and is read back as null; rows that
-repeat wholly become one response and revisits of the same page_id; an empty table makes no package. A package is written
-under a fresh name by each attempt of a task and counts only once its row is in the committed manifest table, so lost
-executors leave at most files that nobody reads.
+Defined cases: null html is an empty payload; a null page_id sorts after all others and is read back as null; of equal
+page_ids the smaller url is first, a null one last; rows that repeat wholly become one response and revisits of the same
+page_id; an empty table makes no package. A payload of any length is one record, held whole by the task that writes or
+reads it. Only page_id, url and html are read, so other columns can't clash, whatever their names. A package is written under a fresh name by
+each attempt of a task and counts only once its row is in the committed manifest table, so lost executors leave at most
+files that nobody reads.
 """
 
 from __future__ import annotations
@@ -192,27 +194,44 @@ def read_package(uri: str, name: str, read: int = READ) -> Iterator[dict]:
             at = stop
 
 
+def _decided(rows: DataFrame, least: int) -> DataFrame:
+    """(place, page_id, url, sha1, payload_bytes, copies, is_head, refers_to) of each distinct row; no payload is moved.
+
+    A digest that has more than a ten-thousandth of the repeated rows joins by broadcast (there can't be over 10,000 of
+    those), the others by digest, so that no task gets all pages of a common payload.
+    """
+    own = staged(rows.groupBy("place", "page_id", "url", "sha1", "payload_bytes").agg(F.count(F.lit(1)).alias("copies")), "warc-rows")
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("nowhere"), "url", "place")
+    heads = own.where(F.col("payload_bytes") >= least).groupBy("sha1", "payload_bytes").agg(F.min(order).alias("head"), F.sum("copies").alias("n"))
+    heads = staged(heads.where("n > 1").select("sha1", "payload_bytes", F.col("head.page_id").alias("head_id"), F.col("head.place").alias("head_place"), "n"), "warc-heads")
+    often = max(100, (heads.agg(F.sum("n")).first()[0] or 0) // 10_000)
+    keys = ["sha1", "payload_bytes"]
+    hot = F.broadcast(heads.where(F.col("n") > often).drop("n"))
+    both = own.join(hot, keys).unionByName(own.join(hot, keys, "left_anti").join(heads.where(F.col("n") <= often).drop("n"), keys, "left"))
+    is_head = F.coalesce(F.col("place") == F.col("head_place"), F.lit(True))
+    return staged(both.select("place", "page_id", "url", *keys, "copies", is_head.alias("is_head"), F.col("head_id").alias("refers_to")), "warc-decided")
+
+
 def records_of(pages: DataFrame, least: int = 0) -> DataFrame:
     """A row for each record: page_id, url, payload (null for revisits), sha1, payload_bytes, record_type, refers_to.
 
-    Payloads are shuffled once, by a key that is unique but for rows that repeat wholly; only ids and digests go by digest.
+    What becomes of each row is decided on ids and digests alone. Payloads then go through one exchange, by the hash of the
+    whole row (page_id, url and digest), where those of responses meet their decisions; revisits have none.
     """
-    own = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
-    own = own.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("nowhere"), "url")
-    heads = own.select("page_id", "url", "sha1", "payload_bytes").where(F.col("payload_bytes") >= least).groupBy("sha1", "payload_bytes").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n"))
-    heads = heads.where("n > 1").select("sha1", "payload_bytes", F.col("head.page_id").alias("head_id"), F.col("head.url").alias("head_url"))
-    once = own.groupBy("sha1", "payload_bytes", "page_id", "url").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).cast("int").alias("copies"))
-    same = (F.col("o.sha1") == F.col("h.sha1")) & F.col("o.page_id").eqNullSafe(F.col("h.head_id")) & F.col("o.url").eqNullSafe(F.col("h.head_url")) & (F.col("o.payload_bytes") == F.col("h.payload_bytes"))
-    twice = heads.select("sha1", F.lit(True).alias("repeated")).distinct()
-    marked = once.alias("o").join(heads.alias("h"), same, "left").select("o.*", F.col("h.sha1").isNotNull().alias("is_head"))
+    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
+    rows = rows.withColumn("place", F.sha1(F.to_json(F.struct("page_id", "url", "sha1", "payload_bytes")).cast("binary")))
+    decided = _decided(rows, least)
     small = F.col("payload_bytes") < least
-    marked = staged(marked.join(twice, "sha1", "left").withColumn("whole", F.col("is_head") | F.col("repeated").isNull() | small).withColumn("payload", F.when(F.col("whole"), F.col("payload"))), "warc-rows")
-    whole = marked.where("whole").withColumn("times", F.when(small, F.col("copies")).otherwise(F.lit(1))).select("*", F.explode(F.expr("sequence(1, times)")).alias("k"))
-    whole = whole.select("page_id", "url", "payload", "sha1", "payload_bytes", F.lit("response").alias("record_type"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"))
-    rest = marked.where(~small).select("page_id", "url", "sha1", "payload_bytes", F.when(F.col("whole"), F.col("copies") - 1).otherwise(F.col("copies")).alias("times")).where("times > 0").select("*", F.explode(F.expr("sequence(1, times)")).alias("k"))
-    rest = rest.join(heads.select("sha1", "payload_bytes", F.col("head_id").alias("refers_to")), ["sha1", "payload_bytes"])
-    return whole.union(rest.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "sha1", "payload_bytes", F.lit("revisit").alias("record_type"), "refers_to"))
+    columns = ["page_id", "url", "payload", "sha1", "payload_bytes", "record_type", "refers_to"]
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("bigint"), n))
+    whole = decided.where("is_head").withColumn("k", times(F.when(small, F.col("copies")).otherwise(F.lit(1).cast("bigint"))))
+    whole = rows.groupBy("place").agg(F.first("payload").alias("payload")).join(whole, "place")
+    whole = whole.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType))
+    left = F.when(F.col("is_head"), F.col("copies") - 1).otherwise(F.col("copies"))
+    rest = decided.where(~small).withColumn("left", left).where("left > 0").withColumn("k", times(F.col("left")))
+    rest = rest.withColumn("payload", F.lit(None).cast("binary")).withColumn("record_type", F.lit("revisit"))
+    return whole.select(columns).union(rest.select(columns))
 
 
 def written(pages: DataFrame, uri: str | None = None, least: int = 0, limit: int = PACKAGE) -> DataFrame:

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 
 from tessera.llm.shared import file_system
-from tessera.llm.warc import directory, read, read_package, stored, written
+from tessera.llm.warc import directory, read, read_package, records_of, stored, written
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -46,16 +46,33 @@ def found(df):
 ROWS = [(1, "u", "<p>a</p>"), (2, "v", "<p>a</p>"), (2, "v", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, "x", "b"), (None, None, "b"), (5, None, None), (4, "é\n", ""), (9, "q", "zé" * 200_000), (10, "r", "c")]
 
 
+CLASHES = "sha1 string, payload int, place int, copies int, is_head int, refers_to int, record_type int, k int, n int"
+
+
 @pytest.mark.parametrize("least", [0, 2, 100])
 def test_defined_cases(spark, least):
-    df = spark.createDataFrame([(*r, "other") for r in ROWS], f"{SCHEMA}, sha1 string").drop("sha1")
+    df = spark.createDataFrame([(*r, "other", *range(8)) for r in ROWS], f"{SCHEMA}, {CLASHES}")
     assert found(read(written(df, least=least))) == expected(ROWS, least)
-
-
-def test_extra_columns_and_empty(spark):
-    df = spark.createDataFrame([(*r, "x", 1) for r in ROWS], f"{SCHEMA}, sha1 string, payload int")
-    assert found(read(written(df))) == expected(ROWS)
-    assert read(written(df.limit(0))).count() == 0
+    assert read(written(df.limit(0), least=least)).count() == 0
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_payloads_go_through_one_exchange(spark, threshold):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = spark.createDataFrame([(i, f"u{i}", "hot" if i % 3 == 0 else f"page {i % 500}") for i in range(3000)], SCHEMA)
+        plan = records_of(df)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+    def exchanges(node):
+        own = [node] if "Exchange" in node.nodeName() else []
+        below = [node.initialPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.children().apply(k) for k in range(node.children().size())]
+        return own + [x for n in below for x in exchanges(n)]
+
+    kinds = [x.schema().simpleString() for x in exchanges(plan)]
+    assert sum("binary" in k for k in kinds) == 1 and not any("html" in k for k in kinds)
 
 
 def test_many_copies_and_packages(spark):
