@@ -3,19 +3,28 @@
 Words: a model's pieces never join a letter to another kind of character, nor any character to a following word mark
 (checked when the model is loaded), so a text splits into units that are encoded on their own, each once. The distinct
 units' substrings of at most the longest piece's length are exploded and equi-joined to the piece table; the edges found
-are grouped by unit and folded with the higher-order ``aggregate``. A unigram model folds Viterbi, the path of the best
-total score. A BPE model is not scored by paths: its fold starts from single characters and each step takes the best
-ranked, then leftmost, edge that joins two neighbours, which is what the library does; Viterbi over BPE ranks gives other
-pieces, so that fold is used only for unigram tables. Only BPE models can be encoded: ``Model`` refuses all others, and the
-Viterbi fold is reached by hand-made tables alone. Characters without a piece become byte pieces.
+are grouped by unit and folded by Viterbi with the higher-order ``aggregate``: from left to right, the best path to each
+position is the best path to the start of one of the edges that end there, and that edge.
+
+Costs: of a BPE model, a path's cost is of its neighbouring pieces: nothing where merging leaves two of them apart, infinite
+where it would join across their border. The path of no cost is the only one to each position, and is what the library
+gives. (The sum of scores, which a unigram model's paths cost, gives other pieces than the library for a BPE model.) Two
+pieces stay apart unless some edge across the border is merged first: before its left part is merged with what is left of
+it in the left piece, and no later than its right part in the right one (of equal ranks, which runs of word marks have, the
+leftmost is merged first). So the piece table has for each piece the rank
+at which its parts at either end are merged on (``ls`` by where a part at the start ends, ``rs`` by where one at the end
+starts). Only BPE models can be encoded; ``Model`` refuses all others. Characters without a piece become byte pieces.
 
 Units are distinct within an input split (file and block), so each split has a table of its own units, as large as its
 text at most. It's written to the shared folder and read by the task of the split, and no text is shuffled. A table that
-is no plain scan of files is written to the shared folder first. Units of over ``LONG`` characters are folded by the same
-rule with a heap in Python, as their lattice would grow with the square of their length.
-
-Defined cases: a null text has null ids, an empty one none; any other text is read whole. Extra columns stay as they are.
-Decoding turns word marks to spaces, drops the first one, and restores bytes; ids of controls give nothing.
+is no plain scan of files is written to the shared folder first. If the files are cut into other splits when the result is
+computed (the session's parallelism has changed), that is an error. Units of over ``LONG`` characters are merged by rank
+with a heap in Python, as the fold over their lattice takes the square of their length.
+
+Defined cases: a null text has null ids, an empty one none; any other text is read whole. Rows that repeat have their ids
+each; an empty table stays empty. Extra columns stay as they are, and a column that has
+the result's name already is an error. Decoding turns word marks to spaces, drops the first one, and restores bytes; ids
+of controls give nothing.
 """
 
 from __future__ import annotations
@@ -32,10 +41,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import few_rows, file_system, release, scratch, staged
+from tessera.llm.shared import file_system, refuse, release, scratch, small_batches, staged
 
 MARK = "▁"
-LONG = 40
+LONG = 128
+#: The rank of what is never merged.
+NEVER = (1 << 31) - 1
 #: Code points whose pieces are found by their number, and what stands for no piece.
 CODES, NONE = 0x500, 0xFFFFFF
 #: Words that a task gathers before it cuts them, and bytes of text that it takes at once.
@@ -92,6 +103,8 @@ class Model:
             raise ValueError("only BPE models with byte pieces, a leading mark, kept white space and no normalisation are known")
         self.bytes = [bytes_[b] for b in range(256)]
         self.table = {p: (score, i) for i, (p, score, kind) in enumerate(self.pieces) if kind == NORMAL}
+        order = {score: k for k, score in enumerate(sorted({score for score, _ in self.table.values()}, reverse=True))}
+        self.ranks = {p: order[score] for p, (score, _) in self.table.items()}
         self.longest = max(map(len, self.table))
         self.single = {p: i for p, (_, i) in self.table.items() if len(p) == 1}
         for p in self.table:
@@ -102,9 +115,23 @@ class Model:
         self.text = [b"" if kind in (UNKNOWN, CONTROL) else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(piece, score, id) of the pieces of several characters; as many rows as the vocabulary has."""
-        rows = [(p, float(score), i) for p, (score, i) in self.table.items() if len(p) > 1]
-        return spark.createDataFrame(rows, "piece string, score double, id int")
+        """(piece, rank, id, ls, rs) of the pieces of several characters; as many rows as the vocabulary has."""
+        rows = [(p, self.ranks[p], i, *self.ends(p)) for p, (_, i) in self.table.items() if len(p) > 1]
+        return spark.createDataFrame(rows, "piece string, rank int, id int, ls array<int>, rs array<int>")
+
+    def ends(self, piece: str) -> tuple[list[int], list[int]]:
+        """The ranks at which its parts at the start are merged on, by their end, and those at its end, by their start; -1: no such part."""
+        parts, on = [(k, k + 1) for k in range(len(piece))], {(0, len(piece)): NEVER}
+        while len(parts) > 1:
+            rank, k = min(((self.ranks.get(piece[x[0] : y[1]], NEVER), k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False))), default=(NEVER, 0))
+            if rank == NEVER:
+                raise ValueError(f"the piece {piece!r} isn't what its characters merge to")
+            if any(x[1] - x[0] > 1 and self.ranks[piece[slice(*x)]] > rank for x in parts[k : k + 2]):
+                raise ValueError(f"the piece {piece!r} is of lower rank than its parts")
+            on |= dict.fromkeys(parts[k : k + 2], rank)
+            parts[k : k + 2] = [(parts[k][0], parts[k + 1][1])]
+        n = len(piece)
+        return [on.get((0, k), -1) for k in range(n + 1)], [on.get((k, n), -1) for k in range(n)]
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit by a heap of pairs: the best score first, then the leftmost."""
@@ -157,55 +184,52 @@ def loaded(path: str) -> Model:
         return Model(file.read())
 
 
-def edges(units: DataFrame, pieces: DataFrame, longest: int, least: int = 2) -> DataFrame:
-    """(unit, edges): pieces of at least so many characters in each unit (column unit, distinct), as (cost, start, end, id), best first."""
+def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(unit, edges): pieces of two characters or more in each unit (column unit, distinct)."""
     n = F.coalesce(F.char_length("unit"), F.lit(0))
     # units that are too short go at the end: a filter on them would part this plan from others that read the same exchange
-    cut = units.select("unit", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(n - least, F.lit(0)))).alias("start"))
-    cut = cut.select("unit", "n", "start", F.explode(F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.lit(longest), F.col("n") - F.col("start"))))).alias("size"))
+    cut = units.select("unit", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).alias("start"))
+    cut = cut.select("unit", "n", "start", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(longest), F.col("n") - F.col("start"))))).alias("size"))
     cut = cut.where("start + size <= n").select("unit", "start", (F.col("start") + F.col("size")).alias("end"), F.expr("substring(unit, start + 1, size)").alias("piece"))
     # the piece table is as large as the vocabulary, which the model fixes
-    found = cut.join(F.broadcast(pieces), "piece").select("unit", F.struct((-F.col("score")).alias("cost"), "start", "end", "id").alias("edge"))
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    found = cut.join(F.broadcast(pieces), "piece").select("unit", F.struct("start", "end", "rank", "id", "ls", "rs").alias("edge"))
+    return found.groupBy("unit").agg(F.collect_list("edge").alias("edges"))
 
 
-#: Bounds are a bit set; an edge joins two parts if its ends are bounds and one bound is between. Each step drops the bound
-#: inside the first such edge, in order of score and place.
-MERGED = """if(n < 2 or size(joins) = 0, shiftleft(1L, n + 1) - 1, aggregate(sequence(1, n - 1), shiftleft(1L, n + 1) - 1, (b, k) ->
-    transform(array(get(filter(joins, x -> (b & x.ends) = x.ends and bit_count(b & x.inner) = 1), 0)), f -> if(f is null, b, b & ~f.inner))[0]))"""
-#: Bounds of the path with the least cost; a character without a piece costs 1e9.
-VITERBI = """transform(array(aggregate(sequence(1, n), array(struct(0D as cost, 1L as bounds)), (best, k) -> concat(best, array(
-    array_min(concat(
-        array(struct(best[k - 1].cost + 1e9D as cost, best[k - 1].bounds | shiftleft(1L, k) as bounds)),
-        transform(filter(edges, x -> x.end = k), x -> struct(best[x.start].cost + x.cost as cost, best[x.start].bounds | shiftleft(1L, k) as bounds))))))))
-    , z -> z[n].bounds)[0]"""
+EDGE = "struct<start:int,end:int,rank:int,id:int,ls:array<int>,rs:array<int>>"
+#: The last edge of the best path to the edge's start: null for a single character.
+LAST = "best[e.start - 1]"
+#: Whether an edge across the start of e is merged before e and the edge to its left are whole.
+JOINED = f"""exists(edges, f -> f.start < e.start and f.end > e.start and f.end <= e.end and f.rank <= e.ls[f.end - e.start]
+    and f.start >= coalesce({LAST}.start, e.start - 1) and f.rank < coalesce({LAST}.rs[f.start - {LAST}.start], {NEVER}))"""
+#: The last edge of the best path to each position from 1 on.
+VITERBI = f"""aggregate(sequence(1, n), cast(array() as array<{EDGE}>), (best, k) ->
+    concat(best, array(get(filter(edges, e -> e.end = k and (e.start = 0 or not {JOINED})), 0))))"""
+#: The bounds of the best path to the end, from there back.
+BACK = "aggregate(sequence(1, n), array(n), (w, i) -> if(w[0] = 0, w, concat(array(coalesce(best[w[0] - 1].start, w[0] - 1)), w)))"
 
 
-def folded(lattice: DataFrame, single: dict[str, int], byte_ids: list[int], viterbi: bool = False) -> DataFrame:
-    """lattice (unit, edges, more) with ids for edges, which may be null. Units have 62 characters at most.
+def folded(lattice: DataFrame, single: dict[str, int], byte_ids: list[int]) -> DataFrame:
+    """lattice (unit, edges, more) with ids for edges, which may be null.
 
     single: ids of pieces of one character; other characters that are left alone become bytes. The first CODES code points
     have a table of three bytes each, others are looked for in a list; both are small literals.
     """
-    none = "cast(array() as array<struct<cost:double,start:int,end:int,id:int>>)"
     few, many = [(c, i) for c, i in single.items() if ord(c) < CODES], sorted((c, i) for c, i in single.items() if ord(c) >= CODES)
     codes = np.full(CODES, NONE, ">u4")
     codes[[ord(c) for c, _ in few]] = [i for _, i in few]
     three = lambda ids: bytearray(np.array(ids, ">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes())
-    own = lattice.withColumn("n", F.char_length("unit")).withColumn("edges", F.coalesce("edges", F.expr(none)))
+    own = lattice.withColumn("n", F.char_length("unit")).withColumn("edges", F.coalesce("edges", F.expr(f"cast(array() as array<{EDGE}>)")))
     own = own.withColumn("few", F.lit(three(codes))).withColumn("chars", F.lit("".join(c for c, _ in many))).withColumn("many", F.lit(three([i for _, i in many])))
-    joins = "transform(filter(edges, x -> x.end - x.start > 1), x -> struct(shiftleft(1L, x.start) | shiftleft(1L, x.end) as ends, shiftleft(1L, x.end) - shiftleft(2L, x.start) as inner))"
-    merged = f"transform(array({joins}), joins -> {MERGED})[0]"
-    # bound names keep Catalyst from moving the fold into the lambda that reads it
-    bounds = f"transform(array({VITERBI if viterbi else merged}), s -> filter(sequence(0, n), k -> bit_get(s, k) = 1))[0]"
     table = f"array({', '.join(map(str, byte_ids))})"
     raw = f"transform(regexp_extract_all(hex(encode(c, 'utf-8')), '..', 0), h -> {table}[cast(conv(h, 16, 10) as int)])"
     code = lambda table, at: f"cast(conv(hex(substring({table}, 3 * ({at}) + 1, 3)), 16, 10) as int)"
     far = f"transform(array(instr(chars, c)), p -> if(p = 0, {NONE}, {code('many', 'p - 1')}))[0]"
     found = f"if(ascii(c) < {CODES}, {code('few', 'ascii(c)')}, {far})"
-    alone = f"transform(array(substring(unit, a + 1, 1)), c -> transform(array({found}), i -> if(i = {NONE}, {raw}, array(i)))[0])[0]"
-    one = f"if(b = a + 1, {alone}, array(filter(edges, x -> x.start = a and x.end = b)[0].id))"
-    ids = f"transform(array({bounds}), w -> flatten(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> {one})))[0]"
+    alone = f"transform(array(substring(unit, k, 1)), c -> transform(array({found}), i -> if(i = {NONE}, {raw}, array(i)))[0])[0]"
+    # bound names keep Catalyst from moving the folds into the lambdas that read them
+    ids = f"flatten(transform(slice(w, 2, size(w) - 1), k -> if(best[k - 1].id is null, {alone}, array(best[k - 1].id))))"
+    ids = f"transform(array({VITERBI}), best -> transform(array({BACK}), w -> {ids})[0])[0]"
     return own.withColumn("ids", F.expr(ids)).drop("n", "edges", "few", "chars", "many")
 
 
@@ -312,19 +336,19 @@ def _units(docs: DataFrame, split: Column, long: int = LONG) -> DataFrame:
 def encoded(docs: DataFrame, path: str, name: str = "pieces", ids: bool = True, checks: bool = False, long: int = LONG) -> DataFrame:
     """docs with a struct of n_pieces, and on demand ids, their crc32 (as little-endian 32-bit integers) and round_trip.
 
-    round_trip: whether the ids decode to the text, where a word mark in the text itself comes back as a space. The session
-    is set to hand texts to Python in smaller batches (``few_rows``).
+    round_trip: whether the ids decode to the text, where a word mark in the text itself comes back as a space.
     """
     from pyspark.sql.functions import arrow_udf
 
+    refuse(docs, name)
     docs = docs if _scanned(docs) else staged(docs, "texts")
     spark = docs.sparkSession
     model = loaded(path)
     split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
     tables = scratch(spark, "units")
     found = encoded_units(_units(docs, split, long), model).select("unit", "ids", F.explode("splits").alias("split"))
-    few_rows(spark)
-    found.repartition(F.col("split")).write.partitionBy("split").parquet(tables)
+    with small_batches(spark):
+        found.repartition(F.col("split")).write.partitionBy("split").parquet(tables)
     held = spark.sparkContext.broadcast(model)
     kinds = {"n_pieces": ("bigint", pa.int64())} | ({"ids": ("array<int>", pa.list_(pa.int32()))} if ids else {}) | ({"crc32": ("bigint", pa.int64()), "round_trip": ("boolean", pa.bool_())} if checks else {})
 
@@ -335,7 +359,7 @@ def encoded(docs: DataFrame, path: str, name: str = "pieces", ids: bool = True,
             out: dict[str, list] = {k: [] for k in kinds}
             for where, first, stop in runs(splits):
                 if where != at:
-                    at, lookup = where, Lookup(held.value, tables, where)
+                    at, lookup = where, Lookup(held.value, tables, where, long)
                 for own in stretches(TEXT, texts[first:stop]):
                     found, sizes = lookup.encode(pc.fill_null(own, ""))
                     out["n_pieces"].append(sizes)
@@ -364,8 +388,8 @@ def encoded(docs: DataFrame, path: str, name: str = "pieces", ids: bool = True,
 class Lookup:
     """Ids of the units of one split, and of the words met in it."""
 
-    def __init__(self, model: Model, tables: str, split: int) -> None:
-        self.model = model
+    def __init__(self, model: Model, tables: str, split: int, long: int = LONG) -> None:
+        self.model, self.long = model, long
         self.units, self.ids, self.sizes = table_of(tables, split)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
@@ -374,6 +398,8 @@ class Lookup:
         place = pc.index_in(units, value_set=self.units)
         if place.null_count:
             new = units.filter(pc.is_null(place)).unique()
+            if pc.any(pc.less_equal(pc.utf8_length(new), self.long)).as_py():
+                raise RuntimeError("the files were cut into other splits before: encode them again with the session as it is now")
             own = [np.array(self.model.merge(u), "<i4") for u in new.to_pylist()]
             sizes = np.array([len(x) for x in own], np.int64)
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
@@ -446,6 +472,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded")
     """rows with the text of column ids."""
     from pyspark.sql.functions import arrow_udf
 
+    refuse(rows, name)
     held = rows.sparkSession.sparkContext.broadcast(loaded(path))
 
     @arrow_udf("string")

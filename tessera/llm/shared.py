@@ -65,6 +65,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't have, for what an operator adds and takes away."""
+    name, taken = f"__{name}", {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def refuse(df: DataFrame, *names: str) -> None:
+    """An error if the table has one of the columns that an operator would add: it overwrites none."""
+    if clash := sorted({c.lower() for c in df.columns} & {n.lower() for n in names}):
+        raise ValueError(f"the table has a column {clash[0]} already; give another name or prefix")
+
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -28,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import staged
+from tessera.llm.shared import staged, unused
 
 SHINGLE = 4
 #: Variants that a task sorts at once (16 bytes each, and as much again while sorting).
 LEAF = 1 << 21
+#: Words of a long fingerprint, and tables: 32-bit halves of the first ones. The word after those is the sketch; sketches of a
+#: link differ in at most so many bits.
+WORDS, TABLES, FAR = 22, 20, 19
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -187,18 +191,197 @@ def grouped(docs: DataFrame, radius: int = 4, size: int = SHINGLE) -> DataFrame:
     return prints.join(placed.join(ids, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = 4, size: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: that with the smallest doc_id (null last), then the smallest hash of its text."""
-    key = "__text_hash"
-    prints = fingerprinted(docs.select("doc_id", "text", F.xxhash64("text").alias(key)), size=size)
-    prints = staged(prints.select("doc_id", key, "fingerprint"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first")
-    kept = prints.groupBy("fingerprint").agg(first).join(rooted(prints, radius), "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col(f"first.{key}").alias("kept_hash")).distinct()
-    hashed = docs.withColumn(key, F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(kept["kept_id"]) & (hashed[key] == kept["kept_hash"])
-    # rows that repeat an id and a text are one
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).select(*[f"`{c}`" for c in docs.columns])
+def signature(text: str | None, size: int = 5, words: int = WORDS) -> tuple[int, np.ndarray]:
+    """(number of distinct shingles, fingerprint of so many 64-bit words) of one text.
+
+    The words are fingerprints of the set of shingles under as many hash functions: each mixes the shingle's XXH64 anew.
+    """
+    import xxhash
+
+    own = (text or "").encode().lower().split()
+    if not own:
+        return 0, np.zeros(words, np.int64)
+    joined = b" ".join(own)
+    if len(own) <= size:
+        hashes = [xxhash.xxh64_intdigest(joined, 42)]
+    else:
+        ends = np.cumsum([len(w) + 1 for w in own])
+        digest = xxhash.xxh64_intdigest
+        hashes = [digest(joined[a:b], 42) for a, b in zip([0, *ends[:-size].tolist()], (ends[size - 1 :] - 1).tolist(), strict=True)]
+    held = np.unique(np.array(hashes, np.uint64))
+    ones = np.zeros(64 * words, np.int64)
+    for k in range(0, len(held), 255):  # as many as a byte counts
+        x = held[k : k + 255, None] + MIX * np.arange(1, words + 1, dtype=np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return len(held), np.packbits(2 * ones > len(held)).view(np.int64)
+
+
+def signed(docs: DataFrame, name: str, size: int = 5, words: int = WORDS) -> DataFrame:
+    """docs with a struct of n (distinct shingles) and w (the words of the long fingerprint)."""
+    from pyspark.sql.functions import arrow_udf
+
+    kind = [pa.field("n", pa.int64()), pa.field("w", pa.list_(pa.int64()))]
+
+    @arrow_udf("struct<n:bigint,w:array<bigint>>")
+    def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            out = [signature(x.as_py(), size, words) for x in part]
+            flat = np.concatenate([np.zeros(0, np.int64), *(w for _, w in out)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * words, pa.int32()), pa.array(flat))
+            yield pa.StructArray.from_arrays([pa.array([n for n, _ in out], pa.int64()), lists], fields=kind)
+
+    return docs.withColumn(name, made("text"))
+
+
+def collisions(words: np.ndarray, sketches: np.ndarray, prefix: int, lead: int, far: int = FAR, leaf: int = LEAF) -> Iterator[np.ndarray]:
+    """(larger place, smaller place, distance) of those 32-bit words that share a variant with the leading bits, one bit off
+    at most, and whose sketches are near. Of a variant's holders, the first is compared with all; those it isn't near to
+    have their turn in the same way, so a link is lost only where both its ends are near to others.
+    """
+    low = 32 - lead
+    off = np.bitwise_count((words >> np.uint32(low)) ^ np.uint32(prefix))
+    near = np.flatnonzero(off <= 1)
+    if len(near) < 2:
+        return
+    if len(near) * (low + 1) > leaf and lead < 30:
+        for more in range(4):
+            for found in collisions(words[near], sketches[near], prefix << 2 | more, lead + 2, far, leaf):
+                yield np.concatenate([near[found[:, :2]], found[:, 2:]], 1)
+        return
+    keys = []
+    for d, flips in ((0, np.append(0, np.uint32(1) << np.arange(low, dtype=np.uint32))), (1, np.zeros(1))):
+        at = np.flatnonzero(off == d)
+        made = (words[at] & np.uint32((1 << low) - 1))[:, None] ^ flips.astype(np.uint32)[None, :]
+        keys.append((made.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64)[:, None]).ravel())
+    keys = np.sort(np.concatenate(keys))
+    same = keys[1:] >> np.uint64(32) == keys[:-1] >> np.uint64(32)
+    mine = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    bucket, at = keys[mine] >> np.uint64(32), (keys[mine] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    done = np.zeros(len(at), bool)
+    edges = []
+    while len(at):
+        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        group = np.cumsum(np.concatenate(([True], bucket[1:] != bucket[:-1]))) - 1
+        place = np.where(done, len(at), np.arange(len(at)))
+        head = np.minimum.reduceat(place, start)  # the first that hasn't had a turn or a neighbour
+        there = head[group] < len(at)
+        bucket, at, done, head = bucket[there], at[there], done[there], (head[group[there]] - np.flatnonzero(~there).searchsorted(head[group[there]]))
+        if not len(at):
+            break
+        distance = np.bitwise_count(sketches[at] ^ sketches[at[head]])
+        own = np.arange(len(at)) == head
+        hit = (distance <= far) & ~own
+        edges.append(np.stack([np.maximum(at[hit], at[head[hit]]), np.minimum(at[hit], at[head[hit]]), distance[hit].astype(np.int64)], 1))
+        done |= hit | own
+    found = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 3), np.int64)
+    if len(found):
+        yield found
+
+
+def nearest(edges: np.ndarray) -> np.ndarray:
+    """Of (a, b, distance), those that connect the same parts at every distance: a forest of the least ones."""
+    return edges[np.sort(_spanning(edges[np.argsort(edges[:, 2], kind="stable"), :2], np.argsort(edges[:, 2], kind="stable")))]
+
+
+def _spanning(pairs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    up: dict[int, int] = {}
+    kept = []
+    for (a, b), place in zip(pairs.tolist(), places.tolist(), strict=True):
+        while (x := up.get(a, a)) != a:
+            up[a] = up.get(x, x)
+            a = x
+        while (x := up.get(b, b)) != b:
+            up[b] = up.get(x, x)
+            b = x
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            kept.append(place)
+    return np.array(kept, np.int64)
+
+
+def likeness(a: str, b: str, n: str, m: str, words: int = WORDS) -> Column:
+    """SQL of the Jaccard coefficient that two long fingerprints (a, b) of sets of n and m shingles tell."""
+    distance = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    common = f"cos(pi() * {distance} / {64 * words}) * sqrt({n} * {m})"
+    return F.expr(f"transform(array({common}), c -> c / ({n} + {m} - c))[0]")
+
+
+def alike(nodes: DataFrame, least: float = 0.8, words: int = WORDS, tables: int = TABLES, leaf: int = LEAF) -> DataFrame:
+    """Edges (a, b) among nodes (node, n, w; distinct) whose long fingerprints tell a Jaccard coefficient of ``least`` or more.
+
+    Each 32-bit half of the first words is a table of its own for ball hashing at radius 2: a node goes to the tasks of the
+    leading bits that its ball touches, where variants within one bit collide and a sketch (one more word) verifies them.
+    Edges found are verified by whole fingerprints.
+    """
+    n = nodes.count()
+    lead = min(28, max(1, int(np.ceil(np.log2(max(1, n * 33 / leaf))))))
+    word = "cast(shiftrightunsigned(w[t div 2], 32 * (t % 2)) & 4294967295L as bigint)"
+    flips = ", ".join(str(x) for x in (0, *(1 << k for k in range(lead))))
+    dealt = nodes.select("node", F.expr(f"w[{tables // 2}]").alias("sketch"), "w", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"))
+    dealt = dealt.select("node", "sketch", "t", F.expr(word).cast("bigint").alias("word"))
+    dealt = dealt.select("node", "sketch", "word", F.expr(f"explode(transform(array({flips}), m -> t * {1 << lead}L + (shiftrightunsigned(word, {32 - lead}) ^ m)))").alias("place"))
+
+    def edges_of(key: tuple, rows: pa.Table) -> pa.Table:
+        own = rows.column("node").to_numpy()
+        # who is first in one table is not first in all: there are four orders
+        order = np.argsort(own.view(np.uint64) * (MIX + np.uint64(2 * (key[0].as_py() >> lead & 3))))
+        own, sketches = own[order], rows.column("sketch").to_numpy()[order].view(np.uint64)
+        held = np.zeros((0, 3), np.int64)
+        for found in collisions(rows.column("word").to_numpy()[order].astype(np.uint32), sketches, key[0].as_py() & ((1 << lead) - 1), lead, leaf=leaf):
+            held = nearest(np.concatenate([held, found]))
+        a, b = own[held[:, 0]], own[held[:, 1]]
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    found = dealt.groupBy("place").applyInArrow(edges_of, "a bigint, b bigint").distinct()
+    ends = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("w").alias(f"w_{x}")) for x in "ab"]
+    return found.join(ends[0], "a").join(ends[1], "b").where(likeness("w_a", "w_b", "n_a", "n_b", words) >= least).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, least: float = 0.8, size: int = 5, words: int = WORDS) -> DataFrame:
+    """docs with one row of each group of near copies: that with the smallest doc_id (null last), then the smallest text hash.
+
+    Texts with the same long fingerprint, exact copies among them, are one node. Rows that repeat wholly are one; of rows
+    that repeat an id and a text and differ elsewhere, that with the smallest hash of all columns counts.
+    """
+    key, made = unused(docs, "key"), unused(docs, "made")
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in hashed], *[F.col(f"`{c}`").isNull() for c in hashed])
+    keyed = docs.withColumn(key, F.concat_ws("-", F.sha1(F.coalesce(F.col("text"), F.lit(""))), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.hex(whole)))
+    prints = signed(keyed.select("doc_id", F.col(key).alias("key"), "text"), made, size, words)
+    prints = staged(prints.select("doc_id", "key", F.col(f"{made}.n").alias("n"), F.col(f"{made}.w").alias("w")), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    nodes = prints.groupBy(F.xxhash64("n", "w").alias("node")).agg(F.first("n").alias("n"), F.first("w").alias("w"), first)
+    nodes = staged(nodes, "nodes")
+    roots = components(alike(nodes.select("node", "n", "w"), least, words), "alike").select("node", "root")
+    kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.key").alias(key))
+    # one exchange of the rows, by their key
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*[f"`{c}`" for c in docs.columns])
+
+
+def brute_groups(texts: list[str | None], least: float = 0.8, size: int = 5, words: int = WORDS) -> list[int]:
+    """The smallest place of each text's group, by comparing all pairs of long fingerprints; for tests."""
+    own = [signature(t, size, words) for t in texts]
+    n, w = np.array([x[0] for x in own]), np.stack([x[1] for x in own]).view(np.uint64)
+    up = list(range(len(own)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(own)):
+        distance = np.bitwise_count(w[:a] ^ w[a]).sum(1, dtype=np.int64)
+        common = np.cos(np.pi * distance / (64 * words)) * np.sqrt(n[:a] * n[a])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            linked_ = (common / (n[:a] + n[a] - common) >= least) | (distance == 0) & (n[:a] == n[a])
+        for b in np.flatnonzero(linked_).tolist():
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    return [root(x) for x in range(len(own))]
 
 
 def brute_force(texts: list[tuple], radius: int = 4) -> dict[int, int]:

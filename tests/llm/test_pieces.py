@@ -1,4 +1,3 @@
-import itertools
 import random
 import zlib
 
@@ -9,7 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tessera.llm.pieces import LONG, MARK, _units, decoded, edges, encoded, encoded_units, folded, loaded, plain, units_of
+from tessera.llm.pieces import LONG, MARK, _units, decoded, encoded, encoded_units, loaded, plain, units_of
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -57,21 +56,62 @@ def test_query(spark, sf_dir, library):
         assert (r.n_pieces, r.ids_crc32, r.round_trip) == (len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()), True)
 
 
-def test_viterbi_of_a_unigram_table(spark):
-    """The path of the best total score, against all segmentations."""
-    r = random.Random(5)
-    table = {p: -r.uniform(1, 5) * len(p) ** 0.5 for p in {"".join(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(30)} | {"a", "b", "c"}}
-    ids = {p: i for i, p in enumerate(sorted(table))}
-    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(40)})
-    pieces = spark.createDataFrame([(p, s, ids[p]) for p, s in table.items()], "piece string, score double, id int")
-    single = {p: i for p, i in ids.items() if len(p) == 1}
-    units = spark.createDataFrame([(w,) for w in words], "unit string")
-    got = {x.unit: x.ids for x in folded(edges(units, pieces, 4, 1), single, list(range(256)), viterbi=True).collect()}
-    back = {i: p for p, i in ids.items()}
-    for w in words:
-        best = max(sum(table.get(p, -1e9) for p in cut) for k in range(len(w)) for at in itertools.combinations(range(1, len(w)), k) if (cut := [w[a:b] for a, b in zip((0, *at), (*at, len(w)), strict=True)]))
-        assert "".join(back[i] for i in got[w]) == w
-        assert abs(sum(table[back[i]] for i in got[w]) - best) < 1e-9
+def test_the_best_path_is_the_librarys(spark, library):
+    """The fold against the heap, which the test above holds to the library, on units of all kinds and lengths."""
+    model, r = loaded(PATH), random.Random(5)
+    units = {"".join(r.choice(letters) for _ in range(r.randint(1, most))) for letters, most, n in (("abethinorst", 14, 1500), ("aab=-", 40, 300), ("ab", LONG, 20), ("é²ü中x" + MARK, 9, 200)) for _ in range(n)}
+    units |= {"a" * LONG, "=" * LONG, *r.sample(sorted(model.table), 1500), *(MARK * n + w for n in range(1, 40) for w in ("", "the", "é", "中"))}
+    got = encoded_units(spark.createDataFrame([(u,) for u in sorted(units)], "unit string"), model).collect()
+    assert len(got) == len(units) and all(x.ids == model.merge(x.unit) for x in got)
+
+
+def test_one_path_only_costs_nothing():
+    """To each position of a unit, of all edges that end there exactly one stays apart from the best path before it."""
+    model, r = loaded(PATH), random.Random(2)
+    for _ in range(300):
+        unit = "".join(r.choice("abethinorst") for _ in range(r.randint(2, 12)))
+        own = [(a, b) for a in range(len(unit)) for b in range(a + 1, len(unit) + 1) if b == a + 1 or unit[a:b] in model.table]
+        best = {}
+        for k in range(1, len(unit) + 1):
+            apart = [(a, b) for a, b in own if b == k and (a == 0 or len(model.merge(unit[best[a][0] : k])) == len(model.merge(unit[best[a][0] : a])) + 1 and model.merge(unit[best[a][0] : k])[1:] == model.merge(unit[a:k]))]
+            assert len(apart) == 1
+            best[k] = apart[0]
+
+
+def test_sums_of_scores_are_another_model(library):
+    """Why paths aren't scored by their pieces' scores: that gives other ids for most words."""
+    model = loaded(PATH)
+
+    def scored(unit):
+        best = [(0, 0)]
+        for k in range(1, len(unit) + 1):
+            best.append(min((best[a][0] + model.ranks.get(unit[a:k], 10**9), a) for a in range(max(0, k - model.longest), k) if k - a == 1 or unit[a:k] in model.table))
+        out, k = [], len(unit)
+        while k:
+            out.append(unit[best[k][1] : k])
+            k = best[k][1]
+        return out[::-1]
+
+    words = [MARK + w for w in "encoding decoding lattice analytics distributed partition executor shuffles aggregate language fingerprint".split()]
+    differ = sum(scored(w) != [model.pieces[i][0] for i in model.merge(w)] for w in words)
+    assert differ > len(words) // 4
+
+
+def test_other_splits_are_an_error(spark, tmp_path):
+    spark.createDataFrame([(i, f"some text number {i} " * 200) for i in range(2000)], "doc_id long, text string").coalesce(1).write.option("parquet.block.size", 65536).parquet(str(tmp_path / "d"))
+    out = encoded(spark.read.parquet(str(tmp_path / "d")), PATH, ids=False)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        with pytest.raises(Exception, match="other splits"):
+            spark.createDataFrame(encoded_again(out).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def encoded_again(df):
+    """The same plan, planned anew."""
+    return df.select("*")
 
 
 def test_texts_are_cut_once(spark, sf_dir):
@@ -88,5 +128,10 @@ def test_texts_are_cut_once(spark, sf_dir):
     assert plan.count("ReusedExchange") == 1 and plan.count("MapInArrow") == 3  # one that ran, two of the plan before
 
 
-def test_long_units_are_under_the_bit_set():
-    assert LONG < 62
+def test_a_clash_is_an_error(spark):
+    df = spark.createDataFrame([("x", 1)], "text string, Pieces int")
+    with pytest.raises(ValueError, match="pieces"):
+        encoded(df, PATH)
+    with pytest.raises(ValueError, match="text"):
+        decoded(df, PATH, "Pieces", "text")
+    assert encoded(df, PATH, "other").columns == ["text", "Pieces", "other"]
