@@ -7,11 +7,14 @@ has its own hash as its signature. The fingerprint is the whole sorted set of ha
 have equal fingerprints, and the likeness of two is the Jaccard coefficient of their sets (1 if both are empty).
 
 ``near_pairs`` compares documents with each other: equal sets are one class; sets go to partitions by their length, so
-that only neighbouring partitions can hold sets of the asked Jaccard; within those, sets meet at their rarest signatures
-only, as many as the threshold needs to lose no pair, and lengths and the Jaccard of whole sets decide.
-
-Defined cases: a null text is an empty one; rows with a null id come first in order and have one place; the next of a
-repeated id is the next larger id, whose text with the smallest hash counts; the last document's next is the first.
+that only neighbouring partitions can hold sets of the asked Jaccard; within those, sets meet at some of their signatures
+only, as many as the threshold needs to lose no pair, and lengths and the Jaccard of whole sets decide. ``linked`` tells each
+document's class and its number of links.
+
+Defined cases: a null text is an empty one, whose set is empty; a text of any length is read whole; rows with a null id
+come first in order and have one place; the next of a repeated id is the next larger id, whose text with the smallest
+hash counts; the last document's next is the first; rows that repeat have a result each; an empty table has none. Only
+doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from tessera.llm.shared import staged
 CHAIN = 2
 #: The key that stands for a null id.
 NONE = -(1 << 63)
+#: Ids of a bucket, and parts of the rows of an id that many have.
+ROWS, SALTS = 1000, 64
+#: Sets that may share a signature before it counts as common.
+OFTEN = 1000
 #: Common words of four languages.
 COMMON = """
 the of and to a in is that for it on was with be as by are this at from or an not have but
@@ -74,60 +81,106 @@ def likeness(a: str, b: str) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(k, previous, half): each key, the key before it, round the end, and half the length of the longest text there.
+def neighbours(buckets: DataFrame) -> DataFrame:
+    """(bucket, previous): each bucket and the one before it, round the end.
 
-    Only keys and lengths are put in order: by ranges, each of which is ordered on its own; the ranges' ends are few.
+    They are put in order by ranges, each of which is ordered on its own; the ranges' ends are few.
     """
-    own = docs.groupBy("k").agg(F.max(F.coalesce(F.char_length("text"), F.lit(0))).alias("n"))
-    ranged = staged(own.repartitionByRange("k").select("k", "n", F.spark_partition_id().alias("part")), "order")
-    within = Window.partitionBy("part").orderBy("k")
-    ends = ranged.groupBy("part").agg(F.max(F.struct("k", "n")).alias("last"))
+    ranged = staged(buckets.repartitionByRange("bucket").select("bucket", F.spark_partition_id().alias("part")), "order")
+    ends = ranged.groupBy("part").agg(F.max("bucket").alias("last"))
     one = Window.orderBy("part")
     final = F.last("last").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ends = ends.select("part", F.coalesce(F.lag("last").over(one), final).alias("before"))
-    placed = ranged.withColumn("inner", F.lag(F.struct("k", "n")).over(within)).join(ends, "part").withColumn("previous", F.coalesce("inner", "before"))
-    return placed.select("k", F.col("previous.k").alias("previous"), F.expr("previous.n div 2").cast("int").alias("half"))
+    inner = F.lag("bucket").over(Window.partitionBy("part").orderBy("bucket"))
+    return ranged.withColumn("inner", inner).join(ends, "part").select("bucket", F.coalesce("inner", "before").alias("previous"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(k, text) of docs: the id, and the text, neither of them null."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+
 
+def edited(docs: DataFrame, about: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, n_chars, edited, sigs, next_sigs, about) of docs (doc_id bigint, text): the last half replaced by the next one's start.
 
-def edited(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, edited, next_sigs) of docs (doc_id bigint, text): the last half replaced by the next one's start.
+    Ids that follow each other share a bucket, which is about ROWS ids wide where ids lie evenly; texts are shuffled once, by
+    bucket, and a window within each looks back from the larger ids. Only a bucket's first text goes to the bucket before.
+    Rows without an id, and of ids that more than a ten-thousandth of all rows have, stay where they are: one of each such
+    id takes part for all, and what follows it is dealt to the others by salted id.
 
-    Texts are shuffled once by id, and their needed starts once to the document before, with signatures as bytes.
+    about: (k, h, about) for ids and MD5s of texts, a struct that is given to the rows in the same windows.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = keyed.repartition("k")
-    order = neighbours(keyed)
-    one = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(F.md5("text"), "text"))).where("nth = 1")
-    starts = one.join(order, "k").select(F.col("previous").alias("k"), F.expr("substring(text, 1, half)").alias("start"), F.unhex(fingerprint(signatures("text"))).alias("packed"))
-    n = F.char_length("text")
+    own = keyed(docs)
+    ids = staged(own.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "ids")
+    found = ids.where(F.col("k") != NONE).agg(F.min("k"), F.max("k"), F.count(F.lit(1)), F.sum("n")).first()
+    low, high, n, rows = (x or 0 for x in found)
+    width = max(1, (high - low + 1) * ROWS // max(1, n))
+    often = F.broadcast(ids.where((F.col("k") == NONE) | (F.col("n") > max(100, rows // 10_000))).select("k"))  # 10,001 at most
+    if about is None:
+        about = own.limit(0).select("k", F.lit("").alias("h"), F.struct(F.lit(0).alias("none")).alias("about"))
+    kind = about.schema["about"].dataType
+    bucket = F.when(F.col("k") == NONE, F.lit(-1).cast("bigint")).otherwise(F.expr(f"(cast(k as decimal(20,0)) - {low}BD) div {width}BD"))
+    one = F.struct(F.md5("text").alias("h"), "text")
+    apart = own.join(often, "k", "left_semi")
+    main = own.join(often, "k", "left_anti").select("k", one.alias("one"), F.lit(False).alias("for_all"))
+    main = main.union(apart.groupBy("k").agg(F.min(one).alias("one")).select("k", "one", F.lit(True))).withColumn("about", F.lit(None).cast(kind))
+    told = about.join(often, "k", "left_anti").select("k", F.struct("h", F.lit(None).cast("string").alias("text")), F.lit(False), "about")
+    dealt = main.union(told).select(bucket.alias("bucket"), "k", "one", "for_all", "about").repartition("bucket")
+    # the last row of an id, looking back, has its smallest hash: it stands for the id to those before
+    back = Window.partitionBy("bucket").orderBy(F.desc("k"), F.desc("one.h"))
+    out = dealt.withColumn("about", F.max("about").over(back.rangeBetween(Window.currentRow, Window.currentRow))).where("one.text is not null")
+    out = out.withColumn("sigs", signatures("one.text")).withColumn("later", F.lead("k").over(back))
+    follows = F.when(F.col("later").isNull() | (F.col("later") != F.col("k")), F.struct("one.text", "sigs"))
+    out = out.withColumn("next", F.last(follows, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    firsts = dealt.where("one.text is not null").groupBy("bucket").agg(F.min(F.struct("k", "one.h", "one.text")).alias("first"))
+    firsts = firsts.join(neighbours(ids.select(bucket.alias("bucket")).distinct()), "bucket")
+    firsts = firsts.select(F.col("previous").alias("bucket"), F.struct("first.text", signatures("first.text").alias("sigs")).alias("head"))
+    out = out.join(firsts, "bucket", "left").select("k", "one.text", "sigs", "for_all", F.coalesce("next", "head").alias("next"), "about")
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    others = apart.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS))).join(out.where("for_all").select("k", "next", F.explode(salts).alias("salt")), ["k", "salt"])
+    others = others.withColumn("h", F.md5("text")).join(about.join(often, "k", "left_semi"), ["k", "h"], "left")
+    out = out.where(~F.col("for_all")).select("k", "text", "sigs", "next", "about").union(others.select("k", "text", signatures("text").alias("sigs"), "next", "about"))
     kept = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)")
-    return dealt.join(starts, "k").select(F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), "text", F.concat(kept, F.expr("substring(start, 1, char_length(text) div 2)")).alias("edited"), F.expr("regexp_extract_all(lower(hex(packed)), '.{16}', 0)").alias("next_sigs"), n.cast("bigint").alias("n_chars"))
+    start = F.expr("substring(next.text, 1, char_length(text) div 2)")
+    return out.select(F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), "text", F.char_length("text").cast("bigint").alias("n_chars"), F.concat(kept, start).alias("edited"), "sigs", F.col("next.sigs").alias("next_sigs"), "about")
 
 
 def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(class_id, other_id, likeness) of unlike sets with at least this Jaccard, smaller id first, and (doc_id, class_id).
+    """(class_mark, other_mark, likeness) of unlike sets with at least this Jaccard, each pair once, and (k, h, mark, class_id) of all rows.
 
-    docs: doc_id, text. Classes are equal signature sets, named by their smallest doc_id. Empty sets pair with none.
+    docs: doc_id, text; k and h are the id and the text's MD5. Classes are equal signature sets, named by a hash of the set
+    (mark) and the smallest id that has it (null if none has an id). Empty sets pair with none. Signatures that more than
+    OFTEN sets have among their first ones come last in the order that tells which of a set's signatures are looked up; any
+    one order of all signatures loses no pair.
     """
-    sets = docs.select("doc_id", signatures("text").alias("sigs"))
-    sets = staged(sets.withColumn("mark", F.sha2(fingerprint("sigs"), 256)), "signatures")
-    classes = sets.groupBy("mark").agg(F.min("doc_id").alias("class_id"))
-    members = sets.select("doc_id", "mark").join(classes, "mark").select("doc_id", "class_id")
-    # the members of a class have equal sets; any one of them stands for it
-    own = staged(sets.join(classes, F.col("doc_id") == F.col("class_id")).where(F.size("sigs") > 0).select("class_id", "sigs").dropDuplicates(["class_id"]), "classes")
-    each = own.select("class_id", F.explode("sigs").alias("sig"))
-    counts = each.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    rare = each.join(counts, "sig").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("r"))
+    sets = keyed(docs).select("k", F.md5("text").alias("h"), F.array_sort(F.transform(signatures("text"), lambda x: F.xxhash64(x))).alias("sigs"))
+    sets = staged(sets.withColumn("mark", F.xxhash64("sigs", F.size("sigs"))), "signatures")
+    members = sets.select("k", "h", "mark").join(sets.groupBy("mark").agg(F.min(F.when(F.col("k") != NONE, F.col("k"))).alias("class_id")), "mark")
+    own = sets.where(F.size("sigs") > 0).groupBy("mark").agg(F.first("sigs").alias("sigs"))
+    early = own.select(F.explode(F.expr("slice(sigs, 1, cast(ceil(0.4 * size(sigs)) as int))")).alias("sig"))
+    common = staged(early.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN), "common")
+    small = common.count() <= 1_000_000  # 16 MB at most
+    ranked = own.select("mark", F.explode("sigs").alias("sig")).join(F.broadcast(common) if small else common, "sig", "left")
+    ranked = ranked.groupBy("mark").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sig"))).alias("r"))
     size = F.size("r")
-    head = rare.select("class_id", size.alias("size"), F.expr("transform(r, x -> x.sig)").alias("sigs"), F.floor(F.log(size) / math.log(1 / least)).cast("int").alias("band"))
-    prefix = F.expr(f"slice(sigs, 1, cast(size - ceil({least} * size - 1e-9) as int) + 1)")
-    left = head.select(F.col("class_id").alias("a"), F.col("size").alias("a_size"), "band", F.explode(prefix).alias("sig"))
-    right = head.select(F.col("class_id").alias("b"), F.col("size").alias("b_size"), F.explode(F.array("band", F.col("band") - 1)).alias("band"), "sigs", "size").select("b", "b_size", "band", F.explode(prefix).alias("sig"))
-    fit = (F.col("b_size") * least <= F.col("a_size") + 1e-9) & (F.col("a_size") * least <= F.col("b_size") + 1e-9) & (F.col("a") != F.col("b"))
-    pairs = left.join(right, ["band", "sig"]).where(fit).select(F.least("a", "b").alias("class_id"), F.greatest("a", "b").alias("other_id")).distinct()
-    pairs = pairs.join(own.select("class_id", F.col("sigs").alias("x")), "class_id").join(own.select(F.col("class_id").alias("other_id"), F.col("sigs").alias("y")), "other_id")
-    return pairs.select("class_id", "other_id", likeness("x", "y").alias("likeness")).where(F.col("likeness") >= least - 1e-12), members
+    head = ranked.select("mark", size.alias("size"), F.expr("transform(r, x -> x.sig)").alias("sigs"), F.floor(F.log(size) / math.log(1 / least) + 1e-9).cast("int").alias("band"))
+    # the longer of two looks with more of its signatures than the shorter, which none of its pairs can miss
+    looks = F.expr(f"slice(sigs, 1, cast(size - ceil({least} * size - 1e-9) as int) + 1)")
+    found = F.expr(f"slice(sigs, 1, cast(size - ceil({2 * least / (1 + least)} * size - 1e-9) as int) + 1)")
+    left = head.select(F.col("mark").alias("a"), F.col("size").alias("a_size"), "band", F.explode(looks).alias("sig"))
+    right = head.select(F.col("mark").alias("b"), F.col("size").alias("b_size"), "band", found.alias("f")).select("b", "b_size", "f", F.explode(F.array("band", F.col("band") + 1)).alias("band")).select("b", "b_size", "band", F.explode("f").alias("sig"))
+    fit = (F.col("b_size") <= F.col("a_size")) & (F.col("a_size") * least <= F.col("b_size") + 1e-9) & ((F.col("b_size") < F.col("a_size")) | (F.col("a") < F.col("b")))
+    pairs = left.join(right, ["band", "sig"]).where(fit).select("a", "b").distinct()
+    pairs = pairs.join(own.select(F.col("mark").alias("a"), F.col("sigs").alias("x")), "a").join(own.select(F.col("mark").alias("b"), F.col("sigs").alias("y")), "b")
+    return pairs.select(F.col("a").alias("class_mark"), F.col("b").alias("other_mark"), likeness("x", "y").alias("likeness")).where(F.col("likeness") >= least - 1e-12), members
+
+
+def linked(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(k, h, about) of every id and text: a struct of its class_id, and of how many other classes are at least so like."""
+    pairs, members = near_pairs(docs, least)
+    links = pairs.select(F.explode(F.array("class_mark", "other_mark")).alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n_links"))
+    out = members.join(links, "mark", "left").select("k", "h", F.struct("class_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")).alias("about"))
+    return staged(out.dropDuplicates(["k", "h"]), "links")
 
 
 def brute_signatures(text: str | None, chain: int = CHAIN) -> frozenset[tuple]:

@@ -3,7 +3,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.spotsigs import brute_signatures, edited, fingerprint, likeness, near_pairs, signatures
+from tessera.llm import spotsigs
+from tessera.llm.spotsigs import NONE, brute_signatures, edited, fingerprint, likeness, linked, near_pairs, signatures
 
 
 def jaccard(a, b):
@@ -36,17 +37,28 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("n", [1, 2, 9])
-def test_edited_texts_and_order(spark, n):
-    rows = [(10 * k - 30, f"text number {k} of the set " * (k + 1)) for k in range(n)] + ([(None, "x  y\n"), (7, None), (8, "é中\U0001F600abc"), (8, "é中\U0001F600abc")] if n > 2 else [])
-    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, k string")
-    got = edited(df).withColumn("sigs", signatures("text")).withColumn("own", likeness("sigs", "next_sigs")).collect()
+@pytest.mark.parametrize("n, wide, step", [(1, 1000, 10), (2, 1, 3), (9, 1000, 10**17), (9, 2, 10)])
+def test_edited_texts_and_order(spark, n, wide, step, monkeypatch):
+    monkeypatch.setattr(spotsigs, "ROWS", wide)
+    rows = [(step * k - 30, f"text number {k} of the set " * (k + 1)) for k in range(n)] + ([(None, "x  y\n"), (7, None), (8, "é中\U0001F600abc"), (8, "é中\U0001F600abc")] if n > 2 else [])
+    df = spark.createDataFrame([(*r, "z", 1, 2) for r in rows], "doc_id long, text string, k string, bucket int, about int")
+    got = edited(df).withColumn("own", likeness("sigs", "next_sigs")).collect()
     want = expected(rows)
     assert sorted(((r.doc_id, r.text, r.edited) for r in got), key=repr) == sorted((w[:3] for w in want), key=repr)
     by = {w[0]: w for w in want}
     for r in got:
         assert r.n_chars == len(r.text) and r.own == jaccard(brute_signatures(r.text), brute_signatures(by[r.doc_id][3]))
-    assert edited(df.limit(0)).count() == 0
+    assert edited(df.limit(0)).count() == near_pairs(df.limit(0))[0].count() == linked(df.limit(0)).count() == 0
+
+
+def test_a_hot_id(spark):
+    """Most rows have one id, or none: they get what follows it, and one of them stands before the others."""
+    rows = [(7, f"text of the {k % 150} kind " * 3) for k in range(400)] + [(None, f"none of the {k % 120}") for k in range(300)] + [(k, f"a text of number {k}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = edited(docs, linked(docs)).collect()
+    assert sorted(((r.doc_id, r.text, r.edited) for r in got), key=repr) == sorted((w[:3] for w in expected(rows)), key=repr)
+    assert all(r.about.class_id is not None or r.doc_id is None for r in got)
+
 
 
 def test_query(spark, sf_dir):
@@ -66,18 +78,28 @@ def test_query(spark, sf_dir):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
-def test_pairs_lose_none(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(400).union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "the same of it"), (-4, "the same of it")], "doc_id long, text string"))
+@pytest.mark.parametrize("often", [3, 1000])
+def test_pairs_lose_none(spark, often, monkeypatch):
+    """All pairs of 400 documents, among them the null and repeated ids, whichever signatures count as common."""
+    monkeypatch.setattr(spotsigs, "OFTEN", often)
+    odd = [(None, None), (-2, ""), (-3, "the same of it"), (-4, "the same of it"), (None, "the same of it"), (None, "an other of them that is new"), (-5, "x y z of a"), (-5, "the cat and the dog of it")]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(400).union(spark.createDataFrame(odd, "doc_id long, text string"))
     rows = [tuple(r) for r in docs.collect()]
-    pairs, members = near_pairs(docs)
-    sets = {i: brute_signatures(t) for i, t in rows}
-    least = {}
-    for i, s in sets.items():
-        least[s] = min(least.get(s, i), i)
-    assert {r.doc_id: r.class_id for r in members.collect()} == {i: least[s] for i, s in sets.items()}
-    own = sorted((i, s) for s, i in least.items() if s)
-    want = {(a, b): jaccard(x, y) for k, (a, x) in enumerate(own) for b, y in own[k + 1 :] if jaccard(x, y) >= 0.8}
-    assert {(r.class_id, r.other_id): r.likeness for r in pairs.collect()} == want and want
+    sets = [brute_signatures(t) for _, t in rows]
+    classes = sorted(set(sets), key=sorted)
+    for least in (0.5, 0.8):
+        pairs, members = near_pairs(docs, least)
+        marks = {(r.k, r.h): r for r in members.collect()}
+        place = lambda i, t: (NONE if i is None else i, hashlib.md5((t or "").encode()).hexdigest())
+        mark = {s: marks[place(i, t)].mark for (i, t), s in zip(rows, sets, strict=True)}
+        for (i, t), s in zip(rows, sets, strict=True):
+            assert marks[place(i, t)].class_id == min((k for (k, _), x in zip(rows, sets, strict=True) if x == s and k is not None), default=None)
+        want = {frozenset((mark[x], mark[y])): jaccard(x, y) for k, x in enumerate(classes) for y in classes[k + 1 :] if x and y and jaccard(x, y) >= least}
+        found = pairs.collect()
+        assert {frozenset((r.class_mark, r.other_mark)): r.likeness for r in found} == want and len(found) == len(want) > 3
+        links = {(r.k, r.h): r.about for r in linked(docs, least).collect()}
+        for (i, t), s in zip(rows, sets, strict=True):
+            assert links[place(i, t)].n_links == sum(mark[s] in p for p in want)
 
 
 def test_fingerprint_text(spark):
