@@ -5,7 +5,9 @@ words of an item (all of them where an item has fewer) are a pattern; the automa
 normalised text once. Matches are mapped from the normalised text to words, and from words to offsets in the original.
 
 Defined cases: a null or empty text has no words, no hits and is clean; an item without words has no window; an item
-without an id is no item; repeated items count once. The automaton is held in memory, so items are taken in blocks of
+without an id is no item; repeated items count once, repeated documents each; an empty table of documents stays empty,
+and one of items hits nothing; a text of any length is scanned whole; windows that several items share hit for each; a
+column of a result's name is an error unless a prefix is given. The automaton is held in memory, so items are taken in blocks of
 at most ``block_chars`` characters of patterns: a larger benchmark means more blocks, each scanning the text once.
 """
 
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import refuse, unused
+
 WINDOW = 13
 #: What each ASCII byte becomes; other bytes stay.
 NORMAL = bytes(c if c >= 0x80 or chr(c).isalnum() and not 65 <= c <= 90 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -145,9 +149,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sh
     """docs with n_words, n_hit, n_items, items (sorted as strings), spans and contaminated.
 
     A document is contaminated if a word of it is hit and at least one of ``share`` words is. The names added are
-    prefixed with ``prefix``, for tables that have such columns already.
+    prefixed with ``prefix``, which a table needs that has such columns already.
     """
-    tmp = f"{prefix}__scan"
+    refuse(docs, *[prefix + x for x in ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")])
+    tmp = unused(docs, "scan")
     state = lambda name: F.col(f"`{tmp}`.{name}")
     hit = F.aggregate(F.expr(f"transform(sequence(1, size(`{tmp}`.ranges) div 2), i -> `{tmp}`.ranges[2 * i - 1] - `{tmp}`.ranges[2 * i - 2] + 1)"), F.lit(0).cast("bigint"), lambda a, b: a + b)
     out = docs.withColumn(tmp, scanned(F.col("text"), benchmark, size, block_chars))

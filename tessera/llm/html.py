@@ -13,8 +13,9 @@ main element, and of headings, paragraphs and sections, one such word isn't enou
 Defined cases: a null or empty page, or one without text outside these parts, gives an empty text. White space inside a
 block becomes one space; blocks are joined in page order by one space. Outside article and main elements, and outside the
 box that is chosen as the article (the body as a whole isn't), a list, table, div or section with over two links that make
-over half its text is a menu and goes, but for a div or section with over half of the page's text. Nothing else is dropped, whatever the length.
-Unclosed elements end where their parent ends; a truncated page is read as far as it goes.
+over half its text is a menu and goes, but for a div or section with over half of the page's text. Nothing else is
+dropped, whatever the length. Of nodes with equal sums the last in page order is chosen. Rows that repeat have a text each, an empty table has none, and
+other columns stay as they are. Unclosed elements end where their parent ends; a truncated page is read as far as it goes.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import refuse
+
 #: A comment, a tag with its attributes (quoted values may hold any sign; where quotes don't pair, up to the next sign), or a declaration.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
 #: What begins a tag or comment that the page's end cuts off; it's no text.
@@ -291,9 +294,11 @@ def main_text(source: str | None) -> str:
 
 
 def extracted(pages: DataFrame, name: str = "text") -> DataFrame:
-    """pages with the article's text of column html."""
+    """pages with the article's text of column html. A column of the name given is an error."""
     from pyspark.sql.functions import arrow_udf
 
+    refuse(pages, name)
+
     @arrow_udf("string")
     def made(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in sources:

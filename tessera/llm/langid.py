@@ -6,7 +6,9 @@ of hashed byte 1- to 4-grams of the whole text, scaled to length one. Every mach
 It learns from labelled rows only, at most about ``per_label`` for each language (a sample by a hash of id and text, the
 same at every run). Texts of any length are read whole, in learning too. Defined cases: a text that is null or has no
 letter is ``und`` with score 0; so is every text if no row has a label. One family or one language alone is taken
-without a machine. Rows with null ids are predicted like others. Repeated rows do no harm.
+without a machine; where machines tie, the language that comes first by its code wins. Rows with null ids are predicted
+like others. Repeated rows are predicted each, and learned from once. An empty table gives an empty result. Other columns
+stay as they are; one that has a result's name is an error unless a prefix is given.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import release
+from tessera.llm.shared import refuse, release, unused
 
 DIMS = 1 << 13
 LETTER = re.compile(r"[^\W\d_]")
@@ -131,18 +133,24 @@ class Model:
         return own[best], float(min(1.0, score * least[best]))
 
 
-def learned(docs: DataFrame, where: Column, per_label: int = 400) -> Model:
-    """Learn from the labelled rows that ``where`` holds for. per_label bounds the rows of a language, in expectation."""
+def learned(docs: DataFrame, where: Column, per_label: int = 400, languages: int = 1000) -> Model:
+    """Learn from the labelled rows that ``where`` holds for.
+
+    per_label bounds the rows of a language, in expectation; more than so many ``languages`` are an error, as the column is
+    then no language.
+    """
     from pyspark.sql.functions import arrow_udf
 
     rows = docs.where(F.col("lang").isNotNull() & F.coalesce(where, F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(languages + 1).collect()}
     if not counts:
         return Model([], [])
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000_000, per_label * 1_000_000_000 // n))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.xxhash64("text")), F.lit(1_000_000_000)) < share)
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} values of lang")
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000_000, per_label * 1_000_000_000 // n))])
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.xxhash64("text")), F.lit(1_000_000_000)) < F.element_at(shares, F.col("lang")))
+    # rows of equal id, text and label have one hash: they come in together, and count once
+    sample = sample.select("lang", "text").dropDuplicates()
 
     @arrow_udf("struct<at:binary,value:binary>")
     def sparse(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -161,9 +169,11 @@ def learned(docs: DataFrame, where: Column, per_label: int = 400) -> Model:
 
 
 def identified(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
-    """docs with lang_pred and score, from the text alone."""
+    """docs with lang_pred and score, from the text alone. A table that has one of these names needs a ``prefix`` for them."""
     from pyspark.sql.functions import arrow_udf
 
+    refuse(docs, f"{prefix}lang_pred", f"{prefix}score")
+
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("struct<lang:string,score:double>")
@@ -172,7 +182,7 @@ def identified(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
             out = [held.value.predict(x.as_py()) for x in part]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["lang", "score"])
 
-    tmp = f"{prefix}__lang"
+    tmp = unused(docs, "lang")
     return docs.withColumn(tmp, predict("text")).withColumn(f"{prefix}lang_pred", F.col(f"`{tmp}`.lang")).withColumn(f"{prefix}score", F.col(f"`{tmp}`.score")).drop(tmp)
 
 

@@ -11,8 +11,9 @@ Texts are encoded some megabytes at a time, by distinct words, split at ASCII wh
 splitting never crosses. Words of plain letters and signs go to the tokenizer's model directly, others to the whole of it. Documents are in ascending doc_id order across and within shards (a null id
 first; equal ids by their text).
 
-Defined cases: a null or empty text is the end id alone; repeated rows are kept; an empty table makes no shard.
-A shard is written under a fresh name by each attempt of a task and counts only by its row in the committed manifest.
+Defined cases: a null or empty text is the end id alone; a text of any length is encoded whole, some megabytes at a time
+only where it's several texts, and is never cut between shards; repeated rows are kept; of pairs that are equally frequent any goes first, the same at every run; an
+empty table makes no shard. Only doc_id and text are read, so other columns can't clash. A shard is written under a fresh name by each attempt of a task and counts only by its row in the committed manifest.
 """
 
 from __future__ import annotations

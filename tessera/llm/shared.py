@@ -1,68 +1,32 @@
-"""What the corpus operators share: the shared scratch folder, staging and salted joins.
+"""What the corpus operators share: staging in the shared folder, unused column names, batches for Python, files.
 
-Every file that one task writes and another reads lies in the folder named by ``spark.checkpoint.dir``;
-its own folder is set only where the session names none (tests on one machine).
+Every file that one task writes and another reads lies in the folder named by ``spark.checkpoint.dir`` (see
+``tessera.sources.folders``).
 """
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
+from tessera.sources.folders import delete, scratch
 
+__all__ = ["delete", "file_system", "refuse", "release", "scratch", "small_batches", "staged", "staged_at", "table", "unused"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can write and read, as a URI."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found else found.replace("file:", "file://", 1) if found.startswith("file:") else f"file://{found}"
 
-
-def _context_dir(spark: SparkSession) -> str | None:
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return found.get() if found.isDefined() else None
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared folder; it is removed when the driver's Python ends."""
-    if not _OWN:
-        atexit.register(clean, spark)
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    _OWN.append(path)
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def clean(spark: SparkSession) -> None:
-    """Remove every scratch folder of this driver."""
-    while _OWN:
-        try:
-            delete(spark, _OWN.pop())
-        except Exception:  # the session may have gone, and with it the way to its file system
-            return
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: cuts the lineage, survives lost executors."""
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write the rows to the shared folder and read them back: cuts the lineage, survives lost executors. Also where they are."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    return staged_at(df, name)[0]
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -82,20 +46,14 @@ def refuse(df: DataFrame, *names: str) -> None:
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def few_rows(spark: SparkSession, rows: int = 2000) -> str:
-    """From now on, tasks of this session get whole texts in batches of fewer rows: their Python workers need less memory.
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Tasks that run while this holds get whole texts in batches of fewer rows: their Python workers need less memory.
 
-    Results are the same for any number. Returns the number before.
+    Results are the same for any number.
     """
     old = spark.conf.get(BATCH)
     spark.conf.set(BATCH, str(min(rows, int(old)) if int(old) > 0 else rows))
-    return old
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """``few_rows`` for the tasks that run while this holds."""
-    old = few_rows(spark, rows)
     try:
         yield
     finally:

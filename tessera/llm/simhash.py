@@ -13,8 +13,20 @@ follows the number of fingerprints; a prefix with too many variants is split by
 is bounded for any data. Equal fingerprints (exact copies) are one node, counted before any shuffle of balls.
 
 Components of the edges come from alternating large and small stars over Spark tables; each round is written to the
-shared folder. Defined cases: rows with a null doc_id are linked like others, and component_id is the smallest id that is
-not null (null if there is none); repeated ids and texts keep all their rows; an empty table gives an empty result.
+shared folder, and the one before is removed.
+
+``deduplicated`` finds near copies of any similarity: one fingerprint of 64 bits would need a radius of 13 bits for a Jaccard
+coefficient of 0.8, whose ball has 10^13 variants, and random texts would meet in it. So a long fingerprint of many words
+is taken of the set of five-word shingles; the 32-bit halves of some are tables of their own, each with balls of radius 1
+(a collision links at up to 2 bits), of which a pair needs to meet in one: at 0.8 nine in ten do, at 0.85 99 in 100.
+Colliding pairs are verified by a sketch where they meet, then by whole fingerprints, then by their sets of shingles. The
+32 bits suit some 10^9 distinct texts; beyond, chance collisions grow with the square of their number.
+
+Defined cases: rows with a null doc_id are linked like others, and component_id is the smallest id that is not null (null
+if there is none); a null or empty text has no words, and all such are copies of each other; texts of any length are read
+whole; repeated ids and texts keep all their rows in ``grouped``, and ``deduplicated`` says which one stays; an empty table
+gives an empty result. ``grouped`` reads doc_id and text alone; ``deduplicated`` keeps all columns as they are, whatever
+their names, and ``fingerprinted`` refuses a table that has its column already.
 """
 
 from __future__ import annotations
@@ -28,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import staged, unused
+from tessera.llm.shared import delete, refuse, staged, staged_at, unused
 
 SHINGLE = 4
 #: Variants that a task sorts at once (16 bytes each, and as much again while sorting).
@@ -36,6 +48,8 @@ LEAF = 1 << 21
 #: Words of a long fingerprint, and tables: 32-bit halves of the first ones. The word after those is the sketch; sketches of a
 #: link differ in at most so many bits.
 WORDS, TABLES, FAR = 22, 20, 19
+#: How far below the similarity asked for a pair may lie by its fingerprints (about four standard errors) to be verified.
+MARGIN = 0.1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,6 +79,8 @@ def fingerprinted(docs: DataFrame, name: str = "fingerprint", size: int = SHINGL
     """docs with the fingerprint as a signed long."""
     from pyspark.sql.functions import arrow_udf
 
+    refuse(docs, name)
+
     @arrow_udf("bigint")
     def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
@@ -159,7 +175,7 @@ def linked(prints: DataFrame, radius: int = 4, leaf: int = LEAF) -> DataFrame:
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): each node that has an edge and the smallest node of its component, by large and small stars."""
-    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    edges, path = staged_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -167,7 +183,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = staged(small, name)
+        old, (edges, path) = path, staged_at(small, name)
+        delete(edges.sparkSession, old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
@@ -191,24 +208,20 @@ def grouped(docs: DataFrame, radius: int = 4, size: int = SHINGLE) -> DataFrame:
     return prints.join(placed.join(ids, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def signature(text: str | None, size: int = 5, words: int = WORDS) -> tuple[int, np.ndarray]:
-    """(number of distinct shingles, fingerprint of so many 64-bit words) of one text.
-
-    The words are fingerprints of the set of shingles under as many hash functions: each mixes the shingle's XXH64 anew.
-    """
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """The XXH64 hashes of a text's distinct shingles of so many words (as in ``fingerprint``), in order."""
     import xxhash
 
     own = (text or "").encode().lower().split()
-    if not own:
-        return 0, np.zeros(words, np.int64)
-    joined = b" ".join(own)
+    joined, digest = b" ".join(own), xxhash.xxh64_intdigest
     if len(own) <= size:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in own])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip([0, *ends[:-size].tolist()], (ends[size - 1 :] - 1).tolist(), strict=True)]
-    held = np.unique(np.array(hashes, np.uint64))
+        return np.array([digest(joined, 42)] if own else [], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in own])
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip([0, *ends[:-size].tolist()], (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def signature(held: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """A long fingerprint of so many 64-bit words: of a set of shingles under as many hash functions, each of which mixes the hashes anew."""
     ones = np.zeros(64 * words, np.int64)
     for k in range(0, len(held), 255):  # as many as a byte counts
         x = held[k : k + 255, None] + MIX * np.arange(1, words + 1, dtype=np.uint64)
@@ -216,7 +229,20 @@ def signature(text: str | None, size: int = 5, words: int = WORDS) -> tuple[int,
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
         ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return len(held), np.packbits(2 * ones > len(held)).view(np.int64)
+    return np.packbits(2 * ones > len(held)).view(np.int64)
+
+
+def shingled(docs: DataFrame, name: str, size: int = 5) -> DataFrame:
+    """docs with the shingles of each text."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("array<bigint>")
+    def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            out = [shingles(x.as_py(), size).view(np.int64) for x in part]
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
+
+    return docs.withColumn(name, made("text"))
 
 
 def signed(docs: DataFrame, name: str, size: int = 5, words: int = WORDS) -> DataFrame:
@@ -228,7 +254,8 @@ def signed(docs: DataFrame, name: str, size: int = 5, words: int = WORDS) -> Dat
     @arrow_udf("struct<n:bigint,w:array<bigint>>")
     def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            out = [signature(x.as_py(), size, words) for x in part]
+            sets = [shingles(x.as_py(), size) for x in part]
+            out = [(len(x), signature(x, words)) for x in sets]
             flat = np.concatenate([np.zeros(0, np.int64), *(w for _, w in out)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * words, pa.int32()), pa.array(flat))
             yield pa.StructArray.from_arrays([pa.array([n for n, _ in out], pa.int64()), lists], fields=kind)
@@ -340,48 +367,60 @@ def alike(nodes: DataFrame, least: float = 0.8, words: int = WORDS, tables: int
     return found.join(ends[0], "a").join(ends[1], "b").where(likeness("w_a", "w_b", "n_a", "n_b", words) >= least).select("a", "b")
 
 
+def verified(found: DataFrame, texts: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
+    """Those of the edges (a, b) whose texts' shingles have a Jaccard coefficient of ``least`` or more. texts: node, text, no node twice."""
+    sets = staged(shingled(texts, "s", size).select("node", "s"), "shingles")
+    ends = [sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab"]
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return found.join(ends[0], "a").join(ends[1], "b").where(common >= F.lit(least) * (F.size("s_a") + F.size("s_b") - common) - 1e-9).select("a", "b")
+
+
 def deduplicated(docs: DataFrame, least: float = 0.8, size: int = 5, words: int = WORDS) -> DataFrame:
     """docs with one row of each group of near copies: that with the smallest doc_id (null last), then the smallest text hash.
 
-    Texts with the same long fingerprint, exact copies among them, are one node. Rows that repeat wholly are one; of rows
-    that repeat an id and a text and differ elsewhere, that with the smallest hash of all columns counts.
+    Near copies are texts whose sets of shingles have a Jaccard coefficient of ``least`` or more, and groups what such pairs
+    connect. Pairs are found by ``alike``, a little below that coefficient, and verified by their sets. Texts with the same
+    long fingerprint, exact copies among them, are one node. Rows that repeat wholly are one; of rows that repeat an id and
+    a text and differ elsewhere, that with the smallest hash of all columns counts.
     """
     key, made = unused(docs, "key"), unused(docs, "made")
     hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in hashed], *[F.col(f"`{c}`").isNull() for c in hashed])
     keyed = docs.withColumn(key, F.concat_ws("-", F.sha1(F.coalesce(F.col("text"), F.lit(""))), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.hex(whole)))
-    prints = signed(keyed.select("doc_id", F.col(key).alias("key"), "text"), made, size, words)
+    own = keyed.select("doc_id", F.col(key).alias("key"), "text")
+    prints = signed(own, made, size, words)
     prints = staged(prints.select("doc_id", "key", F.col(f"{made}.n").alias("n"), F.col(f"{made}.w").alias("w")), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     nodes = prints.groupBy(F.xxhash64("n", "w").alias("node")).agg(F.first("n").alias("n"), F.first("w").alias("w"), first)
     nodes = staged(nodes, "nodes")
-    roots = components(alike(nodes.select("node", "n", "w"), least, words), "alike").select("node", "root")
+    found = staged(alike(nodes.select("node", "n", "w"), least - MARGIN, words), "alike")
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("first.key").alias("key")), "node")
+    ends = staged(ends, "ends")
+    some = ends.count() <= 500_000  # 60 MB at most
+    texts = own.join(F.broadcast(ends) if some else ends, "key").select("node", "text").dropDuplicates(["node"])
+    roots = components(verified(found, texts, least, size), "edges").select("node", "root")
     kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.key").alias(key))
     # one exchange of the rows, by their key
     return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*[f"`{c}`" for c in docs.columns])
 
 
-def brute_groups(texts: list[str | None], least: float = 0.8, size: int = 5, words: int = WORDS) -> list[int]:
-    """The smallest place of each text's group, by comparing all pairs of long fingerprints; for tests."""
-    own = [signature(t, size, words) for t in texts]
-    n, w = np.array([x[0] for x in own]), np.stack([x[1] for x in own]).view(np.uint64)
-    up = list(range(len(own)))
+def brute_groups(texts: list[str | None], least: float = 0.8, size: int = 5) -> list[int]:
+    """The smallest place of each text's group, by comparing all pairs of shingle sets; for tests."""
+    sets = [frozenset(shingles(t, size).tolist()) for t in texts]
+    up = list(range(len(sets)))
 
     def root(x: int) -> int:
         while up[x] != x:
             x = up[x]
         return x
 
-    for a in range(len(own)):
-        distance = np.bitwise_count(w[:a] ^ w[a]).sum(1, dtype=np.int64)
-        common = np.cos(np.pi * distance / (64 * words)) * np.sqrt(n[:a] * n[a])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            linked_ = (common / (n[:a] + n[a] - common) >= least) | (distance == 0) & (n[:a] == n[a])
-        for b in np.flatnonzero(linked_).tolist():
-            x, y = root(a), root(b)
-            up[max(x, y)] = min(x, y)
-    return [root(x) for x in range(len(own))]
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x == y or min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y):
+                i, j = root(a), root(b)
+                up[max(i, j)] = min(i, j)
+    return [root(x) for x in range(len(sets))]
 
 
 def brute_force(texts: list[tuple], radius: int = 4) -> dict[int, int]:

@@ -10,7 +10,9 @@ both in order and do not overlap, so their interval join is a merge. A token bel
 
 Sections cover the text without gaps: lines with their line end, or given lists of starts. Counts over a document's
 sections always add up to its tokens. Defined cases: a null or empty text has one section without tokens; a section
-without characters gets no token; tokens inside a character of several bytes belong where the character does.
+without characters gets no token; tokens inside a character of several bytes belong where the character does; a token
+that two sections hold equally belongs to the first by ``most``. Rows that repeat are counted each; an empty table stays
+empty; a text of any length is encoded whole. Other columns stay as they are; one of the result's name is an error.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import refuse
+
 RULES = ("start", "end", "most", "split")
 
 
@@ -77,6 +81,7 @@ def counted(docs: DataFrame, path: str, pattern: str, rule: str = "start", name:
     """
     from pyspark.sql.functions import arrow_udf
 
+    refuse(docs, name)
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
     kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.float64())])

@@ -144,6 +144,9 @@ def test_query(spark, sf_dir):
 
 
 def test_column(spark):
-    df = spark.createDataFrame([(1, None, "k"), (1, f"<p>{escape('<é>')}</p>", "k"), (None, "", "k")], "page_id long, html string, text string").withColumnRenamed("text", "other")
-    assert sorted(r.text for r in extracted(df).collect()) == ["", "", "<é>"]
-    assert extracted(df.limit(0)).count() == 0
+    df = spark.createDataFrame([(1, None, "k"), (1, f"<p>{escape('<é>')}</p>", "k"), (None, "", "k")], "page_id long, html string, Text string")
+    with pytest.raises(ValueError, match="text"):
+        extracted(df)
+    got = extracted(df, "main").collect()
+    assert sorted(r.main for r in got) == ["", "", "<é>"] and {r.Text for r in got} == {"k"}
+    assert extracted(df.drop("Text").limit(0)).count() == 0

@@ -26,7 +26,13 @@ def test_held_out_accuracy(spark):
 def test_defined_cases(spark, docs):
     model = learned(docs, ~held_out())
     rows = [(1, None), (2, ""), (3, "123 %% !!"), (3, "the words of this and that"), (None, "der die und das mit nicht"), (4, "the " * 200_000), (4, "É")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang_pred", F.lit("clash")).drop("lang_pred").withColumn("score0", F.lit(0))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = df.withColumn("LANG_PRED", F.lit("clash")).withColumn("__lang", F.lit(0))
+    with pytest.raises(ValueError, match="lang_pred"):
+        identified(clash, model)
+    out = identified(clash, model, "my_")
+    assert out.columns == ["doc_id", "text", "LANG_PRED", "__lang", "my_lang_pred", "my_score"]
+    assert {(r.LANG_PRED, r["__lang"]) for r in out.collect()} == {("clash", 0)}
     got = [(r.lang_pred, r.score) for r in identified(df, model).orderBy(F.monotonically_increasing_id()).collect()]
     assert [g[0] for g in got[:6]] == ["und", "und", "und", "en", "de", "en"] and got[0][1] == got[2][1] == 0 and got[6][0] != "und"
     assert identified(df.limit(0), model).count() == 0
@@ -40,6 +46,16 @@ def test_labels_and_ids_are_no_inputs(docs):
     assert learned(changed, ~held_out()).langs == one.langs
 
 
+def test_a_repeated_row_counts_once(spark, docs):
+    rows = docs.where("lang = 'fr'").limit(5)
+    often = rows.select("doc_id", "text", F.lit("de").alias("lang"), F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("k")).drop("k")
+    one, many = learned(docs.select("doc_id", "text", "lang"), ~held_out(), 10**6), learned(docs.select("doc_id", "text", "lang").union(docs.select("doc_id", "text", "lang")), ~held_out(), 10**6)
+    assert (one.weights == many.weights).all()
+    assert learned(often, F.lit(True)).langs == ["de"]
+    with pytest.raises(ValueError, match="lang"):
+        learned(docs.withColumn("lang", F.col("doc_id").cast("string")), F.lit(True), languages=50)
+
+
 def test_few_labels(spark, docs):
     none = learned(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
     assert none.predict("some words") == ("und", 0.0)

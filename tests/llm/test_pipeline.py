@@ -24,19 +24,10 @@ def test_against_brute_force(spark, fixture):
     docs = [tuple(r) for r in spark.read.parquet(f"{fixture}/documents.parquet").select("doc_id", "text").collect()]
     bench = [tuple(r) for r in spark.read.parquet(f"{fixture}/benchmark.parquet").select("item_id", "text").collect()]
     kept = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t)]
-    prints = {}
-    for i, t in kept:
-        prints.setdefault(simhash.fingerprint(t), []).append((i is None, i, t))
-    group = {p: p for p in prints}
-    for _ in range(len(prints)):
-        new = {a: min(group[b] for b in prints if (a ^ b).bit_count() <= 4) for a in prints}
-        if new == group:
-            break
-        group = new
     members = {}
-    for p, rows in prints.items():
-        members.setdefault(group[p], []).extend(rows)
-    firsts = {min(rows, key=lambda r: (r[0], r[1] or 0))[1] for rows in members.values()}
+    for k, root in enumerate(simhash.brute_groups([t for _, t in kept])):
+        members.setdefault(root, []).append((kept[k][0] is None, kept[k][0] or 0, kept[k][0]))
+    firsts = {min(rows)[2] for rows in members.values()}
     texts = {i: t for i, t in kept}
     clean = {r["doc_id"] for r in decontaminate.brute_force([(i, texts[i]) for i in firsts], bench) if not r["contaminated"]}
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm.simhash import brute_force, components, deduplicated, fingerprint, forest, grouped, linked, masks, star_edges
+from tessera.llm import simhash
+from tessera.llm.simhash import brute_force, brute_groups, collisions, components, deduplicated, fingerprint, fingerprinted, forest, grouped, linked, masks, nearest, shingles, signature, star_edges
 
 
 def near(prints, radius):
@@ -36,10 +37,10 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("radius", [2, 4])
+@pytest.mark.parametrize("radius", [1, 2, 3, 4])
 def test_links_lose_no_component(spark, prints, radius):
     df = spark.createDataFrame([(signed(p),) for p in prints], "fingerprint long")
-    for leaf in (1 << 21, 3000):  # the small one splits prefixes within tasks
+    for leaf in (1 << 21, 3000) if radius in (2, 4) else (1 << 21,):  # the small one splits prefixes within tasks
         roots = {r.node: r.root for r in components(linked(df, radius, leaf)).collect()}
         want = near(prints, radius)
         groups = {}
@@ -89,6 +90,78 @@ def test_defined_cases(spark):
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, "a b c"), (2, ""), (3, "x y z w v"), (3, "q r s"), (None, "solo one")], key=repr)
     assert grouped(df.limit(0)).count() == deduplicated(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="fingerprint"):
+        fingerprinted(df)
+
+
+def test_columns_stay_as_they_are(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "b", {"x": 1}, None), (1, text, "a", {"x": 2}, 5), (1, text, "a", {"x": 2}, 5), (2, text, "c", None, 5), (None, "another text than those", "d", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key string, __made map<string,int>, __text_hash int")
+    got = deduplicated(df)
+    assert got.schema == df.schema
+    kept = [tuple(r) for r in got.collect()]
+    assert len(kept) == 2 and all(k in rows for k in kept) and {k[0] for k in kept} == {1, None}
+    # of rows of one id and text the same one stays, however the rows are dealt
+    assert all({r["__key"] for r in deduplicated(df.repartition(n)).collect()} == {k[2] for k in kept} for n in (1, 5))
+
+
+def test_signatures_tell_the_similarity():
+    r = random.Random(4)
+    for share in (0.7, 0.8, 0.9):
+        errors = []
+        for _ in range(40):
+            n = r.randint(80, 400)
+            both = int(2 * n * share / (1 + share))
+            pool = np.array([r.getrandbits(64) for _ in range(2 * n - both)], np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(pool[n - both :])
+            distance = int(np.bitwise_count(signature(a).view(np.uint64) ^ signature(b).view(np.uint64)).sum())
+            common = np.cos(np.pi * distance / (64 * simhash.WORDS)) * np.sqrt(len(a) * len(b))
+            errors.append(common / (len(a) + len(b) - common) - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+        assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+    assert len(shingles(None)) == len(shingles(" ")) == 0 and len(shingles("a b c")) == 1 and len(shingles("a b c d e f f")) == 3
+
+
+def test_collisions_find_all_within_one_flip_each():
+    r = random.Random(9)
+    words = []
+    for _ in range(30):
+        x = r.getrandbits(32)
+        words += [x, x ^ 1 << r.randrange(32), x ^ 1 << r.randrange(32) ^ 1 << r.randrange(32)]
+    words = np.array(words, np.uint32)
+    far = 64  # all sketches are near: each bucket is a star
+    for leaf in (1 << 21, 50):
+        up = list(range(len(words)))
+        for prefix in range(4):
+            for found in collisions(words, np.zeros(len(words), np.uint64), prefix, 2, far, leaf):
+                assert all((int(words[a]) ^ int(words[b])).bit_count() <= 2 for a, b, _ in found.tolist())
+                for a, b, _ in nearest(found).tolist():
+                    x, y = up[a], up[b]
+                    up = [min(x, y) if k in (x, y) else k for k in up]
+        for a in range(len(words)):
+            for b in range(a):
+                if (int(words[a]) ^ int(words[b])).bit_count() <= 2:
+                    assert up[a] == up[b]
+    # a sketch that is far has its own turn: what is like it is found
+    sketches = np.array([0, (1 << 64) - 1, 0, (1 << 64) - 2], np.uint64)
+    (found,) = collisions(np.full(4, 5, np.uint32), sketches, 0, 1)
+    assert sorted(tuple(x[:2]) for x in found.tolist()) == [(2, 0), (3, 1)]
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Exact similarity of all pairs decides; the search may lose a few that lie at the threshold."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    r = random.Random(6)
+    long = [t for _, t in rows if len(t.split()) > 60][:150]
+    for k, t in enumerate(long):  # copies with some words changed
+        words = t.split()
+        for _ in range(1 + len(words) // 200 * (k % 4)):
+            words[r.randrange(len(words))] = "changed"
+        rows.append((10_000 + k, " ".join(words)))
+    kept = {x.doc_id for x in deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {rows[k][0] for k in brute_groups([t for _, t in rows])}
+    assert want <= kept and len(kept - want) <= 0.01 * (len(rows) - len(want))
 
 
 def test_query(spark, sf_dir):

@@ -66,6 +66,15 @@ def test_given_sections(spark):
     assert got[0] == [(0, 5, 1.0), (5, 15, 2.0), (15, 15, 0.0)] and [x[:2] for x in got[1]] == [(0, 1), (1, 1), (1, 1)]
 
 
+def test_clashes_repeats_and_nothing(spark):
+    df = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1)], "doc_id long, text string, sections int")
+    with pytest.raises(ValueError, match="sections"):
+        counted(df, PATH, public_tokenizers.PATTERN)
+    got = counted(df, PATH, public_tokenizers.PATTERN, name="own").collect()
+    assert [(r.sections, [tuple(x) for x in r.own]) for r in got] == [(1, [(0, 3, 2.0)])] * 2
+    assert counted(df.limit(0), PATH, public_tokenizers.PATTERN, name="own").count() == 0
+
+
 def test_bad_rule(spark):
     with pytest.raises(ValueError):
         sections(spark, ["x"], "none")
