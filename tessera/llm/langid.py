@@ -142,14 +142,15 @@ def learned(docs: DataFrame, where: Column, per_label: int = 400, languages: int
     from pyspark.sql.functions import arrow_udf
 
     rows = docs.where(F.col("lang").isNotNull() & F.coalesce(where, F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(languages + 1).collect()}
+    place = F.xxhash64(F.lit("sample"), "doc_id", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(place).alias("n")).limit(languages + 1).collect()}
     if not counts:
         return Model([], [])
     if len(counts) > languages:
         raise ValueError(f"more than {languages} values of lang")
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000_000, per_label * 1_000_000_000 // n))])
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", F.xxhash64("text")), F.lit(1_000_000_000)) < F.element_at(shares, F.col("lang")))
-    # rows of equal id, text and label have one hash: they come in together, and count once
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000_000, per_label * 1_000_000_000 // max(1, n)))])
+    sample = rows.where(F.pmod(place, F.lit(1_000_000_000)) < F.element_at(shares, F.col("lang")))
+    # rows of equal id, text and label have one place: they come in together, and count once
     sample = sample.select("lang", "text").dropDuplicates()
 
     @arrow_udf("struct<at:binary,value:binary>")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import table
+from tessera.llm.shared import small_batches, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,7 +98,8 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = encoded(docs, vocabulary("piece_bpe_32k.model"), ids=False, checks=True)
-    return out.select("doc_id", "pieces.n_pieces", F.col("pieces.crc32").alias("ids_crc32"), "pieces.round_trip")
+    with small_batches(spark):
+        return staged(out.select("doc_id", "pieces.n_pieces", F.col("pieces.crc32").alias("ids_crc32"), "pieces.round_trip"), "pieces")
 
 
 @query

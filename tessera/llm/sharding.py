@@ -1,15 +1,17 @@
 """Sharding by size-tiered compaction, with DataFrame functions only.
 
 Arrivals are appended as small immutable Parquet shards. Compaction puts shards of similar size into tiers, merges the
-runs of a tier that holds enough of them into files of about the target size, and leaves full shards alone. Each change
-is one new manifest: a JSON file with the next version number that lists every live shard, written aside and renamed into
-place without overwriting, so that a reader sees a whole version or none of it, and of two writers one fails and can try
-again. Shards that a manifest doesn't list, such as those of a lost attempt, are never read; ``vacuum`` removes them.
+runs of a tier that holds enough of them into files of about the target size, and leaves full shards alone. Each change is
+one new version of the manifest (``tessera.sources.versions``): it says which shards come and go, and is renamed into place
+without overwriting, so that a reader sees a whole version or none of it, and of two writers one fails and can try again.
+A manifest file holds the change alone, and now and then the whole list, so that many arrivals cost no more than their
+shards. Shards that no version lists, such as those of a lost attempt, are never read. Nothing is removed but by
+``vacuum``, which the caller runs: it spares what the last versions list, and recent files, which may be another writer's.
 
 A merge reads its shards in one task and writes one file, so nothing is shuffled and a hot source is no matter; merges
-run side by side. Defined cases: rows are stored as they are, nulls and repeated rows included; an arrival without rows
-adds no shard and no version; all appends must have the columns of the first (in any order), else they are refused. On
-file systems whose rename can overwrite (object stores) the manifest folder needs a store with conditional writes.
+run side by side. Defined cases: rows are stored as they are, nulls, empty and very long texts and repeated rows included;
+an arrival without rows (or an empty table) adds no shard and no version; arrivals of equal number are one; all appends must
+have the columns of the first (in any order), else they are refused, as is a table with a column ``__arrival``.
 """
 
 from __future__ import annotations
@@ -23,6 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.folders import qualified
+from tessera.sources.versions import Conflict, Log, State
+
+__all__ = ["Conflict", "Shard", "Store", "compacted", "merges", "tiers"]
+
 #: Bytes of a full shard; shards of a tier before they merge, and at most in one merge; sizes that count as similar.
 TARGET, LEAST, MOST, SIMILAR = 64 << 20, 4, 64, (0.5, 1.5)
 #: Shards under this many bytes are one tier, and merges that run side by side.
@@ -36,8 +43,8 @@ class Shard(NamedTuple):
     rows: int
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed this version."""
+def shards_of(state: State) -> list[Shard]:
+    return [Shard(path, *values) for path, values in state.entries.items()]
 
 
 def tiers(shards: list[Shard], target: int = TARGET, small: int = SMALL, similar: tuple[float, float] = SIMILAR) -> list[list[Shard]]:
@@ -74,51 +81,22 @@ class Store:
     """A versioned set of shards in a folder."""
 
     def __init__(self, spark: SparkSession, uri: str, target: int = TARGET, least: int = LEAST, most: int = MOST, small: int = SMALL) -> None:
-        self.spark, self.uri, self.target, self.least, self.most, self.small = spark, uri.rstrip("/"), target, least, most, small
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path(self.uri).getFileSystem(self._conf)
-        self._fs.mkdirs(self._path(f"{self.uri}/manifests"))
+        self.spark, self.uri, self.target, self.least, self.most, self.small = spark, qualified(spark, uri.rstrip("/")), target, least, most, small
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.log = Log(spark, f"{self.uri}/manifests")
+        self._fs = self.log.fs
 
     # manifests
 
     def versions(self) -> list[int]:
-        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.uri}/manifests"))]
-        return sorted(int(n[1:-5]) for n in names if n[0] == "v" and n.endswith(".json"))
-
-    def manifest(self, version: int | None = None) -> dict:
-        found = self.versions()
-        if version is None and not found:
-            return {"version": 0, "schema": None, "shards": []}
-        version = found[-1] if version is None else version
-        stream = self._fs.open(self._path(f"{self.uri}/manifests/v{version:08d}.json"))
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self.log.versions()
 
     def shards(self, version: int | None = None) -> list[Shard]:
-        return [Shard(*x) for x in self.manifest(version)["shards"]]
-
-    def commit(self, old: dict, add: list[Shard], remove: list[Shard], schema: str) -> dict:
-        """The next manifest after ``old``; Conflict if another writer has made it."""
-        gone = {s.path for s in remove}
-        new = {"version": old["version"] + 1, "schema": schema, "shards": [x for x in old["shards"] if x[0] not in gone] + [list(s) for s in add]}
-        jvm = self.spark.sparkContext._jvm
-        aside = self._path(f"{self.uri}/manifests/.{uuid.uuid4().hex}")
-        stream = self._fs.create(aside, False)
-        stream.write(bytearray(json.dumps(new).encode()))
-        stream.close()
-        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self._conf).rename(aside, self._path(f"{self.uri}/manifests/v{new['version']:08d}.json"), none)
-        except Exception as error:
-            self._fs.delete(aside, False)
-            if "FileAlreadyExists" in str(error):
-                raise Conflict(f"version {new['version']} exists") from error
-            raise
-        return new
+        return shards_of(self.log.state(version))
+
+    def commit(self, old: State, add: list[Shard], remove: list[Shard], schema: str) -> State:
+        """The next version after ``old``; Conflict if another writer has made it."""
+        return self.log.commit(old, {s.path: [s.bytes, s.rows] for s in add}, [s.path for s in remove], {"schema": schema})
 
     # data
 
@@ -144,13 +122,13 @@ class Store:
         """Write the rows as shards; a version for each arrival (value of the column), in ascending order."""
         if ARRIVAL in df.columns:
             raise ValueError(f"{ARRIVAL} is the store's own column")
-        old = self.manifest()
-        if old["schema"]:
-            names = T.StructType.fromJson(json.loads(old["schema"])).names
+        old = self.log.state()
+        if "schema" in old.meta:
+            names = T.StructType.fromJson(json.loads(old.meta["schema"])).names
             if sorted(names) != sorted(df.columns):
                 raise ValueError(f"columns must be {names}")
             df = df.select(*[f"`{n}`" for n in names])
-        schema = old["schema"] or df.schema.json()
+        schema = old.meta.get("schema") or df.schema.json()
         folder = f"{self.uri}/data/{uuid.uuid4().hex}"
         if arrival is None:
             df.write.parquet(folder)
@@ -164,24 +142,24 @@ class Store:
         for key in sorted(groups):
             if groups[key]:
                 old = self.commit(old, groups[key], [], schema)
-                out.append(old["version"])
+                out.append(old.version)
         return out
 
     def read(self, version: int | None = None) -> DataFrame:
-        held = self.manifest(version)
-        if not held["schema"]:
+        held = self.log.state(version)
+        if "schema" not in held.meta:
             raise ValueError("the store is empty")
-        schema = T.StructType.fromJson(json.loads(held["schema"]))
-        paths = [x[0] for x in held["shards"]]
+        schema = T.StructType.fromJson(json.loads(held.meta["schema"]))
+        paths = list(held.entries)
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def compact(self) -> int | None:
         """One round of merges; the new version, or None if no tier has enough shards."""
-        old = self.manifest()
-        groups = merges([Shard(*x) for x in old["shards"]], self.target, self.least, self.most, self.small)
+        old = self.log.state()
+        groups = merges(shards_of(old), self.target, self.least, self.most, self.small)
         if not groups:
             return None
-        schema = T.StructType.fromJson(json.loads(old["schema"]))
+        schema = T.StructType.fromJson(json.loads(old.meta["schema"]))
 
         def merge(group: list[Shard]) -> list[Shard]:
             folder = f"{self.uri}/data/{uuid.uuid4().hex}"
@@ -192,24 +170,31 @@ class Store:
 
         with ThreadPoolExecutor(BESIDE) as pool:
             new = [s for made in pool.map(merge, groups) for s in made]
-        return self.commit(old, new, [s for g in groups for s in g], old["schema"])["version"]
-
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove shards that none of the last ``keep`` versions lists, and older manifests; how many shards went."""
-        versions = self.versions()
-        live = {s.path for v in versions[-keep:] for s in self.shards(v)}
-        gone = [p for p, _ in (self._files(f"{self.uri}/data") if self._fs.exists(self._path(f"{self.uri}/data")) else []) if p not in live]
-        for p in gone:
-            self._fs.delete(self._path(p), False)
-        for v in versions[:-keep]:
-            self._fs.delete(self._path(f"{self.uri}/manifests/v{v:08d}.json"), False)
+        return self.commit(old, new, [s for g in groups for s in g], old.meta["schema"]).version
+
+    def vacuum(self, keep: int = 1, hours: float = 24) -> int:
+        """Remove shards that none of the last ``keep`` versions lists, and manifests that none of those needs; how many shards went.
+
+        Files younger than so many hours are spared.
+        """
+        files, data = [], self._path(f"{self.uri}/data")
+        if self._fs.exists(data):
+            found = self._fs.listFiles(data, True)
+            while found.hasNext():
+                x = found.next()
+                if x.getPath().getName().endswith(".parquet"):
+                    files.append((x.getPath().toString(), x.getModificationTime()))
+        gone = self.log.unlisted(files, keep, hours)
+        for path in gone:
+            self._fs.delete(self._path(path), False)
+        self.log.forget(keep)
         return len(gone)
 
 
 def compacted(df: DataFrame, uri: str, arrival: Column | None = None, target: int = TARGET) -> Store:
-    """A store of the rows, appended by arrivals and compacted until no tier is due."""
+    """A store of the rows, appended by arrivals and compacted until no tier is due. All versions can be read until a vacuum."""
     store = Store(df.sparkSession, uri, target)
     store.append(df, arrival)
     while store.compact():
-        store.vacuum()
+        pass
     return store

@@ -30,9 +30,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def unused(df: DataFrame, name: str) -> str:
-    """A column name like this one that the table doesn't have, for what an operator adds and takes away."""
-    name, taken = f"__{name}", {c.lower() for c in df.columns}
-    while name.lower() in taken:
+    """A column name like this one with which no column of the table begins, for what an operator adds and takes away."""
+    name = f"__{name}"
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
         name += "_"
     return name
 

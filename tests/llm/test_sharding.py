@@ -25,20 +25,22 @@ def test_appends_compaction_and_versions(spark, docs, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", target=20_000, small=10)
     for part in range(8):
         assert store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == part).coalesce(1)) == [part + 1]
-    before = store.manifest()
-    assert len(before["shards"]) == 8 and store.read().exceptAll(docs).count() == docs.exceptAll(store.read()).count() == 0
+    before = store.log.state()
+    assert len(before.entries) == 8 and store.read().exceptAll(docs).count() == docs.exceptAll(store.read()).count() == 0
     version = store.compact()
     assert version == 9 and len(store.shards()) < 8 and sum(s.rows for s in store.shards()) == docs.count()
     assert docs.exceptAll(store.read()).count() == 0 and store.read(8).count() == docs.count() and 0 < store.read(1).count() < docs.count()
     with pytest.raises(Conflict):
-        store.commit(before, [], [], before["schema"])
+        store.commit(before, [], [], before.meta["schema"])
     assert store.versions()[-1] == 9
     while store.compact():
         pass
     assert store.compact() is None
-    assert store.vacuum() > 0 and store.versions() == [store.manifest()["version"]] and docs.exceptAll(store.read()).count() == 0
+    assert store.vacuum() == 0 and store.read(8).count() == docs.count()  # all files are young
+    last = store.versions()[-1]
+    assert store.vacuum(hours=0) > 0 and docs.exceptAll(store.read()).count() == 0 and last in store.versions()
     again = Store(spark, f"file://{tmp_path}/s")
-    assert again.manifest() == store.manifest()
+    assert again.log.state() == store.log.state()
 
 
 def test_lost_attempts_are_not_read(spark, docs, tmp_path):
@@ -46,7 +48,7 @@ def test_lost_attempts_are_not_read(spark, docs, tmp_path):
     store.append(docs)
     docs.write.parquet(f"file://{tmp_path}/s/data/orphan")
     assert store.read().count() == docs.count()
-    assert store.vacuum() > 0 and store.read().count() == docs.count()
+    assert store.vacuum() == 0 and store.vacuum(hours=0) > 0 and store.read().count() == docs.count()
 
 
 def test_arrivals_by_column(spark, docs, tmp_path):
@@ -71,5 +73,7 @@ def test_defined_cases(spark, docs, tmp_path):
 
 
 def test_no_python_runs(spark, docs, tmp_path):
-    out = compacted(docs, f"file://{tmp_path}/s", F.col("doc_id") % 5).read()
+    store = compacted(docs, f"file://{tmp_path}/s", F.col("doc_id") % 5)
+    assert store.read(1).count() > 0 and len(store.versions()) > 5  # nothing was removed
+    out = store.read()
     assert not any(x in out._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow")) and docs.exceptAll(out).count() == 0
