@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import staged
+from tessera.llm.shared import delete, staged, staged_at
 
 CHAIN = 2
 #: The key that stands for a null id.
@@ -145,42 +145,65 @@ def edited(docs: DataFrame, about: DataFrame | None = None) -> DataFrame:
     return out.select(F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), "text", F.char_length("text").cast("bigint").alias("n_chars"), F.concat(kept, start).alias("edited"), "sigs", F.col("next.sigs").alias("next_sigs"), "about")
 
 
+def parity(sigs: str) -> Column:
+    """Four words of 64 bits, each bit the parity of the signatures (longs) that fall on it: two sets' words differ in at most
+    as many bits as the sets differ in signatures."""
+    return F.array(*[F.expr(f"aggregate(filter({sigs}, x -> x & 3 = {w}), 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 2) & 63 as int)))") for w in range(4)])
+
+
 def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(class_mark, other_mark, likeness) of unlike sets with at least this Jaccard, each pair once, and (k, h, mark, class_id) of all rows.
 
     docs: doc_id, text; k and h are the id and the text's MD5. Classes are equal signature sets, named by a hash of the set
     (mark) and the smallest id that has it (null if none has an id). Empty sets pair with none. Signatures that more than
-    OFTEN sets have among their first ones come last in the order that tells which of a set's signatures are looked up; any
-    one order of all signatures loses no pair.
+    OFTEN rows have among their first ones come last in the order that tells which of a set's signatures are looked up; any
+    one order of all signatures loses no pair. Pairs whose lengths, or whose parities, exclude the Jaccard go before their
+    sets are fetched.
     """
+    return _near(docs, least)[:2]
+
+
+def _near(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """What near_pairs gives, and the folders that it's read from."""
     sets = keyed(docs).select("k", F.md5("text").alias("h"), F.array_sort(F.transform(signatures("text"), lambda x: F.xxhash64(x))).alias("sigs"))
-    sets = staged(sets.withColumn("mark", F.xxhash64("sigs", F.size("sigs"))), "signatures")
+    sets, sets_at = staged_at(sets.withColumn("mark", F.xxhash64("sigs", F.size("sigs"))), "signatures")
     members = sets.select("k", "h", "mark").join(sets.groupBy("mark").agg(F.min(F.when(F.col("k") != NONE, F.col("k"))).alias("class_id")), "mark")
-    own = sets.where(F.size("sigs") > 0).groupBy("mark").agg(F.first("sigs").alias("sigs"))
-    early = own.select(F.explode(F.expr("slice(sigs, 1, cast(ceil(0.4 * size(sigs)) as int))")).alias("sig"))
-    common = staged(early.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN), "common")
+    early = sets.select(F.explode(F.expr("slice(sigs, 1, cast(ceil(0.25 * size(sigs)) as int))")).alias("sig"))
+    common, common_at = staged_at(early.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN), "common")
     small = common.count() <= 1_000_000  # 16 MB at most
+    own = sets.where(F.size("sigs") > 0).groupBy("mark").agg(F.first("sigs").alias("sigs"))
     ranked = own.select("mark", F.explode("sigs").alias("sig")).join(F.broadcast(common) if small else common, "sig", "left")
     ranked = ranked.groupBy("mark").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sig"))).alias("r"))
     size = F.size("r")
     head = ranked.select("mark", size.alias("size"), F.expr("transform(r, x -> x.sig)").alias("sigs"), F.floor(F.log(size) / math.log(1 / least) + 1e-9).cast("int").alias("band"))
-    # the longer of two looks with more of its signatures than the shorter, which none of its pairs can miss
+    # the longer of two looks with more of its signatures than the shorter, which none of its pairs can miss; a signature stands
+    # with its band for the key
     looks = F.expr(f"slice(sigs, 1, cast(size - ceil({least} * size - 1e-9) as int) + 1)")
     found = F.expr(f"slice(sigs, 1, cast(size - ceil({2 * least / (1 + least)} * size - 1e-9) as int) + 1)")
-    left = head.select(F.col("mark").alias("a"), F.col("size").alias("a_size"), "band", F.explode(looks).alias("sig"))
-    right = head.select(F.col("mark").alias("b"), F.col("size").alias("b_size"), "band", found.alias("f")).select("b", "b_size", "f", F.explode(F.array("band", F.col("band") + 1)).alias("band")).select("b", "b_size", "band", F.explode("f").alias("sig"))
+    left = head.select(F.col("mark").alias("a"), F.col("size").alias("a_size"), "band", F.explode(looks).alias("sig")).select("a", "a_size", F.xxhash64("sig", "band").alias("key"))
+    right = head.select(F.col("mark").alias("b"), F.col("size").alias("b_size"), "band", F.explode(found).alias("sig"))
+    right = right.select("b", "b_size", F.explode(F.array(F.xxhash64("sig", "band"), F.xxhash64("sig", F.col("band") + 1))).alias("key"))
     fit = (F.col("b_size") <= F.col("a_size")) & (F.col("a_size") * least <= F.col("b_size") + 1e-9) & ((F.col("b_size") < F.col("a_size")) | (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["band", "sig"]).where(fit).select("a", "b").distinct()
+    pairs = left.join(right, "key").where(fit).select("a", "b", "a_size", "b_size").distinct()
+    # sets of a Jaccard of j differ in (1 - j) / (1 + j) of their signatures
+    bits = own.select("mark", parity("sigs").alias("bits"))
+    differ = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
+    pairs = pairs.join(bits.select(F.col("mark").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("mark").alias("b"), F.col("bits").alias("y")), "b")
+    pairs = pairs.where(differ <= (1 - least) / (1 + least) * (F.col("a_size") + F.col("b_size")) + 1e-9).select("a", "b")
     pairs = pairs.join(own.select(F.col("mark").alias("a"), F.col("sigs").alias("x")), "a").join(own.select(F.col("mark").alias("b"), F.col("sigs").alias("y")), "b")
-    return pairs.select(F.col("a").alias("class_mark"), F.col("b").alias("other_mark"), likeness("x", "y").alias("likeness")).where(F.col("likeness") >= least - 1e-12), members
+    pairs = pairs.select(F.col("a").alias("class_mark"), F.col("b").alias("other_mark"), likeness("x", "y").alias("likeness")).where(F.col("likeness") >= least - 1e-12)
+    return pairs, members, [sets_at, common_at]
 
 
 def linked(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(k, h, about) of every id and text: a struct of its class_id, and of how many other classes are at least so like."""
-    pairs, members = near_pairs(docs, least)
+    pairs, members, folders = _near(docs, least)
     links = pairs.select(F.explode(F.array("class_mark", "other_mark")).alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n_links"))
     out = members.join(links, "mark", "left").select("k", "h", F.struct("class_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")).alias("about"))
-    return staged(out.dropDuplicates(["k", "h"]), "links")
+    out = staged(out.dropDuplicates(["k", "h"]), "links")
+    for folder in folders:
+        delete(docs.sparkSession, folder)
+    return out
 
 
 def brute_signatures(text: str | None, chain: int = CHAIN) -> frozenset[tuple]:
