@@ -7,8 +7,8 @@ normalised text once. Matches are mapped from the normalised text to words, and
 Defined cases: a null or empty text has no words, no hits and is clean; an item without words has no window; an item
 without an id is no item; repeated items count once, repeated documents each; an empty table of documents stays empty,
 and one of items hits nothing; a text of any length is scanned whole; windows that several items share hit for each; a
-column of a result's name is an error unless a prefix is given. The automaton is held in memory, so items are taken in blocks of
-at most ``block_chars`` characters of patterns: a larger benchmark means more blocks, each scanning the text once.
+column of a result's name is an error unless a prefix is given. The automaton is held in memory by every Python worker (some 60
+bytes a character), so items are taken in blocks of at most ``block_chars`` characters of patterns: a larger benchmark means more blocks, each scanning the text once.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def _blocks(rows: Iterator, size: int, block_chars: int) -> Iterator[dict]:
     yield block
 
 
-def scanned(text: Column, benchmark: DataFrame, size: int = WINDOW, block_chars: int = 32_000_000) -> Column:
+def scanned(text: Column, benchmark: DataFrame, size: int = WINDOW, block_chars: int = 4_000_000) -> Column:
     """Column STATE of each text. benchmark (item_id, text) is read by the driver one partition at a time."""
     from pyspark.sql.functions import arrow_udf
 
@@ -145,7 +145,7 @@ def scanned(text: Column, benchmark: DataFrame, size: int = WINDOW, block_chars:
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20, block_chars: int = 32_000_000, prefix: str = "") -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20, block_chars: int = 4_000_000, prefix: str = "") -> DataFrame:
     """docs with n_words, n_hit, n_items, items (sorted as strings), spans and contaminated.
 
     A document is contaminated if a word of it is hit and at least one of ``share`` words is. The names added are

@@ -207,6 +207,21 @@ class Page:
                 link_tags[up] += link_tags[i] + (self.tag[i] == "a")
         return chars, tags, link_chars, link_tags
 
+    def sums(self) -> tuple[list[int], list[float], list[float]]:
+        """Characters, density and density sum of each node; cut parts have none."""
+        n, body = len(self.tag), self.body
+        chars, tags, link_chars, link_tags = self.counted()
+        share = link_chars[body] / max(1, chars[body])
+        density, total = [0.0] * n, [0.0] * n
+        for i in range(n):
+            if chars[i] > 1 and not self.cut[i]:
+                c, t, lc, lt = chars[i], max(1, tags[i]), max(1, link_chars[i]), max(1, link_tags[i])
+                base = log(c / max(1, c - link_chars[i]) * link_chars[i] + share * c + e)
+                density[i] = max(0.0, c / t * log(max(1.0, c / lc * t / lt)) / log(base + e - 1))
+        for i in range(n - 1, 0, -1):
+            total[self.parent[i]] += density[i]
+        return chars, density, total
+
     def article(self) -> list[bool]:
         """Which nodes are the article's."""
         n = len(self.tag)
@@ -223,18 +238,9 @@ class Page:
             if self.tag[i] == "form" and not self.cut[i]:  # but for pages that stand in a form as a whole
                 inner = sum(t in ("article", "main", "p") for t in self.tag[i + 1 : last[i] + 1])
                 self.cut[i] = 2 * chars[i] <= chars[self.body] or inner < 2
-        chars, tags, link_chars, link_tags = self.counted()
         body = self.body
-        share = link_chars[body] / max(1, chars[body])
-        density = [0.0] * n
-        for i in range(n):
-            if chars[i] and not self.cut[i]:
-                c, t, lc, lt = chars[i], max(1, tags[i]), max(1, link_chars[i]), max(1, link_tags[i])
-                base = log(c / max(1, c - link_chars[i]) * link_chars[i] + share * c + e)
-                density[i] = max(0.0, c / t * log(max(1.0, c / lc * t / lt)) / log(base + e - 1)) if c > 1 else 0.0
-        total, best = [0.0] * n, list(range(n))
-        for i in range(n - 1, 0, -1):
-            total[self.parent[i]] += density[i]
+        chars, density, total = self.sums()
+        best = list(range(n))
         rank = [x if t in BOXES else -1.0 for x, t in zip(total, self.tag, strict=True)]
         for i in range(n - 1, 0, -1):
             up = self.parent[i]

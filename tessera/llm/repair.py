@@ -5,7 +5,8 @@ takes all pairs that occur at least twice and at least 1/512 as often as the mos
 the more frequent is replaced, and of one pair's own overlaps every second from the left. Each pair that is replaced twice
 or more becomes a nonterminal. The most frequent pair always does, so each round gets on. A pair never crosses the end of a
 document. The file holds the rules, the length that each expands to, the compressed symbols, both at as many bits as the
-largest needs, and for each document its first symbol and first id, so a document or a range of ids decodes without the rest.
+largest needs, and for each document its first symbol and first id, so a document or a range of ids is read (``opened``) and
+decoded without the others.
 
 Texts are encoded some megabytes at a time, by distinct words, split at ASCII white space, which the tokenizer's own
 splitting never crosses. Words of plain letters and signs go to the tokenizer's model directly, others to the whole of it. Documents are in ascending doc_id order across and within shards (a null id
@@ -39,6 +40,8 @@ MAGIC = b"RPAIR1\r\n"
 SHARD, SHARE = 1 << 21, 512
 #: Rules of up to so many ids are held expanded by a reader.
 LONG = 64
+#: Ranges of ids, and tasks of a reader, at most: the driver draws their bounds from a sample of each.
+RANGES = 20_000
 #: Bytes of text that are encoded at once.
 TEXT = 8 << 20
 #: Words of letters whose lower case and composition are the same everywhere, and signs that the tokenizer splits off as one piece.
@@ -255,28 +258,53 @@ def shard_bytes(doc_ids: list[int | None], ids: np.ndarray, own: np.ndarray) ->
     return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(v.tobytes() for v in parts.values())
 
 
+class Ranged:
+    """An array in a file that is read by ranges. file: has read_at(bytes, offset)."""
+
+    def __init__(self, file, at: int, kind: str, n: int) -> None:
+        self.file, self.at, self.kind, self.n = file, at, np.dtype(kind), n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, where: slice | int) -> np.ndarray:
+        start, stop, _ = (slice(where, where + 1) if isinstance(where, int) else where).indices(self.n)
+        own = np.frombuffer(self.file.read_at(max(0, stop - start) * self.kind.itemsize, self.at + start * self.kind.itemsize), self.kind)
+        return own[0] if isinstance(where, int) else own
+
+
 class Shard:
-    """A shard file: whole documents, and any range of ids of one, are decoded from their own symbols."""
+    """A shard file: whole documents, and any range of ids of one, are decoded from their own symbols.
 
-    def __init__(self, data: bytes) -> None:
-        if data[:8] != MAGIC:
+    data: the whole file, or a file that is read by ranges (read_at): then the head, the rules and their lengths are read at
+    once, and of symbols and the list of documents only what is asked for.
+    """
+
+    def __init__(self, data) -> None:
+        read = data.read_at if hasattr(data, "read_at") else lambda n, at: data[at : at + n]
+        begin = read(12, 0)
+        if begin[:8] != MAGIC:
             raise ValueError("not a shard")
-        at = 12 + int.from_bytes(data[8:12], "little")
-        head = json.loads(data[12:at])
+        at = 12 + int.from_bytes(begin[8:], "little")
+        head = json.loads(read(at - 12, 12))
         self.first, self.n_ids = head["first"], head["n_ids"]
         self.parts = {}
         for name, kind, n in head["parts"]:
-            self.parts[name] = np.frombuffer(data, kind, n, at)
+            self.parts[name] = Ranged(data, at, kind, n) if hasattr(data, "read_at") else np.frombuffer(data, kind, n, at)
             at += n * np.dtype(kind).itemsize
-        for name in ("lengths", "doc_ids", "nulls", "first_symbol", "first_id"):
+        for name in ("doc_ids", "nulls", "first_symbol", "first_id"):
             setattr(self, name, self.parts[name])
-        self.symbols = self.parts["symbols"]
+        self.symbols, self.lengths = self.parts["symbols"], self.parts["lengths"][:]
         self.rules = self.unpacked("rules", 0, len(self.parts["rules"])).reshape(-1, 2)
-        #: What every rule of up to LONG ids expands to, one after the other.
-        short = self.lengths <= LONG
-        self.flat = expand(self.first + np.flatnonzero(short), self.first, self.rules).astype("<u4")
-        own = np.where(short, self.lengths, 0)
-        self.starts = np.cumsum(own, dtype=np.int64) - own
+        self.flat = self.starts = None
+
+    def hold(self) -> None:
+        """Keep what every rule of up to LONG ids expands to, one after the other: for reading many documents."""
+        if self.flat is None:
+            short = self.lengths <= LONG
+            self.flat = expand(self.first + np.flatnonzero(short), self.first, self.rules).astype("<u4")
+            own = np.where(short, self.lengths, 0)
+            self.starts = np.cumsum(own, dtype=np.int64) - own
 
     def unpacked(self, name: str, start: int, stop: int) -> np.ndarray:
         """Some values of a packed part."""
@@ -291,8 +319,9 @@ class Shard:
         return len(self.doc_ids)
 
     def symbols_of(self, k: int) -> np.ndarray:
-        stop = self.first_symbol[k + 1] if k + 1 < len(self) else len(self.symbols)
-        return self.unpacked("symbols", int(self.first_symbol[k]), int(stop))
+        bounds = [int(x) for x in self.first_symbol[k : k + 2]]
+        stop = bounds[1] if len(bounds) > 1 else len(self.symbols)
+        return self.unpacked("symbols", bounds[0], stop)
 
     def sizes_of(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -305,7 +334,9 @@ class Shard:
         return np.flatnonzero(self.sizes_of(symbols) > LONG)
 
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of symbols: long ones are split, then each rule's are copied whole."""
+        """The ids of symbols: long ones are split, then each rule's are copied whole, where they are held."""
+        if self.flat is None:
+            return expand(symbols, self.first, self.rules).astype("<u4")
         while len(at := self.long(symbols)):
             symbols = split(symbols, at, self.first, self.rules)
         sizes = self.sizes_of(symbols)
@@ -334,6 +365,7 @@ class Shard:
 
     def all(self, part: int = 1 << 18) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, ids before it in the shard, ids) of each document, about so many ids expanded at a time."""
+        self.hold()
         k = 0
         while k < len(self):
             stop = max(k + 1, int(np.searchsorted(self.first_id, int(self.first_id[k]) + part)))
@@ -346,6 +378,12 @@ class Shard:
             k = stop
 
 
+def opened(uri: str, shard: str) -> Shard:
+    """A shard of a folder for reading documents by ranges."""
+    fs, path = file_system(uri)
+    return Shard(fs.open_input_file(f"{path}/{shard}"))
+
+
 def written(docs: DataFrame, model_path: str, uri: str | None = None, end: int = END, shard: int = SHARD, text_mb: int = 48) -> DataFrame:
     """Write shards of all texts of docs (doc_id, text); the manifest (uri, shard, part, number, n_docs, n_ids, bytes).
 
@@ -357,7 +395,7 @@ def written(docs: DataFrame, model_path: str, uri: str | None = None, end: int =
         model = spark.sparkContext.broadcast(file.read())
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chars = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-chars // (text_mb << 20)))
+    n = min(RANGES, max(1, -(-chars // (text_mb << 20))))
     ordered = own.repartitionByRange(int(n), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,5 +460,5 @@ def read(manifest: DataFrame) -> DataFrame:
                 rows = [(i, base + at, len(x), zlib.crc32(x)) for i, at, x in held.all()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, manifest.count())
+    n = min(RANGES, max(1, manifest.count()))
     return shards.repartition(n, "shard").mapInArrow(load, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

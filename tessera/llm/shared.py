@@ -11,10 +11,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.sources.folders import delete, scratch
 
-__all__ = ["delete", "file_system", "refuse", "release", "scratch", "small_batches", "staged", "staged_at", "table", "unused"]
+__all__ = ["delete", "file_system", "matched", "refuse", "release", "scratch", "small_batches", "staged", "staged_at", "table", "unused"]
 
 
 def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -60,6 +61,17 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(BATCH, old)
 
 
+def matched(rows: DataFrame, ones: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with a table that has one row for each value of the key, and in ``n`` how many of the ``total`` rows have it.
+
+    Values that more than a ten-thousandth of the rows have (there are 10,000 at most) are joined by broadcast, where the rows
+    are; the others by key. So no task gets a value that is hot.
+    """
+    often = max(100, total // 10_000)
+    hot = F.broadcast(ones.where(F.col("n") > often).drop("n"))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(ones.where(F.col("n") <= often).drop("n"), key))
+
+
 def release() -> None:
     """Give memory that a Python task has freed back to the system: its worker stays for other tasks."""
     import pyarrow as pa

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import delete, refuse, staged, staged_at, unused
+from tessera.llm.shared import delete, matched, refuse, staged, staged_at, unused
 
 SHINGLE = 4
 #: Variants that a task sorts at once (16 bytes each, and as much again while sorting).
@@ -203,9 +203,12 @@ def rooted(prints: DataFrame, radius: int = 4) -> DataFrame:
 def grouped(docs: DataFrame, radius: int = 4, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint long, component_id) for every row of docs (doc_id, text)."""
     prints = staged(fingerprinted(docs.select("doc_id", "text"), size=size).select("doc_id", "fingerprint"), "fingerprints")
-    placed = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).join(rooted(prints, radius), "fingerprint")
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(ids, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    placed = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    placed = staged(placed.join(rooted(prints, radius), "fingerprint"), "placed")
+    ids = staged(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    found = placed.agg(F.count(F.lit(1)), F.sum("n")).first()
+    named = matched(placed.withColumnRenamed("n", "rows"), ids, "root", found[0]).select("fingerprint", "component_id", F.col("rows").alias("n"))
+    return matched(prints, named, "fingerprint", found[1] or 0).select("doc_id", "fingerprint", "component_id")
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:

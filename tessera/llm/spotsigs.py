@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import delete, staged, staged_at
+from tessera.llm.shared import delete, matched, staged, staged_at
 
 CHAIN = 2
 #: The key that stands for a null id.
@@ -167,7 +167,8 @@ def _near(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, list[str
     """What near_pairs gives, and the folders that it's read from."""
     sets = keyed(docs).select("k", F.md5("text").alias("h"), F.array_sort(F.transform(signatures("text"), lambda x: F.xxhash64(x))).alias("sigs"))
     sets, sets_at = staged_at(sets.withColumn("mark", F.xxhash64("sigs", F.size("sigs"))), "signatures")
-    members = sets.select("k", "h", "mark").join(sets.groupBy("mark").agg(F.min(F.when(F.col("k") != NONE, F.col("k"))).alias("class_id")), "mark")
+    classes = sets.groupBy("mark").agg(F.min(F.when(F.col("k") != NONE, F.col("k"))).alias("class_id"), F.count(F.lit(1)).alias("n"))
+    members = matched(sets.select("k", "h", "mark"), classes, "mark", sets.count())
     early = sets.select(F.explode(F.expr("slice(sigs, 1, cast(ceil(0.25 * size(sigs)) as int))")).alias("sig"))
     common, common_at = staged_at(early.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN), "common")
     small = common.count() <= 1_000_000  # 16 MB at most

@@ -38,6 +38,8 @@ from tessera.llm.shared import file_system, scratch, staged
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of compressed records after which a package is closed, and bytes that a reader asks for at once.
 PACKAGE, READ = 32 << 20, 4 << 20
+#: Tasks of a reader at most.
+TASKS = 20_000
 DATE = "2000-01-01T00:00:00Z"
 RECORD = "page_id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, package string, offset bigint, length bigint"
 
@@ -272,4 +274,5 @@ def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
     spark = manifest.sparkSession
     n = max(1, manifest.count())
-    return manifest.select("uri", "package").repartition(min(n, 4 * spark.sparkContext.defaultParallelism if n < 1000 else n)).mapInArrow(load, schema)
+    tasks = min(n, 4 * spark.sparkContext.defaultParallelism) if n < 1000 else min(n, TASKS)
+    return manifest.select("uri", "package").repartition(tasks).mapInArrow(load, schema)

@@ -1,8 +1,11 @@
-from html import escape
+import math
+import re
+from collections import Counter
+from html import escape, unescape
 
 import pytest
 
-from tessera.llm.html import extracted, main_text
+from tessera.llm.html import BOXES, Page, extracted, main_text
 
 P = "Some words of a paragraph that is long enough to count, and more of them."
 BODY = " ".join([P] * 3)
@@ -143,6 +146,56 @@ def test_query(spark, sf_dir):
         assert got[p.page_id].text == want and got[p.page_id].n_chars == len(want) and got[p.page_id].url == p.url
 
 
+def _article(source):
+    inner = source.split("<article>")[1].split("</article>")[0]
+    for tag in ("<p>", "</p>", "<h1>", "</h1>", "<br>"):
+        inner = inner.replace(tag, " ")
+    return unescape(inner.replace("<b>", "").replace("</b>", "")).split()
+
+
+@pytest.mark.parametrize("kind", ["div", "neutral"])
+def test_pages_that_mark_no_article(spark, kind):
+    """Without the article element, and without any telling element or name: words found and words too many."""
+    missed, extra, n = 0, 0, 0
+    for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        source = p.html.replace("<article", "<div").replace("</article", "</div")
+        if kind == "neutral":
+            source = re.sub(r"(</?)(main|nav|header|footer|aside|section)\b", r"\1div", re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", source))
+        want, got = Counter(_article(p.html)), Counter(main_text(source).split())
+        missed, extra, n = missed + (want - got).total(), extra + (got - want).total(), n + want.total()
+    assert missed <= 0.05 * n and extra <= 0.05 * n
+
+
+def test_densities_against_brute_force(spark, sf_dir):
+    """Counts, densities and sums of every node from its own part of the tree, and the node with the largest sum."""
+    for p in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(20).collect():
+        page = Page(p.html.replace("<article", "<div").replace("</article", "</div"))
+        n = len(page.tag)
+        chars, density, total = page.sums()
+        up = [[k] for k in range(n)]
+        for k in range(1, n):
+            up[k] += up[page.parent[k]]
+        text = [sum(len(w) for i, t in page.flow if t and k in up[i] and not page.cut[i] for w in t.split()) for k in range(n)]
+        links = [sum(len(w) for i, t in page.flow if t and k in up[i] and not page.cut[i] and any(page.tag[j] == "a" for j in up[i]) for w in t.split()) for k in range(n)]
+        below = [[i for i in range(n) if i != k and k in up[i] and not page.cut[i]] for k in range(n)]
+        own = []
+        for k in range(n):
+            tags, link_tags = max(1, len(below[k])), max(1, sum(page.tag[i] == "a" for i in below[k]))
+            if page.cut[k] or text[k] < 2:
+                own.append(0.0)
+                continue
+            base = math.log(text[k] / max(1, text[k] - links[k]) * links[k] + links[page.body] / max(1, text[page.body]) * text[k] + math.e)
+            own.append(max(0.0, text[k] / tags * math.log(max(1.0, text[k] / max(1, links[k]) * tags / link_tags)) / math.log(base + math.e - 1)))
+        assert [chars[k] for k in range(n) if not page.cut[k]] == [text[k] for k in range(n) if not page.cut[k]]
+        assert density == pytest.approx(own)
+        sums = [sum(own[i] for i in range(1, n) if page.parent[i] == k) for k in range(n)]
+        assert total == pytest.approx(sums)
+        chosen = page.article()
+        boxes = [k for k in range(page.body + 1, n) if page.tag[k] in BOXES and not page.cut[k]]
+        if boxes and max(sums[k] for k in boxes) > sums[page.body]:
+            assert chosen[max(boxes, key=lambda k: sums[k])]
+
+
 def test_column(spark):
     df = spark.createDataFrame([(1, None, "k"), (1, f"<p>{escape('<é>')}</p>", "k"), (None, "", "k")], "page_id long, html string, Text string")
     with pytest.raises(ValueError, match="text"):

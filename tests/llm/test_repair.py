@@ -45,6 +45,17 @@ def test_words_give_the_ids_of_any_text(whole, words, text):
     assert encoded(words, [text])[0] == whole.encode(text, add_special_tokens=False).ids
 
 
+class Counted:
+    """A file that counts what is read."""
+
+    def __init__(self, data):
+        self.data, self.count = data, 0
+
+    def read_at(self, n, at):
+        self.count += n
+        return self.data[at : at + n]
+
+
 def grammar(n, kinds, seed):
     r = np.random.default_rng(seed)
     return [np.append(r.integers(0, kinds, r.integers(0, n)), 2).astype("<u4") for _ in range(40)]
@@ -56,6 +67,12 @@ def test_round_trip_and_random_access(kinds):
     data = shard_bytes(list(range(40)), np.concatenate(docs), np.array([len(d) for d in docs]))
     held = Shard(data)
     assert [x.tolist() for _, _, x in held.all(100)] == [d.tolist() for d in docs] == [x.tolist() for _, _, x in held.all()]
+    file = Counted(data)
+    ranged = Shard(file)
+    grammar_bytes, file.count = file.count, 0
+    assert [ranged.document(k).tolist() for k in (0, 20, 39)] == [docs[k].tolist() for k in (0, 20, 39)]
+    assert file.count <= 3 * 8 + sum(4 * len(docs[k]) + 8 for k in (0, 20, 39)) and grammar_bytes + file.count < len(data)
+    assert len(docs[7]) < 2 or ranged.ids(7, 1, len(docs[7])).tolist() == docs[7][1:].tolist()
     r = random.Random(kinds)
     for k, d in enumerate(docs):
         assert held.document(k).tolist() == d.tolist()
