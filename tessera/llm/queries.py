@@ -104,13 +104,12 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.spotsigs import edited, fingerprint, likeness, linked, signatures
+    from tessera.llm.spotsigs import edited, fingerprint, likeness, signatures
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = edited(docs, linked(docs))
-    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", signatures("edited").alias("edited_sigs"), "next_sigs", "about")
+    out = edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", signatures("edited").alias("edited_sigs"), "next_sigs")
     prints = fingerprint("sigs").alias("fingerprint"), fingerprint("edited_sigs").alias("edited_fingerprint")
-    return out.select("doc_id", "n_chars", "edited_sha256", *prints, likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"), "about.class_id", "about.n_links")
+    return out.select("doc_id", "n_chars", "edited_sha256", *prints, likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"))
 
 
 @query
@@ -158,15 +157,9 @@ e AS (SELECT k, substr(t, 1, length(t) - length(t) // 2) || substr(nt, 1, length
 ds AS ({_spots_sql("FROM d")}),
 es AS ({_spots_sql("FROM e")}),
 a AS (SELECT n.k, length(n.t) AS n_chars, es.t AS edited, ds.s AS x, es.s AS y, ns.s AS z FROM n JOIN ds ON ds.k = n.k JOIN es ON es.k = n.k JOIN ds ns ON ns.k = n.nk),
-j AS (SELECT *, len(list_intersect(x, y)) AS xy, len(list_intersect(x, z)) AS xz FROM a),
-c AS (SELECT s, min(k) AS class_id, len(s) AS size FROM ds GROUP BY s),
-u AS (SELECT class_id, size, unnest(s) AS sig FROM c),
-p AS (SELECT a.class_id AS one, b.class_id AS other FROM u a JOIN u b ON a.sig = b.sig AND a.class_id <> b.class_id AND 5 * a.size >= 4 * b.size AND 5 * b.size >= 4 * a.size
-GROUP BY a.class_id, b.class_id, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))),
-l AS (SELECT one, count(*) AS n_links FROM p GROUP BY one)
+j AS (SELECT *, len(list_intersect(x, y)) AS xy, len(list_intersect(x, z)) AS xz FROM a)
 SELECT k AS doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(x, '') AS fingerprint, array_to_string(y, '') AS edited_fingerprint,
-CASE WHEN len(x) + len(y) = 0 THEN 1.0::DOUBLE ELSE xy / (len(x) + len(y) - xy) END AS near_edited, CASE WHEN len(x) + len(z) = 0 THEN 1.0::DOUBLE ELSE xz / (len(x) + len(z) - xz) END AS near_next,
-class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM j JOIN c ON c.s = j.x LEFT JOIN l ON l.one = c.class_id
+CASE WHEN len(x) + len(y) = 0 THEN 1.0::DOUBLE ELSE xy / (len(x) + len(y) - xy) END AS near_edited, CASE WHEN len(x) + len(z) = 0 THEN 1.0::DOUBLE ELSE xz / (len(x) + len(z) - xz) END AS near_next FROM j
 """
 
 SQL["op2_warc"] = """

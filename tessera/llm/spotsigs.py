@@ -9,7 +9,9 @@ have equal fingerprints, and the likeness of two is the Jaccard coefficient of t
 ``near_pairs`` compares documents with each other: equal sets are one class; sets go to partitions by their length, so
 that only neighbouring partitions can hold sets of the asked Jaccard; within those, sets meet at some of their signatures
 only, as many as the threshold needs to lose no pair, and lengths and the Jaccard of whole sets decide. ``linked`` tells each
-document's class and its number of links.
+document's class and its number of links. All pairs are given, so of n copies that are near each other n (n - 1) / 2: these two are for tables
+without groups of many thousand near copies, and op10's query, which compares two given sets for each document, needs
+neither.
 
 Defined cases: a null text is an empty one, whose set is empty; a text of any length is read whole; rows with a null id
 come first in order and have one place; the next of a repeated id is the next larger id, whose text with the smallest
@@ -100,15 +102,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def edited(docs: DataFrame, about: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text, n_chars, edited, sigs, next_sigs, about) of docs (doc_id bigint, text): the last half replaced by the next one's start.
+def edited(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n_chars, edited, sigs, next_sigs) of docs (doc_id bigint, text): the last half replaced by the next one's start.
 
     Ids that follow each other share a bucket, which is about ROWS ids wide where ids lie evenly; texts are shuffled once, by
     bucket, and a window within each looks back from the larger ids. Only a bucket's first text goes to the bucket before.
     Rows without an id, and of ids that more than a ten-thousandth of all rows have, stay where they are: one of each such
     id takes part for all, and what follows it is dealt to the others by salted id.
-
-    about: (k, h, about) for ids and MD5s of texts, a struct that is given to the rows in the same windows.
     """
     own = keyed(docs)
     ids = staged(own.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "ids")
@@ -116,33 +116,31 @@ def edited(docs: DataFrame, about: DataFrame | None = None) -> DataFrame:
     low, high, n, rows = (x or 0 for x in found)
     width = max(1, (high - low + 1) * ROWS // max(1, n))
     often = F.broadcast(ids.where((F.col("k") == NONE) | (F.col("n") > max(100, rows // 10_000))).select("k"))  # 10,001 at most
-    if about is None:
-        about = own.limit(0).select("k", F.lit("").alias("h"), F.struct(F.lit(0).alias("none")).alias("about"))
-    kind = about.schema["about"].dataType
-    bucket = F.when(F.col("k") == NONE, F.lit(-1).cast("bigint")).otherwise(F.expr(f"(cast(k as decimal(20,0)) - {low}BD) div {width}BD"))
+    bucket = F.when(F.col("k") == NONE, F.lit(-1).cast("bigint")).otherwise(F.expr(f"(cast(k as decimal(20,0)) - {low}BD) div {width}BD")).alias("bucket")
     one = F.struct(F.md5("text").alias("h"), "text")
     apart = own.join(often, "k", "left_semi")
     main = own.join(often, "k", "left_anti").select("k", one.alias("one"), F.lit(False).alias("for_all"))
-    main = main.union(apart.groupBy("k").agg(F.min(one).alias("one")).select("k", "one", F.lit(True))).withColumn("about", F.lit(None).cast(kind))
-    told = about.join(often, "k", "left_anti").select("k", F.struct("h", F.lit(None).cast("string").alias("text")), F.lit(False), "about")
-    dealt = main.union(told).select(bucket.alias("bucket"), "k", "one", "for_all", "about").repartition("bucket")
+    main = main.union(apart.groupBy("k").agg(F.min(one).alias("one")).select("k", "one", F.lit(True)))
     # the last row of an id, looking back, has its smallest hash: it stands for the id to those before
     back = Window.partitionBy("bucket").orderBy(F.desc("k"), F.desc("one.h"))
-    out = dealt.withColumn("about", F.max("about").over(back.rangeBetween(Window.currentRow, Window.currentRow))).where("one.text is not null")
+    out = main.select(bucket, "k", "one", "for_all").repartition("bucket")
     out = out.withColumn("sigs", signatures("one.text")).withColumn("later", F.lead("k").over(back))
     follows = F.when(F.col("later").isNull() | (F.col("later") != F.col("k")), F.struct("one.text", "sigs"))
     out = out.withColumn("next", F.last(follows, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
-    firsts = dealt.where("one.text is not null").groupBy("bucket").agg(F.min(F.struct("k", "one.h", "one.text")).alias("first"))
-    firsts = firsts.join(neighbours(ids.select(bucket.alias("bucket")).distinct()), "bucket")
-    firsts = firsts.select(F.col("previous").alias("bucket"), F.struct("first.text", signatures("first.text").alias("sigs")).alias("head"))
-    out = out.join(firsts, "bucket", "left").select("k", "one.text", "sigs", "for_all", F.coalesce("next", "head").alias("next"), "about")
+    # the first text of each bucket, for the last of the bucket before: one in ROWS of all
+    heads = ids.groupBy(bucket).agg(F.min("k").alias("k"))
+    heads = staged(heads.join(neighbours(heads.select("bucket")), "bucket").select("k", "previous"), "heads")
+    few = heads.count() <= 1_000_000  # 16 MB at most
+    heads = main.join(F.broadcast(heads) if few else heads, "k").groupBy("previous").agg(F.min("one").alias("one"))
+    heads = heads.select(F.col("previous").alias("bucket"), F.struct("one.text", signatures("one.text").alias("sigs")).alias("head"))
+    out = out.join(heads, "bucket", "left").select("k", "one.text", "sigs", "for_all", F.coalesce("next", "head").alias("next"))
     salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    others = apart.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS))).join(out.where("for_all").select("k", "next", F.explode(salts).alias("salt")), ["k", "salt"])
-    others = others.withColumn("h", F.md5("text")).join(about.join(often, "k", "left_semi"), ["k", "h"], "left")
-    out = out.where(~F.col("for_all")).select("k", "text", "sigs", "next", "about").union(others.select("k", "text", signatures("text").alias("sigs"), "next", "about"))
+    follow = out.where("for_all").select("k", "next", F.explode(salts).alias("salt"))
+    others = apart.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS))).join(follow, ["k", "salt"])
+    out = out.where(~F.col("for_all")).select("k", "text", "sigs", "next").union(others.select("k", "text", signatures("text").alias("sigs"), "next"))
     kept = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)")
     start = F.expr("substring(next.text, 1, char_length(text) div 2)")
-    return out.select(F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), "text", F.char_length("text").cast("bigint").alias("n_chars"), F.concat(kept, start).alias("edited"), "sigs", F.col("next.sigs").alias("next_sigs"), "about")
+    return out.select(F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), "text", F.char_length("text").cast("bigint").alias("n_chars"), F.concat(kept, start).alias("edited"), "sigs", F.col("next.sigs").alias("next_sigs"))
 
 
 def parity(sigs: str) -> Column:
@@ -197,11 +195,11 @@ def _near(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, list[str
 
 
 def linked(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(k, h, about) of every id and text: a struct of its class_id, and of how many other classes are at least so like."""
+    """(doc_id, h, class_id, n_links) of every id and text (by its MD5): its class, and how many other classes are at least so like."""
     pairs, members, folders = _near(docs, least)
     links = pairs.select(F.explode(F.array("class_mark", "other_mark")).alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n_links"))
-    out = members.join(links, "mark", "left").select("k", "h", F.struct("class_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")).alias("about"))
-    out = staged(out.dropDuplicates(["k", "h"]), "links")
+    out = members.join(links, "mark", "left").select(F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), "h", "class_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    out = staged(out.dropDuplicates(["doc_id", "h"]), "links")
     for folder in folders:
         delete(docs.sparkSession, folder)
     return out

@@ -55,9 +55,11 @@ def test_a_hot_id(spark):
     """Most rows have one id, or none: they get what follows it, and one of them stands before the others."""
     rows = [(7, f"text of the {k % 150} kind " * 3) for k in range(400)] + [(None, f"none of the {k % 120}") for k in range(300)] + [(k, f"a text of number {k}") for k in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = edited(docs, linked(docs)).collect()
+    got = edited(docs).collect()
     assert sorted(((r.doc_id, r.text, r.edited) for r in got), key=repr) == sorted((w[:3] for w in expected(rows)), key=repr)
-    assert all(r.about.class_id is not None or r.doc_id is None for r in got)
+    by = {w[0]: w[3] for w in expected(rows)}
+    sigs = {x.t: x.s for x in spark.createDataFrame([(t,) for t in set(by.values())], "t string").select("t", signatures("t").alias("s")).collect()}
+    assert all(r.next_sigs == sigs[by[r.doc_id]] for r in got)
 
 
 
@@ -97,7 +99,7 @@ def test_pairs_lose_none(spark, often, monkeypatch):
         want = {frozenset((mark[x], mark[y])): jaccard(x, y) for k, x in enumerate(classes) for y in classes[k + 1 :] if x and y and jaccard(x, y) >= least}
         found = pairs.collect()
         assert {frozenset((r.class_mark, r.other_mark)): r.likeness for r in found} == want and len(found) == len(want) > 3
-        links = {(r.k, r.h): r.about for r in linked(docs, least).collect()}
+        links = {(NONE if r.doc_id is None else r.doc_id, r.h): r for r in linked(docs, least).collect()}
         for (i, t), s in zip(rows, sets, strict=True):
             assert links[place(i, t)].n_links == sum(mark[s] in p for p in want)
 
