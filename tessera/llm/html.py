@@ -4,7 +4,8 @@ Every node of the page's tree has its characters and tags, and those within link
 lowered as links take a larger part. A node's density sum adds up its children's densities. The node with the largest sum
 is the article; the smallest density on its path to the body is the threshold, and each node that reaches the threshold
 adds the subtree with the largest sum below it. If the article stands in an article element, or else in a main element,
-that element is taken whole, and beside an article element only other article elements are added, and subtrees of the box
+that element is taken whole, and beside an article element only other article elements are added (those of the same
+parent also if they have a quarter of its text or more, not mostly links: the smaller are teasers), and subtrees of the box
 with the largest sum, where that is below the body. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are cut out before counting: by element, by role, and by words of class and id. In an article or
 main element, and of headings, paragraphs and sections, one such word isn't enough unless it can hardly mean anything else
@@ -278,6 +279,11 @@ class Page:
         for i in range(body, n):
             if not self.cut[i] and density[i] >= threshold and rank[best[i]] > 0 and (self.tag[taken] != "article" or self.tag[best[i]] == "article" or body < box < best[i] <= last[box]):
                 chosen[best[i]] = True
+        beside = [i for i in range(body + 1, n) if self.tag[i] == self.tag[taken] == "article" and self.parent[i] == self.parent[taken] and not self.cut[i] and 4 * chars[i] >= chars[taken]]
+        if len(beside) > 1:
+            links = self.counted()[2]
+            for i in beside:
+                chosen[i] |= 2 * links[i] <= chars[i]
         for i in range(body + 1, n):
             chosen[i] = (chosen[i] or chosen[self.parent[i]]) and not self.cut[i]
         return chosen

@@ -93,6 +93,16 @@ def test_a_section_beside_the_article_in_the_chosen_box_stays():
         assert main_text(page(inside=f"<{box}><article>{article}</article><section>{section}</section></{box}>", before="<p>x</p>")) == " ".join([P] * 11)
 
 
+@pytest.mark.parametrize("wrap", ["{}", "<main>{}</main>", "<div>{}</div>"])
+def test_articles_side_by_side(wrap):
+    article = lambda n, word: f"<article><h2>{word}</h2>" + f"<p>{word} {P}</p>" * n + "</article>"
+    text = lambda n, word: " ".join([word] + [f"{word} {P}"] * n)
+    for n in (2, 4, 6):
+        assert main_text(page(inside=wrap.format(article(6, "one") + article(n, "two")))) == f"{text(6, 'one')} {text(n, 'two')}"
+    teaser = "<article><h3><a href=/x>Another thing to read</a></h3><p>In few words.</p></article>"
+    assert main_text(page(inside=wrap.format(article(6, "one") + teaser * 3))) == text(6, "one")
+
+
 def test_a_heading_beside_the_text_stays():
     assert main_text(page(before="<div class=site-header><p>The name of the site</p></div>", inside=f"<div class=post><h1>Head</h1><div class=body><p>{P}</p><p>{P}</p><p>{P}</p></div></div>")) == f"Head {BODY}"
 
