@@ -174,5 +174,7 @@ def brute_force(docs: list[tuple], benchmark: list[tuple], size: int = WINDOW, s
                 if tuple(own[k : k + len(win)]) == win:
                     hit.update(range(k, k + len(win)))
                     items.add(item)
-        out.append({"doc_id": doc_id, "n_words": len(own), "n_hit": len(hit), "n_items": len(items), "items_sha256": hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), "contaminated": bool(hit) and share * len(hit) >= len(own)})
+        digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        contaminated = bool(hit) and share * len(hit) >= len(own)
+        out.append({"doc_id": doc_id, "n_words": len(own), "n_hit": len(hit), "n_items": len(items), "items_sha256": digest, "contaminated": contaminated})
     return out

@@ -233,7 +233,9 @@ class Page:
         menu = [False] * n
         for i in range(1, n):  # menus without a name: lists and boxes that are mostly several links
             if not self.cut[i]:
-                menu[i] = self.tag[i] in ("ul", "ol", "div", "section", "table") and link_tags[i] > 2 and 2 * link_chars[i] > chars[i] and not self.inside[i] and (self.tag[i] not in ("div", "section") or 2 * chars[i] <= chars[self.body])
+                links = self.tag[i] in ("ul", "ol", "div", "section", "table") and link_tags[i] > 2 and 2 * link_chars[i] > chars[i]
+                most = self.tag[i] in ("div", "section") and 2 * chars[i] > chars[self.body]
+                menu[i] = links and not most and not self.inside[i]
                 menu[i] |= menu[self.parent[i]]
                 self.cut[i] = self.cut[self.parent[i]] or menu[i]
             if self.tag[i] == "form" and not self.cut[i]:  # but for pages that stand in a form as a whole

@@ -350,7 +350,11 @@ def encoded(docs: DataFrame, path: str, name: str = "pieces", ids: bool = True,
     with small_batches(spark):
         found.repartition(F.col("split")).write.partitionBy("split").parquet(tables)
     held = spark.sparkContext.broadcast(model)
-    kinds = {"n_pieces": ("bigint", pa.int64())} | ({"ids": ("array<int>", pa.list_(pa.int32()))} if ids else {}) | ({"crc32": ("bigint", pa.int64()), "round_trip": ("boolean", pa.bool_())} if checks else {})
+    kinds = {"n_pieces": ("bigint", pa.int64())}
+    if ids:
+        kinds["ids"] = ("array<int>", pa.list_(pa.int32()))
+    if checks:
+        kinds |= {"crc32": ("bigint", pa.int64()), "round_trip": ("boolean", pa.bool_())}
 
     @arrow_udf(f"struct<{','.join(f'{k}:{v}' for k, (v, _) in kinds.items())}>")
     def made(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:

@@ -9,12 +9,13 @@ largest needs, and for each document its first symbol and first id, so a documen
 decoded without the others.
 
 Texts are encoded some megabytes at a time, by distinct words, split at ASCII white space, which the tokenizer's own
-splitting never crosses. Words of plain letters and signs go to the tokenizer's model directly, others to the whole of it. Documents are in ascending doc_id order across and within shards (a null id
-first; equal ids by their text).
+splitting never crosses. Words of plain letters and signs go to the tokenizer's model directly, others to the whole of it.
+Documents are in ascending doc_id order across and within shards (a null id first; equal ids by their text).
 
-Defined cases: a null or empty text is the end id alone; a text of any length is encoded whole, some megabytes at a time
-only where it's several texts, and is never cut between shards; repeated rows are kept; of pairs that are equally frequent any goes first, the same at every run; an
-empty table makes no shard. Only doc_id and text are read, so other columns can't clash. A shard is written under a fresh name by each attempt of a task and counts only by its row in the committed manifest.
+Defined cases: a null or empty text is the end id alone; a text of any length is encoded whole, and is never cut between
+shards; repeated rows are kept; of pairs that are equally frequent any goes first, the same at every run; an empty table
+makes no shard. Only doc_id and text are read, so other columns can't clash. A shard is written under a fresh name by
+each attempt of a task and counts only by its row in the committed manifest.
 """
 
 from __future__ import annotations
@@ -449,7 +450,8 @@ def read(manifest: DataFrame) -> DataFrame:
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     parts = parts.select("part", before(Window.orderBy("part")).alias("parts_before"))
-    shards = manifest.withColumn("own_before", before(Window.partitionBy("part").orderBy("number"))).join(parts, "part").select("uri", "shard", (F.col("own_before") + F.col("parts_before")).alias("base"))
+    shards = manifest.withColumn("own_before", before(Window.partitionBy("part").orderBy("number"))).join(parts, "part")
+    shards = shards.select("uri", "shard", (F.col("own_before") + F.col("parts_before")).alias("base"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -140,7 +140,8 @@ def edited(docs: DataFrame) -> DataFrame:
     out = out.where(~F.col("for_all")).select("k", "text", "sigs", "next").union(others.select("k", "text", signatures("text").alias("sigs"), "next"))
     kept = F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)")
     start = F.expr("substring(next.text, 1, char_length(text) div 2)")
-    return out.select(F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), "text", F.char_length("text").cast("bigint").alias("n_chars"), F.concat(kept, start).alias("edited"), "sigs", F.col("next.sigs").alias("next_sigs"))
+    doc_id, n_chars = F.when(F.col("k") != NONE, F.col("k")).alias("doc_id"), F.char_length("text").cast("bigint").alias("n_chars")
+    return out.select(doc_id, "text", n_chars, F.concat(kept, start).alias("edited"), "sigs", F.col("next.sigs").alias("next_sigs"))
 
 
 def parity(sigs: str) -> Column:

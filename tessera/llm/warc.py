@@ -116,7 +116,8 @@ def record(row: dict) -> bytes:
     uri = quote(row["url"] or "", safe=":/?#[]@!$&'()*+,;=%-._~")
     payload = row["payload"] if row["record_type"] == "response" else b""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["payload_bytes"] + payload
-    head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:page:{row['page_id']}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{row['payload_digest']}"]
+    head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:page:{row['page_id']}>", f"WARC-Date: {DATE}"]
+    head += [f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{row['payload_digest']}"]
     if row["record_type"] == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{row['refers_to']}>"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -243,7 +244,9 @@ def written(pages: DataFrame, uri: str | None = None, least: int = 0, limit: int
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (dict(zip(part.schema.names, x, strict=True)) for part in parts for x in zip(*(c.to_pylist() for c in part.columns), strict=True))
         made = list(write_packages(folder, ({**r, "payload_digest": base32(r["sha1"])} for r in rows), limit))
-        yield pa.RecordBatch.from_pydict({"uri": pa.array([folder] * len(made), pa.string()), "package": pa.array([m[0] for m in made], pa.string()), "bytes": pa.array([m[1] for m in made], pa.int64()), "records": pa.array([m[2] for m in made], pa.int64())})
+        names, sizes, counts = ([m[k] for m in made] for k in range(3))
+        columns = {"uri": pa.array([folder] * len(made), pa.string()), "package": pa.array(names, pa.string()), "bytes": pa.array(sizes, pa.int64()), "records": pa.array(counts, pa.int64())}
+        yield pa.RecordBatch.from_pydict(columns)
 
     return staged(records_of(pages, least).mapInArrow(write, "uri string, package string, bytes bigint, records bigint"), "warc-manifest")
 
