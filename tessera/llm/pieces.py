@@ -50,7 +50,9 @@ NEVER = (1 << 31) - 1
 #: Code points whose pieces are found by their number, and what stands for no piece.
 CODES, NONE = 0x500, 0xFFFFFF
 #: Words that a task gathers before it cuts them, and bytes of text that it takes at once.
-WORDS, TEXT = 1 << 18, 2 << 20
+WORDS, TEXT = 1 << 17, 2 << 20
+#: Partitions of the units for each of the session's: a unit's lattice is many times as large as the unit.
+FINER = 4
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNITS = rf"{MARK}*[\p{{L}}\p{{M}}]+|{MARK}*[^\p{{L}}\p{{M}}{MARK}]+|{MARK}+"
 
@@ -329,7 +331,8 @@ def _units(docs: DataFrame, split: Column, long: int = LONG) -> DataFrame:
     Where this is joined with what comes of it, both sides read one exchange by unit: the filters keep their columns and
     conditions the same.
     """
-    pairs = _pairs(docs, split, long).where("unit is not null").repartition("unit")
+    parts = FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = _pairs(docs, split, long).where("unit is not null").repartition(parts, "unit")
     return pairs.groupBy("unit").agg(F.collect_list("split").alias("splits")).where(F.size("splits") > 0)
 
 
