@@ -60,6 +60,44 @@ def test_a_large_side_is_shuffled(spark, s, c):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_totals_of_pairs_are_those_of_the_join(spark, s, c):
+    keys, only = [("[s_nationkey]", "[c_nationkey]")], ("< ([s_nationkey], int[9])", "> ([c_acctbal], int[0])")
+    for on, where in ((keys, only), (keys, (TRUE, TRUE)), ((), only), (keys, ("< ([s_suppkey], int[-1])", TRUE))):
+        sums = ["* ([c_custkey], - ([s_suppkey], int[3]))", "[c_custkey]", "* ([s_suppkey], [s_suppkey])"]
+        pairs = R.hash_join(s, c, TRUE, sums, [("a", "long"), ("b", "long"), ("d", "long")], on, *where)
+        expected = R.aggregate(pairs, [("cnt", "int[0]"), ("sum", "[a]"), ("sum", "[b]"), ("sum", "[d]")], [], TRUE, [(x, "long") for x in "nabd"])
+        totals = R.join_totals(s, c, [("cnt", "int[0]"), *(("sum", x) for x in sums)], [(x, "long") for x in "nabd"], on, *where)
+        assert rows(totals) == rows(expected) and totals.dtypes == expected.dtypes
+    for wrong in ("* ([s_suppkey], [s_acctbal])", "+ ([s_suppkey], [c_custkey])", "[s_name]"):
+        with pytest.raises(EngineError):
+            R.join_totals(s, c, [("sum", wrong)], [("x", "long")], keys)
+
+
+def test_totals_of_pairs_with_nulls_and_overflow(spark):
+    a = spark.createDataFrame([(1, 5), (1, None), (None, 7), (2, None), (3, 1)], "k int, x bigint")
+    b = spark.createDataFrame([(1, 10), (1, 20), (None, 1), (2, 4), (4, 1)], "j int, y bigint")
+    made = lambda a, b: rows(R.join_totals(a, b, [("cnt", "int[0]"), ("sum", "* ([x], [y])"), ("sum", "[y]")], [(n, "long") for n in ("n", "p", "y")], [("[k]", "[j]")]))
+    assert made(a, b) == [(5, 150, 64)]
+    assert made(a.where("k = 2"), b) == [(1, None, 4)]
+    big = spark.createDataFrame([(1, 1 << 62), (1, 1 << 62), (1, -(1 << 62)), (1, -(1 << 62)), (1, 9)], "k int, x bigint")
+    one = spark.createDataFrame([(1, 1)], "j int, y bigint")
+    assert made(big, one) == [(5, 9, 5)]  # the total fits, whatever the order
+    for other in (one.selectExpr("j", "2 * y AS y"), one.selectExpr("j", "-4 * y AS y")):
+        with pytest.raises(Exception, match="OVERFLOW"):
+            made(big, other)  # a pair's product doesn't
+    with pytest.raises(Exception, match="OVERFLOW"):
+        made(big.where("x > 0"), one)
+
+
+def test_wide_totals_of_many_rows_of_a_key(spark, tmp_path):
+    """Before, each of 10^11 pairs was made."""
+    from tessera.queries import join_wide_totals
+
+    n = 320_000
+    spark.range(n).selectExpr("id % 7 AS c_custkey", "cast(0 as int) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert rows(join_wide_totals(spark, str(tmp_path))) == [(n * n, sum(i % 7 for i in range(n)) ** 2)]
+
+
 def test_days_reach_the_scan(spark, sf_dir):
     from tessera.queries import QUERIES, sql
 
