@@ -98,15 +98,15 @@ class Encoder:
         return ids, np.diff(ends[np.append(0, pieces)])
 
     def learn(self, words: pa.Array) -> None:
+        """Add words that aren't known, in their order."""
         plain = pc.match_substring_regex(words, PLAIN)
-        other = words.filter(pc.invert(plain))
-        words = pa.concat_arrays([words.filter(plain), other])
-        ids, sizes = self.plain(words[: len(words) - len(other)])
-        rest = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(other.to_pylist(), add_special_tokens=False)]
+        ids, sizes = self.plain(words.filter(plain))
+        rest = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(words.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)]
         sizes = np.append(sizes, [len(x) for x in rest]).astype(np.int64)
+        order = np.argsort(np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable"))
         self.known = pa.concat_arrays([self.known, words])
-        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
-        self.sizes, self.flat = np.append(self.sizes, sizes), np.concatenate([self.flat, ids, *rest])
+        self.starts = np.append(self.starts, (len(self.flat) + np.cumsum(sizes) - sizes)[order])
+        self.sizes, self.flat = np.append(self.sizes, sizes[order]), np.concatenate([self.flat, ids, *rest])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array of texts, and how many each text has."""
@@ -120,9 +120,13 @@ class Encoder:
         words, index = coded.dictionary, coded.indices.to_numpy()
         if len(self.known) > WORDS:
             self.forget()
-        if len(new := words.filter(pc.is_null(pc.index_in(words, value_set=self.known)))):
-            self.learn(new)
-        place = pc.index_in(words, value_set=self.known).to_numpy()[index]
+        found = pc.index_in(words, value_set=self.known)
+        place = pc.fill_null(found, 0).to_numpy()
+        if found.null_count:
+            new = pc.is_null(found)
+            place = np.where(new.to_numpy(zero_copy_only=False), len(self.known) + np.cumsum(new.to_numpy(zero_copy_only=False)) - 1, place)
+            self.learn(words.filter(new))
+        place = place[index]
         own = self.sizes[place]
         after = np.cumsum(own)
         ids = self.flat[np.repeat(self.starts[place] - (after - own), own) + np.arange(int(after[-1]) if len(after) else 0)]
@@ -153,17 +157,21 @@ def slices(part: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
 def compress(ids: np.ndarray, ends: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends, rules). ends marks the last symbol of each document; rule k is symbol first + k, first = 1 + the largest id."""
     first = int(ids.max()) + 1 if len(ids) else 1
-    symbols, rules, made = ids.astype(np.int64), [], 0
+    # as narrow as can be: most of the time goes into moving these
+    symbols, rules, made = ids.astype(np.int32 if first + len(ids) < 1 << 31 else np.int64), [], 0
     # pairs that may occur twice, by their left symbol; a pair that doesn't never will, unless one of its symbols is new
     live = np.ones(len(ids), bool)
     while len(symbols) > 1:
         live &= ~ends
         live[-1] = False
         at = np.flatnonzero(live)
-        keys = symbols[at] << 32 | symbols[at + 1]
+        one, other = symbols[at], symbols[at + 1]
+        keys = one.astype(np.int64)
+        keys <<= 32
+        keys |= other
         ordered = keys
         # of a run of one symbol, every second pair counts
-        if len(twin := np.flatnonzero(symbols[at] == symbols[at + 1])):
+        if len(twin := np.flatnonzero(one == other)):
             run = np.concatenate(([True], np.diff(at[twin]) > 1))
             start = at[twin[run]][np.cumsum(run) - 1]
             ordered = np.delete(keys, twin[(at[twin] - start) % 2 == 1])
@@ -182,26 +190,35 @@ def compress(ids: np.ndarray, ends: np.ndarray, share: int = SHARE) -> tuple[np.
         table[own] = np.arange(len(pairs))
         place = table[slots]
         hit = pairs[place] == keys
-        wait = np.zeros(len(table), bool)
-        wait[own[table[own] != np.arange(len(pairs))]] = True
-        live[at] = hit | wait[slots]
-        hit &= counts[place] * share >= counts[-1]
+        late = own[table[own] != np.arange(len(pairs))]
+        if len(late):
+            wait = np.zeros(len(table), bool)
+            wait[late] = True
+            live[at] = hit | wait[slots]
+        else:
+            live[at] = hit
+        # ranks are by count, so those often enough are the last
+        hit &= place >= np.searchsorted(counts, -(-int(counts[-1]) // share))
         # by rank along overlapping pairs: every second one down both sides of each peak; where two sides meet, if both have it
-        where, rank = at[hit], place[hit]
-        k = np.arange(len(where))
-        beside = np.diff(where) == 1
+        chosen = np.flatnonzero(hit)
+        where, rank = at[chosen], place[chosen]
+        k = np.arange(len(where), dtype=np.int32)
+        beside = where[1:] - where[:-1] == 1
         up = beside & (rank[1:] > rank[:-1])
-        left = k - np.maximum.accumulate(np.where(np.concatenate(([True], ~beside | up)), k, 0))
-        right = np.minimum.accumulate(np.where(np.concatenate((~up, [True])), k, len(k))[::-1])[::-1] - k
-        take = (left | right) & 1 == 0
-        good = np.bincount(rank[take], minlength=len(pairs)) > 1
-        take &= good[rank]
-        where, rank = where[take], rank[take]
-        symbols[where] = first + made + (np.cumsum(good) - 1)[rank]
+        left = k - np.maximum.accumulate(np.where(np.concatenate(([True], ~beside | up)), k, np.int32(0)))
+        right = np.minimum.accumulate(np.where(np.concatenate((~up, [True])), k, np.int32(len(k)))[::-1])[::-1] - k
+        left |= right
+        chosen = np.flatnonzero(left & 1 == 0)
+        where, rank = where[chosen], rank[chosen]
+        good = np.bincount(rank, minlength=len(pairs)) > 1
+        chosen = np.flatnonzero(good[rank])
+        where, rank = where[chosen], rank[chosen]
+        symbols[where] = (first + made - 1 + np.cumsum(good)).astype(symbols.dtype)[rank]
         ends[where] = ends[where + 1]
         live[where] = live[where - 1] = True
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
+        keep = np.flatnonzero(keep)
         symbols, ends, live = symbols[keep], ends[keep], live[keep]
         rules.append(np.stack([pairs[good] >> 32, pairs[good] & 0xFFFFFFFF], 1))
         made += len(rules[-1])
@@ -296,6 +313,9 @@ class Shard:
         for name in ("doc_ids", "nulls", "first_symbol", "first_id"):
             setattr(self, name, self.parts[name])
         self.symbols, self.lengths = self.parts["symbols"], self.parts["lengths"][:]
+        #: Ids of a single id and of each rule, and whether they are more than are held expanded.
+        self.own = np.append(1, self.lengths)
+        self.big = self.own > LONG
         self.rules = self.unpacked("rules", 0, len(self.parts["rules"])).reshape(-1, 2)
         self.flat = self.starts = None
 
@@ -325,14 +345,11 @@ class Shard:
         return self.unpacked("symbols", bounds[0], stop)
 
     def sizes_of(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.first
-        out[rule] = self.lengths[symbols[rule] - self.first]
-        return out
+        return self.own[np.maximum(symbols - (self.first - 1), 0)].astype(np.int64)
 
     def long(self, symbols: np.ndarray) -> np.ndarray:
         """Places of the symbols that aren't held expanded."""
-        return np.flatnonzero(self.sizes_of(symbols) > LONG)
+        return np.flatnonzero(self.big[np.maximum(symbols - (self.first - 1), 0)])
 
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of symbols: long ones are split, then each rule's are copied whole, where they are held."""

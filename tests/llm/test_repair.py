@@ -147,3 +147,24 @@ def test_query(spark, sf_dir, whole):
         want.append((i, at, len(own), zlib.crc32(own.tobytes())))
         at += len(own)
     assert sorted(tuple(r) for r in QUERIES["op8_token_ids"](spark, sf_dir).collect()) == want
+
+
+def test_words_are_looked_up_once_and_keep_their_ids(monkeypatch):
+    """Known and new words of all kinds in turn; the words met so far were looked through twice for each array before."""
+    from tessera.llm import repair
+
+    with open(PATH, encoding="utf-8") as file:
+        own, found, real = Encoder(file.read()), [], repair.pc.index_in
+    monkeypatch.setattr(repair.pc, "index_in", lambda *a, **k: found.append(1) or real(*a, **k))
+    for texts in (["one two", "x_1 two! ünder"], ["two x_1 three", "", "Ünder 日本 one?"], ["one two"], []):
+        ids, sizes = own.encode(pa.array(texts, pa.string()))
+        whole = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for x in whole for i in x] and sizes.tolist() == [len(x) for x in whole]
+    assert len(found) == 4
+
+
+def test_symbols_near_31_bits():
+    top = (1 << 31) - 3
+    ids = np.array([top, 7, top, 7, 7, top], "<u4")
+    symbols, ends, rules = compress(ids, np.array([False] * 5 + [True]))
+    assert len(rules) == 1 and expand(symbols, top + 1, rules).tolist() == ids.tolist()
