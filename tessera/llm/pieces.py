@@ -49,12 +49,15 @@ LONG = 128
 NEVER = (1 << 31) - 1
 #: Code points whose pieces are found by their number, and what stands for no piece.
 CODES, NONE = 0x500, 0xFFFFFF
-#: Words that a task gathers before it cuts them, and bytes of text that it takes at once.
-WORDS, TEXT = 1 << 17, 2 << 20
+#: Words that a task gathers before it cuts them, and bytes of text that it takes at once; looking units up takes more at once,
+#: as each time goes through the whole table of the split.
+WORDS, TEXT, LOOKED = 1 << 17, 2 << 20, 4 << 20
 #: Partitions of the units for each of the session's: a unit's lattice is many times as large as the unit.
 FINER = 4
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNITS = rf"{MARK}*[\p{{L}}\p{{M}}]+|{MARK}*[^\p{{L}}\p{{M}}{MARK}]+|{MARK}+"
+#: Some letters and some other characters; words of letters, then others are cut without UNITS.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -260,6 +263,20 @@ def units_of(text: str) -> list[str]:
     return _cutter()(MARK + text.replace(" ", MARK)) if text else []
 
 
+def units_of_words(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Units of words that stand between spaces, some words' after others'; the place of each word, and how many units the word at each place has."""
+    simple = pc.match_substring_regex(words, f"^([{LETTERS}]+[{SIGNS}]*|[{SIGNS}]+)$")
+    marked = lambda some: pc.binary_join_element_wise(MARK, some, "")
+    parts = pc.split_pattern(marked(pc.replace_substring_regex(words.filter(simple), f"^([{LETTERS}]+)([{SIGNS}]+)$", r"\1 \2")), " ")
+    other = pa.array(_cutter()("".join(marked(words.filter(pc.invert(simple))).to_pylist())), pa.string())
+    heads = np.flatnonzero(pc.starts_with(other, MARK).to_numpy(zero_copy_only=False))
+    sizes = np.append(pc.list_value_length(parts).to_numpy(zero_copy_only=False), np.diff(np.append(heads, len(other)))).astype(np.int64)
+    is_simple = simple.to_numpy(zero_copy_only=False)
+    place = np.empty(len(words), np.int64)
+    place[is_simple], place[~is_simple] = np.arange(len(parts)), np.arange(len(parts), len(words))
+    return pa.concat_arrays([parts.flatten(), other]), place, sizes
+
+
 def plain(texts: pa.Array) -> pa.Array:
     """Whether cutting at spaces cuts between units."""
     odd = [pc.match_substring(texts, "  "), pc.match_substring(texts, MARK), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, "")]
@@ -295,7 +312,7 @@ def _pairs(docs: DataFrame, split: Column, long: int) -> DataFrame:
             own = pa.concat_arrays(words).unique() if words else []
             words.clear()
             for k in range(0, len(own), 20_000):  # words of plain texts: cutting many at once cuts each alike
-                units.append(pa.array(units_of(" ".join(own[k : k + 20_000].to_pylist())), pa.string()).unique())
+                units.append(units_of_words(own[k : k + 20_000])[0].unique())
             if sum(map(len, units)) > WORDS:
                 units[:] = [pa.concat_arrays(units).unique()]
 
@@ -367,15 +384,20 @@ def encoded(docs: DataFrame, path: str, name: str = "pieces", ids: bool = True,
             for where, first, stop in runs(splits):
                 if where != at:
                     at, lookup = where, Lookup(held.value, tables, where, long)
-                for own in stretches(TEXT, texts[first:stop]):
-                    found, sizes = lookup.encode(pc.fill_null(own, ""))
+                for own in stretches(LOOKED, pc.fill_null(texts[first:stop], "")):
+                    found, sizes = lookup.encode(own)
                     out["n_pieces"].append(sizes)
                     if ids:
                         out["ids"].append(found)
                     if checks:
                         after = np.cumsum(sizes)
                         out["crc32"] += [zlib.crc32(found[a:b]) for a, b in zip((after - sizes).tolist(), after.tolist(), strict=True)]
-                        out["round_trip"] += held.value.comes_back(found, sizes, pc.fill_null(own, "").to_pylist())
+                        row = at_id = 0
+                        for some in stretches(TEXT, own):  # decoding takes many times a text's size
+                            rows = slice(row, row + len(some))
+                            end = int(after[rows.stop - 1])
+                            out["round_trip"] += held.value.comes_back(found[at_id:end], sizes[rows], some.to_pylist())
+                            row, at_id = rows.stop, end
             sizes = np.concatenate([np.zeros(0, np.int64), *out["n_pieces"]])
             none = pc.is_null(texts)
             gaps = none.to_numpy(zero_copy_only=False)
@@ -425,17 +447,9 @@ class Lookup:
         easy = plain(texts)
         coded = pc.split_pattern(texts.filter(easy), " ")
         words = coded.flatten().dictionary_encode()
-        # a word is one unit with the mark before it, or it's cut
-        whole = pc.binary_join_element_wise(MARK, words.dictionary, "")
-        known = pc.is_valid(pc.index_in(whole, value_set=self.units)).to_numpy(zero_copy_only=False)
-        cut = _cutter()("".join(whole.filter(pa.array(~known)).to_pylist()))
-        units = pa.concat_arrays([whole.filter(pa.array(known)), pa.array(cut, pa.string())])
+        units, order, n_units = units_of_words(words.dictionary)
         ids, sizes = self.of_units(self.places(units))
-        n = int(known.sum())
-        heads = np.append(np.arange(n), n + np.flatnonzero(pc.starts_with(units[n:], MARK).to_numpy(zero_copy_only=False)))
-        word_sizes = np.add.reduceat(sizes, heads) if len(heads) else np.zeros(0, np.int64)
-        order = np.empty(len(known), np.int64)
-        order[known], order[~known] = np.arange(n), np.arange(n, len(known))
+        word_sizes = np.add.reduceat(sizes, np.cumsum(n_units) - n_units) if len(n_units) else np.zeros(0, np.int64)
         index = order[words.indices.to_numpy()]
         own = word_sizes[index]
         easy_ids = ids[spread((np.cumsum(word_sizes) - word_sizes)[index], own)]
@@ -456,7 +470,9 @@ class Lookup:
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of the parts that begin at starts, one after the other."""
     after = np.cumsum(sizes)
-    return np.repeat(starts - (after - sizes), sizes) + np.arange(int(after[-1]) if len(after) else 0)
+    out = np.repeat(starts - (after - sizes), sizes)
+    out += np.arange(len(out))
+    return out
 
 
 def table_of(tables: str, split: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -6,6 +6,8 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm.pieces import LONG, MARK, _units, decoded, encoded, encoded_units, loaded, plain, units_of
@@ -135,3 +137,41 @@ def test_a_clash_is_an_error(spark):
     with pytest.raises(ValueError, match="text"):
         decoded(df, PATH, "Pieces", "text")
     assert encoded(df, PATH, "other").columns == ["text", "Pieces", "other"]
+
+
+def test_words_are_cut_as_texts_are():
+    """Before, units_of_words wasn't there: every word went through the cutter in Python, twice for each split."""
+    from tessera.llm import pieces
+
+    words = ["one", "two,", "x_1", "!?", "Ünder.", "ét", "×÷", "日本語", "a1b2", "it's", "ª", "ß!", "12", "\\]^[`{~", "ab\n", "\t", "ÿ-ÿ", "x" * 200 + "."]
+    units, place, sizes = pieces.units_of_words(pa.array(words, pa.string()))
+    starts = np.cumsum(sizes) - sizes
+    assert [units[int(starts[k]) : int(starts[k] + sizes[k])].to_pylist() for k in place] == [units_of(w) for w in words]
+    units, place, sizes = pieces.units_of_words(pa.array([], pa.string()))
+    assert len(units) == len(place) == len(sizes) == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(exclude_characters=" ▁", exclude_categories=["Cs"]), min_size=1, max_size=12), max_size=8))
+def test_any_words_are_cut_as_texts_are(words):
+    from tessera.llm.pieces import units_of_words
+
+    units, place, sizes = units_of_words(pa.array(words, pa.string()))
+    starts = np.cumsum(sizes) - sizes
+    assert [units[int(starts[k]) : int(starts[k] + sizes[k])].to_pylist() for k in place] == [units_of(w) for w in words]
+
+
+def test_units_are_looked_up_once(monkeypatch):
+    from tessera.llm import pieces
+
+    model, texts = loaded(PATH), ["one two, x_1 two", "", "  Ünder 日本 one!"]
+    own = pieces.Lookup.__new__(pieces.Lookup)
+    own.model, own.long, own.units = model, LONG, pa.array(sorted({u for t in texts for u in units_of(t)}))
+    ids = [model.merge(u) for u in own.units.to_pylist()]
+    own.ids, own.sizes = np.array([i for x in ids for i in x], "<i4"), np.array([len(x) for x in ids], np.int64)
+    own.starts, found, real = np.cumsum(own.sizes) - own.sizes, [], pieces.pc.index_in
+    monkeypatch.setattr(pieces.pc, "index_in", lambda *a, **k: found.append(1) or real(*a, **k))
+    got, sizes = own.encode(pa.array(texts[:1], pa.string()))
+    assert got.tolist() == [i for u in units_of(texts[0]) for i in model.merge(u)] and sizes.tolist() == [len(got)] and len(found) == 1
+    got, sizes = own.encode(pa.array(texts, pa.string()))
+    assert got.tolist() == [i for t in texts for u in units_of(t) for i in model.merge(u)]
